@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .language import op6_language
 from .packing import op1_pack
+from .quality import op5_quality
+from .secrets import op7_secrets
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
