@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .counts import op2_count_tokens
+from .crossentropy import op4_cross_entropy
 from .language import op6_language
+from .neighbours import op9_neighbours
 from .packing import op1_pack
 from .quality import op5_quality
 from .secrets import op7_secrets
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_count_tokens": op2_count_tokens,
+    "op4_cross_entropy": op4_cross_entropy,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
+    "op9_neighbours": op9_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
