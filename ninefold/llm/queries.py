@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .counts import op2_count_tokens
 from .crossentropy import op4_cross_entropy
+from .jaccard import op8_jaccard
 from .language import op6_language
 from .neighbours import op9_neighbours
+
 from .packing import op1_pack
 from .quality import op5_quality
 from .secrets import op7_secrets
@@ -17,6 +19,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
+    "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
 }
 
