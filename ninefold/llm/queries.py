@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .counts import op2_count_tokens
 from .crossentropy import op4_cross_entropy
 from .jaccard import op8_jaccard
 from .language import op6_language
 from .neighbours import op9_neighbours
-
 from .packing import op1_pack
 from .quality import op5_quality
 from .secrets import op7_secrets
@@ -15,6 +15,7 @@ from .secrets import op7_secrets
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_count_tokens": op2_count_tokens,
+    "op3_bpe": op3_bpe,
     "op4_cross_entropy": op4_cross_entropy,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
