@@ -9,6 +9,7 @@ from .jaccard import op8_jaccard
 from .language import op6_language
 from .neighbours import op9_neighbours
 from .packing import op1_pack
+from .privacy import op10_surrogates
 from .quality import op5_quality
 from .secrets import op7_secrets
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
