@@ -278,8 +278,8 @@ def _links(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str, te
     seats = checkpointed(member.unionByName(inner).unionByName(outer))
     wanted = seats.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
+    if (few := _bounded(wanted)) is not wanted:
+        texts = texts.join(few, "id", "left_semi")
     placed = texts.join(seats, "id").select("grp", "part", "share", "asks", "id", "text", (F.col("share") == 0).alias("inside"))
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
@@ -334,13 +334,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, without those that are linked to a smaller key."""
-    found = jaccard_components(docs, id_col, text_col)
-    spare = checkpointed(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__spare")).distinct())
-    if spare.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        spare = F.broadcast(spare)
-    return docs.join(spare, F.col(id_col).cast("long") == F.col("__spare"), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One row, with all its columns, of each group of linked documents: that of the smallest key.
+
+    Rows that stand alone stay, and so do rows without words or without a key. Of rows that repeat a
+    key one stays."""
+    found = checkpointed(jaccard_components(docs, id_col, text_col, size, threshold))
+    spare = checkpointed(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__key")).distinct())
+    key = F.col(id_col).cast("long")
+    kept = docs.join(_bounded(spare), key == F.col("__key"), "left_anti")
+    twice = checkpointed(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("rows")).filter("__key is not null and rows > 1").select("__key"))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(_bounded(twice), key == F.col("__key"), "left_semi").dropDuplicates([id_col])
+    return kept.join(_bounded(twice), key == F.col("__key"), "left_anti").unionByName(again)
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

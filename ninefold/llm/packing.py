@@ -159,6 +159,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 _TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
-def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"))
+def op1_columns(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_columns(pack_documents(table(spark, sf_dir, "documents")))
