@@ -9,8 +9,9 @@ The join runs in five steps, each a Spark job over all documents:
 3. Sets are partitioned into groups of similar ones: a set joins the smallest set that it shares a
    leading shingle with. The token-group matrix holds, for every leading shingle, the groups whose
    union has it.
-4. Leading shingles of each set are looked up in the matrix. The hits bound what the set can share
-   with any member of a group; groups that cannot qualify stay closed.
+4. Leading shingles of each set are looked up in the matrix, which names the groups that it may have
+   a link in. Bitmaps of the sets then bound the overlap of each set with the group; groups that
+   cannot qualify stay closed.
 5. Qualifying groups are opened: their members, and the sets that ask, meet in one task and are
    compared exactly. Links within a group are found by breadth-first search, so a large group of near
    copies costs one link for each copy and not all pairs.
@@ -38,6 +39,8 @@ COUNTER_BITS = 20
 _CHUNK = 1 << 14
 #: Members of a group that meet in one task; larger groups are split. Sets that ask a group likewise.
 GROUP_ROWS = 4096
+#: Members of a group whose bitmaps are held against each other; larger groups are opened whole.
+PAIRED_MEMBERS = 2048
 #: Key lists up to so many rows are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -183,7 +186,7 @@ def _grouped(leading: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _asked(rows: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
-    """(id, grp): sets and the other groups that they must open, by the bound on their overlap."""
+    """(id, grp): sets and the other groups that they share a leading shingle with, where sizes allow a link."""
 
     def probe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shingle, ids, n, group in _by_shingle(source):
@@ -202,12 +205,10 @@ def _asked(rows: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
 
     mixed = rows.select("shingle", "id", "n").join(groups.select("id", "grp"), "id").select("shingle", "id", "n", "grp")
     probed = mixed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(probe, "id long, n long, grp long")
-    hits = probed.groupBy("id", "grp").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    pairs = probed.groupBy("id", "grp").agg(F.first("n").alias("n"))
     sizes = groups.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    need = F.ceil(F.col("n") * threshold / 100)
-    beyond = F.col("n") - (F.col("n") - need + 1)  # shingles that are not leading: at most all of them are in the union
-    able = (beyond + F.col("hits") >= need) & (F.col("most") * 100 >= F.col("n") * threshold) & (F.col("least") * threshold <= F.col("n") * 100)
-    return hits.join(sizes, "grp").filter(able).select("id", "grp")
+    able = (F.col("most") * 100 >= F.col("n") * threshold) & (F.col("least") * threshold <= F.col("n") * 100)
+    return pairs.join(sizes, "grp").filter(able).select("id", "grp")
 
 
 def _open(task: pa.Table, size: int, threshold: int) -> list[tuple[int, int]]:
@@ -263,30 +264,127 @@ def _open(task: pa.Table, size: int, threshold: int) -> list[tuple[int, int]]:
     return links
 
 
-def _links(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+def _bits(found: np.ndarray) -> bytes:
+    """A bitmap of a set: four bits and more for each shingle, a power of two of them."""
+    size = 1 << max(6, int(4 * len(found) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[(found & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+class _Row:
+    """One row of the token-group matrix, of a set: its bitmap as an integer."""
+
+    __slots__ = ("bits", "id", "n", "size")
+
+    def __init__(self, id_: int, n: int, bits: bytes):
+        self.id, self.n, self.size, self.bits = id_, n, 8 * len(bits), int.from_bytes(bits, "little")
+
+    def folded(self, size: int) -> int:
+        bits, now = self.bits, self.size
+        while now > size:
+            now //= 2
+            bits = (bits | (bits >> now)) & ((1 << now) - 1)
+        return bits
+
+    def may_link(self, other: _Row, threshold: int) -> bool:
+        """Whether the bitmaps leave room for the overlap that a link needs: a bit that only one has
+        stands for one shingle at least that the other lacks."""
+        least = -(-threshold * (self.n + other.n) // (100 + threshold))
+        if min(self.n, other.n) < least:
+            return False
+        size = min(self.size, other.size)
+        a, b = self.folded(size), other.folded(size)
+        return self.n - (a & ~b).bit_count() >= least and other.n - (b & ~a).bit_count() >= least
+
+
+def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """(grp, id, asks): the members and asking sets of groups that must be opened.
+
+    Bitmaps of the sets meet by group, members first; a set stays if some other set of the group may
+    link with it. Groups over PAIRED_MEMBERS are opened whole, so memory stays bounded."""
+
+    def bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.binary())], ["id", "n", "bits"])
+
+    def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, kept, out, whole = None, [], set(), [], False
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["grp", "id", "asks"])
+            out.clear()
+            return batch
+
+        def close() -> None:
+            out.extend((group, m.id, False) for m in members if m.id in kept)
+
+        for batch in source:
+            for g, asks, id_, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    close()
+                    group, members, kept, whole = g, [], set(), False
+                if whole:
+                    out.append((g, id_, asks))
+                    continue
+                row = _Row(id_, n, b)
+                near = None
+                for m in members:
+                    # Once a partner is known, only members that have none yet are worth a look.
+                    if (near is None or m.id not in kept) and row.may_link(m, threshold):
+                        near = m
+                        kept.add(m.id)
+                if asks:
+                    if near is not None:
+                        out.append((g, id_, True))
+                else:
+                    members.append(row)
+                    if near is not None:
+                        kept.add(id_)
+                    if len(members) > PAIRED_MEMBERS:
+                        out.extend((g, m.id, False) for m in members)
+                        members, whole = [], True
+            if len(out) > 10_000:
+                yield rows()
+        close()
+        if out:
+            yield rows()
+
+    shared = groups.groupBy("grp").agg(F.count("*").alias("members")).join(asked.select("grp").distinct().withColumn("called", F.lit(True)), "grp", "left").filter("members > 1 or called").select("grp")
+    seats = checkpointed(groups.select("id", "grp").join(shared, "grp").select("grp", "id", F.lit(False).alias("asks")).unionByName(asked.select("grp", "id", F.lit(True).alias("asks"))))
+    wanted = seats.select("id").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    if (few := _bounded(wanted)) is not wanted:
+        texts = texts.join(few, "id", "left_semi")
+    mapped = texts.mapInArrow(bits, "id long, n long, bits binary").dropDuplicates(["id"])
+    placed = seats.join(mapped, "id").select("grp", "asks", "id", "n", "bits")
+    return placed.repartition("grp").sortWithinPartitions("grp", "asks", "id").mapInArrow(judge, "grp long, id long, asks boolean")
+
+
+def _links(docs: DataFrame, seats: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
     """(a, b): links between different sets, enough to connect all that are linked."""
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / GROUP_ROWS).cast("int"))
-    calls = asked.groupBy("grp").agg(F.count("*").alias("calls")).withColumn("shares", F.ceil(F.col("calls") / GROUP_ROWS).cast("int"))
-    plan = sizes.join(calls, "grp", "left").filter("members > 1 or calls > 0").select("grp", "parts", F.coalesce("shares", F.lit(0)).alias("shares"))
+    plan = seats.groupBy("grp").agg(F.sum((~F.col("asks")).cast("long")).alias("members"), F.sum(F.col("asks").cast("long")).alias("calls"))
+    plan = plan.filter("members > 1 or calls > 0").select("grp", F.ceil(F.col("members") / GROUP_ROWS).cast("int").alias("parts"), F.ceil(F.col("calls") / GROUP_ROWS).cast("int").alias("shares"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
-    split = groups.select("id", "grp").join(plan, "grp").withColumn("part", deal(F.col("parts")))
+    split = seats.filter("not asks").join(plan, "grp").withColumn("part", deal(F.col("parts")))
     # Members meet in share 0 among themselves, and again in each share of the sets that ask. In a
     # group that was split, each member also asks the parts before its own.
     inner = split.filter("part > 0").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), F.lit(0).alias("share"), F.lit(True).alias("asks"))
     member = split.select("grp", "id", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shares") - 1, F.lit(0)))).alias("share"), F.lit(False).alias("asks"))
-    outer = asked.join(plan, "grp").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), deal(F.col("shares")).alias("share"), F.lit(True).alias("asks"))
-    seats = checkpointed(member.unionByName(inner).unionByName(outer))
-    wanted = seats.select("id").distinct()
+    outer = seats.filter("asks").join(plan, "grp").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), deal(F.col("shares")).alias("share"), F.lit(True).alias("asks"))
+    placed = checkpointed(member.unionByName(inner).unionByName(outer))
+    wanted = placed.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     if (few := _bounded(wanted)) is not wanted:
         texts = texts.join(few, "id", "left_semi")
-    placed = texts.join(seats, "id").select("grp", "part", "share", "asks", "id", "text", (F.col("share") == 0).alias("inside"))
+    met = texts.dropDuplicates(["id"]).join(placed, "id").select("grp", "part", "share", "asks", "id", "text", (F.col("share") == 0).alias("inside"))
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         links = _open(group, size, threshold)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return placed.groupBy("grp", "part", "share").applyInArrow(lambda key, group: meet(key, group), "a long, b long")
+    return met.groupBy("grp", "part", "share").applyInArrow(meet, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -326,7 +424,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows, groups = _grouped(leading)
     groups = checkpointed(groups)
     asked = checkpointed(_asked(rows, groups, threshold))
-    found = components(_links(docs, groups, asked, id_col, text_col, size, threshold))
+    seats = checkpointed(_qualified(docs, groups, asked, id_col, text_col, size, threshold))
+    found = components(_links(docs, seats, id_col, text_col, size, threshold))
     classes = standing.join(found, "id", "left").select("d1", "d2", "n", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     return (
         sets.join(classes, ["d1", "d2", "n"], "left")
