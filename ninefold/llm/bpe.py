@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, rank_encoding, table, vocabulary
+from .common import Memo, id_text, rank_encoding, table, vocabulary
 
 #: Text that shares one list of distinct words: so many characters at most (or one longer document).
 BLOCK_CHARS = 32_000_000
@@ -89,80 +90,115 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.unhex(F.lit("")), lambda all_, i: F.concat(all_, F.unhex(F.get(pieces, i))))
 
 
+def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+    """The documents of a task in blocks of bounded size: number, keys, texts."""
+    number = TaskContext.get().partitionId() << 20
+    keys: list = []
+    texts: list[str] = []
+    chars = 0
+    for batch in source:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if keys and chars + len(text) > BLOCK_CHARS:
+                yield number, keys, texts
+                number, keys, texts, chars = number + 1, [], [], 0
+            keys.append(key)
+            texts.append(text)
+            chars += len(text)
+    if keys:
+        yield number, keys, texts
+
+
+def _words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    split = _splitter()
+    for number, _, texts in _blocks(source):
+        seen: set[str] = set()
+        for text in texts:
+            seen.update(split(text))
+        words = pa.array([w.encode("utf-8", "surrogatepass") for w in seen], pa.binary())
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), number))], ["word", "block"])
+
+
+def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: its documents, compressed."""
+    for number, keys, texts in _blocks(source):
+        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.large_binary()).cast(pa.binary())], ["block", "documents"])
+
+
+def _by_word(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by word, gathered: each word once, with its blocks."""
+    word, blocks = None, []
+    out: list[tuple[bytes, list[int]]] = []
+    give = lambda: pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["word", "blocks"])
+    for batch in source:
+        for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if w != word:
+                if blocks:
+                    out.append((word, blocks))
+                    if len(out) == 5000:
+                        yield give()
+                        out = []
+                word, blocks = w, []
+            blocks.append(b)
+    if blocks:
+        out.append((word, blocks))
+        yield give()
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Encode every whole text and decode it again: doc_id, ids (binary, little-endian unsigned 32
     bit), decoded (binary).
 
-    Texts are split by the public pattern. Each task gathers its documents into blocks of bounded
-    size with a list of their distinct words, Spark expressions encode and decode these words only,
-    and the task strings the results together again; nothing is shuffled. Null and empty texts have
-    no ids. One row per input row, null keys and repeated rows included; other columns are ignored;
-    an empty table gives no rows.
+    Texts are split by the public pattern. Each task cuts its input into blocks of bounded size and
+    lists their distinct words; over all blocks every word is encoded and decoded once, by Spark
+    expressions. A block's words then meet its documents, which travel compressed, in one task that
+    strings the results together. Words over LONGEST bytes go to the public encoder there, as would
+    words that a block lacks because its input came in another order when a task was run again.
+
+    Null and empty texts have no ids. One row per input row, null keys and repeated rows included;
+    other columns are ignored; an empty table gives no rows.
     """
     known = read_ranks(vocabulary(ranks))
     by_id = [""] * (max(known.values()) + 1)
     for piece, rank in known.items():
         by_id[rank] = piece.hex()
-
-    def gather(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter()
-        names = ["ids", "counts", "places", "words"]
-        keys: list = []
-        counts: list[int] = []
-        places: list[np.ndarray] = []
-        seen: dict[str, int] = {}
-        chars = 0
-
-        def block() -> pa.RecordBatch:
-            columns = [pa.array([keys], pa.list_(pa.int64())), pa.array([np.array(counts, np.int32).tobytes()]), pa.array([np.concatenate(places).tobytes() if places else b""]), pa.array([[w.encode("utf-8", "surrogatepass") for w in seen]], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        for batch in source:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if keys and chars + len(text) > BLOCK_CHARS:
-                    yield block()
-                    keys, counts, places, seen, chars = [], [], [], {}, 0
-                words = split(text)
-                keys.append(key)
-                counts.append(len(words))
-                places.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
-                chars += len(text)
-        if keys:
-            yield block()
-
-    def string(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        public = rank_encoding(vocabulary(ranks))
-        for batch in source:
-            for row in range(batch.num_rows):
-                keys, counts, places, words = (batch.column(k)[row] for k in (0, 1, 2, 3))
-                coded = batch.column(4)[row].values
-                flat, starts, missing = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.r_[0, np.cumsum(np.nan_to_num(pa.compute.list_value_length(coded).to_numpy(zero_copy_only=False)).astype(np.int64))], coded.is_null().to_numpy(zero_copy_only=False)
-                ids = [flat[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                plain = batch.column(5)[row].values.to_pylist()
-                for k in np.flatnonzero(missing).tolist():
-                    word = words.values[k].as_py()
-                    found = public.encode_ordinary(word.decode("utf-8", "surrogatepass"))
-                    ids[k], plain[k] = np.array(found, "<u4").tobytes(), b"".join(map(public.decode_single_token_bytes, found))
-                at, where = 0, np.frombuffer(places.as_py(), np.int32)
-                out: list[tuple] = []
-                for key, n in zip(keys.as_py(), np.frombuffer(counts.as_py(), np.int32).tolist(), strict=True):
-                    mine = where[at : at + n].tolist()
-                    out.append((key, b"".join(map(ids.__getitem__, mine)), b"".join(map(plain.__getitem__, mine))))
-                    at += n
-                    if len(out) == 1000:
-                        yield _rows(out)
-                        out = []
-                if out:
-                    yield _rows(out)
-
-    blocks = id_text(docs, id_col, text_col).mapInArrow(gather, "ids array<long>, counts binary, places binary, words array<binary>")
-    coded = blocks.withColumn("coded", _let(rank_map(known), lambda m: F.transform("words", lambda w: encode_word(w, m))))
-    plain = coded.withColumn("plain", _let(F.split(F.lit(",".join(by_id)), ","), lambda pieces: F.transform("coded", lambda ids: decode_ids(ids, pieces))))
-    return plain.mapInArrow(string, "doc_id long, ids binary, decoded binary")
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "ids", "decoded"])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
+    def string(words: pa.Table, block: pa.Table) -> pa.Table:
+        public, split = rank_encoding(vocabulary(ranks)), _splitter()
+
+        def encode(word: str) -> tuple[bytes, bytes]:
+            found = public.encode_ordinary(word)
+            return np.array(found, "<u4").tobytes(), b"".join(map(public.decode_single_token_bytes, found))
+
+        coded = words.column("coded").combine_chunks()
+        flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        starts = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(coded), 0).to_numpy(zero_copy_only=False).astype(np.int64))].tolist()
+        texts = words.column("word").cast(pa.string()).to_pylist()
+        ids = Memo(lambda w: encode(w)[0], 1 << 40)
+        ids.update((w, flat[a:b].tobytes()) for w, a, b in zip(texts, starts[:-1], starts[1:], strict=True))
+        plain = Memo(lambda w: encode(w)[1], 1 << 40)
+        plain.update(zip(texts, words.column("plain").to_pylist(), strict=True))
+        for w in (texts[k] for k in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False))):
+            del ids[w], plain[w]
+        out: list[tuple] = []
+        for packed in block.column("documents").to_pylist():
+            for batch in pa.ipc.open_stream(packed):
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    pieces = split(text)
+                    out.append((key, b"".join(map(ids.__getitem__, pieces)), b"".join(map(plain.__getitem__, pieces))))
+        return pa.Table.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    rows = id_text(docs, id_col, text_col)
+    words = rows.mapInArrow(_words, "word binary, block long").repartition("word").sortWithinPartitions("word").mapInArrow(_by_word, "word binary, blocks array<long>")
+    coded = words.withColumn("coded", _let(rank_map(known), lambda m: encode_word(F.col("word"), m)))
+    plain = coded.withColumn("plain", _let(F.split(F.lit(",".join(by_id)), ","), lambda pieces: decode_ids(F.col("coded"), pieces)))
+    of_block = plain.select(F.explode("blocks").alias("block"), "word", "coded", "plain")
+    packed = rows.mapInArrow(_packed, "block long, documents binary")
+    return of_block.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(string, "doc_id long, ids binary, decoded binary")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
