@@ -152,6 +152,26 @@ def m2_subdivide_triangles(spark, sf_dir):
     return out.select("vec_id", "path", *[F.round((F.col("p0")[k] + F.col("p1")[k] + F.col("p2")[k]) / 3, 6).alias(c) for k, c in enumerate("xyz")])
 
 
+def _level_sql(source: str) -> str:
+    """The nine children of each triangle of a source (vec_id, path, p0, p1, p2)."""
+    angles = ", ".join(f"acos(p{a}[1]*p{b}[1] + p{a}[2]*p{b}[2] + p{a}[3]*p{b}[3]) AS t{a}" for a, b in ((0, 1), (1, 2), (2, 0)))
+    arc = lambda a, b, t: [f"((sin((1-{t})*t{a})*p{a}[{k}] + sin({t}*t{a})*p{b}[{k}])/sin(t{a}))" for k in (1, 2, 3)]
+    plain = lambda a: [f"p{a}[{k}]" for k in (1, 2, 3)]
+    third, two = "(1.0::double/3)", "(2.0::double/3)"
+    ten = [[f"(p0[{k}] + p1[{k}] + p2[{k}])/3" for k in (1, 2, 3)], plain(0), arc(0, 1, third), arc(0, 1, two), plain(1), arc(1, 2, third), arc(1, 2, two), plain(2), arc(2, 0, third), arc(2, 0, two)]
+    raw = ", ".join(f"[{', '.join(v)}] AS r{k}" for k, v in enumerate(ten))
+    unit = ", ".join(f"list_transform(r{k}, lambda c: c/sqrt(r{k}[1]*r{k}[1] + r{k}[2]*r{k}[2] + r{k}[3]*r{k}[3]))" if k not in (1, 4, 7) else f"r{k}" for k in range(10))
+    kids = ", ".join(f"('{n}', {a + 1}, {b + 1}, {c + 1})" for n, (a, b, c) in enumerate(M.CHILD_TRIANGLES))
+    return f"SELECT vec_id, path || n AS path, t[a] AS p0, t[b] AS p1, t[c] AS p2 FROM (SELECT vec_id, path, [{unit}] AS t FROM (SELECT vec_id, path, {raw} FROM (SELECT *, {angles} FROM ({source})))), (VALUES {kids}) k(n, a, b, c)"
+
+
+_LEVEL1 = _level_sql(f"SELECT *, '' AS path FROM ({_TRI})")
+_LEVEL2 = _level_sql(_LEVEL1)
+M2 = f"SELECT vec_id, path, {', '.join(f'round((p0[{k}] + p1[{k}] + p2[{k}])/3, 6) AS {c}' for k, c in ((1, 'x'), (2, 'y'), (3, 'z')))} FROM ({_LEVEL2})"
+_SPREAD = f"SELECT level, greatest(abs(a-b), abs(b-c), abs(c-a)) AS spread FROM (SELECT level, {_angle_sql('p0', 'p1')} AS a, {_angle_sql('p1', 'p2')} AS b, {_angle_sql('p2', 'p0')} AS c FROM (SELECT 1 AS level, * FROM ({_LEVEL1}) UNION ALL SELECT 2, * FROM ({_LEVEL2})))"
+J5M = f"SELECT level, spread <= 1e-6 AS equilateral, count(*) AS n, round(max(spread), 6) AS spread FROM ({_SPREAD}) s GROUP BY level, s.spread <= 1e-6"
+
+
 def s4_read_polyhedron(spark, sf_dir):
     """Maps of 16 triangles each (a vertex list and faces by index), written as JSON and read again."""
     path = _shared(spark)
@@ -283,4 +303,4 @@ def _a6() -> str:
 
 
 QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m5_slerp_vs_chord, w4_best_fit, m6_cover, m7_cover6, m8_hex_neighbours, a6_grid_labels)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m7_cover6": M7, "m8_hex_neighbours": M8, "a6_grid_labels": _a6()}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m7_cover6": M7, "m8_hex_neighbours": M8, "a6_grid_labels": _a6()}

@@ -98,6 +98,11 @@ def p7_graticule(spark, sf_dir):
     return burnt.filter("r = 1 AND g = 2 AND b = 3").groupBy("row").agg(F.count("*").alias("n"))
 
 
+_LINES = ", ".join(f"(h - 1 - ceil({k * 30}.0::double/(180.0::double/(h-1)))::int % h)" for k in range(6))
+_COLS = ", ".join(str(-(-(k * 30 * (W - 1)) // 360)) for k in range(12))
+P7 = BASE + f'SELECT "row", count(*) AS n FROM img, size WHERE "row" IN ({_LINES}) OR col IN ({_COLS}) OR (r = 1 AND g = 2 AND b = 3) GROUP BY ALL'
+
+
 def j2_sample_raster(spark, sf_dir):
     image, height = _full(spark, sf_dir)
     return X.sample(places(spark, sf_dir, extra=("c_custkey",)), image, EXTENT, height, W).select("c_custkey", "r", "g", "b")
@@ -161,12 +166,16 @@ def _to_shape(shape):
     return query
 
 
-def _to_shape_sql(shape: str) -> str:
+def _sums(digits: int) -> str:
+    return ", ".join(f"round(sum({b}*w*f), {digits}) AS {b}" for b in "rgb")
+
+
+def _to_shape_sql(shape: str, digits: int = 6) -> str:
     pitch = num(X.SHAPES[shape]["pitch"])
     odd = "dst % 2 = 1" if shape == "hex" else "false"
     return BASE + f""", w AS (SELECT other AS dst, greatest(0, least({W - 1}, sq)) AS src, area/{pitch} AS w FROM ({_weights(f'SELECT k::int AS sq FROM range(-2, {W + 3}) q(k)', shape)}) WHERE area > 1e-12 AND other < ceil({W}/{pitch})),
 t AS (SELECT y.k AS ty, dst, src, w, o.d, CASE WHEN {odd} THEN 0.5::double ELSE 1.0::double END AS f FROM w, range(0, (SELECT h FROM size)) y(k), (VALUES (0), (1)) o(d) WHERE o.d = 0 OR ({odd}))
-SELECT ty::int AS "row", dst::int AS col, round(sum(r*w*f), 6) AS r, round(sum(g*w*f), 6) AS g, round(sum(b*w*f), 6) AS b FROM t JOIN img ON img.col = src AND img."row" = greatest(0, ty - d) GROUP BY ALL"""
+SELECT ty::int AS "row", dst::int AS col, {_sums(digits)} FROM t JOIN img ON img.col = src AND img."row" = greatest(0, ty - d) GROUP BY ALL"""
 
 
 def _to_square(shape):
@@ -177,13 +186,13 @@ def _to_square(shape):
     return query
 
 
-def _to_square_sql(shape: str) -> str:
+def _to_square_sql(shape: str, digits: int = 6, base: str = BASE, width: int = W) -> str:
     s = X.SHAPES[shape]
-    count = int(W * s["pitch"] - s["inset"] + 1e-9)
+    count = int(width * s["pitch"] - s["inset"] + 1e-9)
     odd = "src % 2 = 1" if shape == "hex" else "false"
-    return BASE + f""", w AS (SELECT sq AS dst, greatest(0, least({W - 1}, other)) AS src, area AS w FROM ({_weights(f'SELECT k::int AS sq FROM range(0, {count}) q(k)', shape)}) WHERE area > 1e-12),
+    return base + f""", w AS (SELECT sq AS dst, greatest(0, least({width - 1}, other)) AS src, area AS w FROM ({_weights(f'SELECT k::int AS sq FROM range(0, {count}) q(k)', shape)}) WHERE area > 1e-12),
 t AS (SELECT y.k AS ty, dst, src, w, o.d, CASE WHEN {odd} THEN 0.5::double ELSE 1.0::double END AS f FROM w, range(0, (SELECT h FROM size)) y(k), (VALUES (0), (1)) o(d) WHERE o.d = 0 OR ({odd}))
-SELECT ty::int AS "row", dst::int AS col, round(sum(r*w*f), 6) AS r, round(sum(g*w*f), 6) AS g, round(sum(b*w*f), 6) AS b FROM t, size, img WHERE img.col = src AND img."row" = least(h - 1, ty + d) GROUP BY ALL"""
+SELECT ty::int AS "row", dst::int AS col, {_sums(digits)} FROM t, size, img WHERE img.col = src AND img."row" = least(h - 1, ty + d) GROUP BY ALL"""
 
 
 def x5_raster_to_districts(spark, sf_dir):
@@ -217,12 +226,12 @@ def _offsets(layout: str) -> str:
     return ", ".join(f"({d}, {k}, {x}, {y})" for d, ps in enumerate(X.NINE if layout == "9" else X.SIX) for k, (x, y) in enumerate(ps))
 
 
-def _district_sql(layout: str) -> str:
+def _district_sql(layout: str, digits: int = 6, base: str = BASE, width: int = W) -> str:
     step = 9 if layout == "9" else 6
     ty = "hy*6 + (hx % 2)*3 - 2" if layout == "9" else "hy*6"
-    return BASE + f""", hexes AS (SELECT DISTINCT (col//{step})::int AS hx, ("row"//6)::int AS hy FROM img), o(district, k, dx, dy) AS (VALUES {_offsets(layout)})
-SELECT hx, hy, district::int AS district, round(sum(r)/3, 6) AS r, round(sum(g)/3, 6) AS g, round(sum(b)/3, 6) AS b FROM hexes, o, size, img
-WHERE img.col = greatest(0, least({W - 1}, hx*{step} + dx)) AND img."row" = greatest(0, least(h - 1, {ty} + dy)) GROUP BY ALL"""
+    return base + f""", hexes AS (SELECT DISTINCT (c.k//{step})::int AS hx, ("row"//6)::int AS hy FROM img, range(0, {W}) c(k)), o(district, k, dx, dy) AS (VALUES {_offsets(layout)})
+SELECT hx, hy, district::int AS district, round(sum(r)/3, {digits}) AS r, round(sum(g)/3, {digits}) AS g, round(sum(b)/3, {digits}) AS b FROM hexes, o, size, img
+WHERE img.col = greatest(0, least({width - 1}, hx*{step} + dx)) AND img."row" = greatest(0, least(h - 1, {ty} + dy)) GROUP BY ALL"""
 
 
 def g6_district_to_tri(spark, sf_dir):
@@ -254,12 +263,17 @@ l AS (SELECT *, CASE shape WHEN 'square' THEN least(1, greatest(0, x)) WHEN 'tri
 SELECT grp, shape, row_number() OVER w::int AS place, round(a - coalesce(lag(a) OVER w, 0), 6) AS share FROM l WINDOW w AS (PARTITION BY grp, shape ORDER BY x)
 UNION ALL SELECT grp, shape, (count(*) + 1)::int, round(1 - max(a), 6) FROM l GROUP BY grp, shape"""
 
+_SIZE = f"WITH size AS (SELECT count(*) // {W} AS h FROM orders), img AS "
+X5 = _district_sql("9", 5, _SIZE + f"({_to_shape_sql('tri', 12)})", int(-(-W // X.SHAPES["tri"]["pitch"])))
+_BACK = _to_square_sql("hex", 12, _SIZE + f"({_to_shape_sql('hex', 12)})", int(-(-W // X.SHAPES["hex"]["pitch"])))
+G8 = BASE + f', back AS ({_BACK}) SELECT count(*) AS n, ' + ", ".join(f"round(avg(abs(i.{b} - k.{b})), 5) AS avg_{b}, round(max(abs(i.{b} - k.{b})), 5) AS max_{b}" for b in "rgb") + ' FROM img i JOIN back k USING ("row", col)'
+
 QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x5_raster_to_districts, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
     "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
     "g5_tri_to_district": _district_query("9"), "g5_tri_to_district_small": _district_query("6"),
 }
 ORACLE_SQL = {
-    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": X0C,
+    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": X0C, "p7_graticule": P7, "x5_raster_to_districts": X5, "g8_roundtrip_error": G8,
     **{f"x0_weights_{s}": f"SELECT * FROM (SELECT sq, other, round(area, 6) AS area FROM ({_weights('SELECT p_partkey AS sq FROM part', s)}) WHERE area > 1e-12) WHERE area > 0" for s in ("hex", "tri")},
     "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
     "g5_tri_to_district": _district_sql("9"), "g5_tri_to_district_small": _district_sql("6"),
