@@ -26,4 +26,13 @@ QUERIES = {
     "op10_surrogates": op10_surrogates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP8 = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS low FROM sizes UNION SELECT b, low FROM reach JOIN links ON a = reach.doc_id WHERE low < b)
+SELECT doc_id, n::bigint AS n_shingles, min(low) AS component_id FROM sizes JOIN reach USING (doc_id) GROUP BY ALL"""
+
+ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8}
