@@ -15,11 +15,11 @@ from .common import checkpointed, table
 #: Name -> (numerator, denominator) of the shares that get adaptive upper bounds, and the least
 #: excess over the median that counts as an outlier.
 SHARES = {
-    "symbols": ("n_symbols", "word_chars", 0.04),
+    "symbols": ("n_symbols", "word_chars", 0.02),
     "capitals": ("n_capitals", "word_chars", 0.25),
     "marks": ("n_marks", "word_chars", 0.10),
     "dup_lines": ("n_dup_lines", "n_lines", 0.60),
-    "repeats": ("n_repeat_words", "n_words", 0.30),
+    "repeats": ("n_repeat_words", "n_words", 0.45),
     "word_chars": ("word_chars", "n_words", 8.0),
 }
 #: An outlier lies so many distances (upper quartile less median) above the median.
