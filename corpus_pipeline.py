@@ -23,7 +23,7 @@ from ninefold.llm.secrets import mask_secrets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts in which no language has half of the mixture."""
+    """Rejects texts without letters and texts in which no language has three tenths of the mixture."""
     return language_filter(docs, fit_languages(docs.filter(~held_out())))
 
 
