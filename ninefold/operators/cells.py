@@ -30,19 +30,23 @@ def cell_density(cells: DataFrame, keys: list[str] | None = None, weight: str |
 
 
 def cell_rollup(cells: DataFrame, levels: list[int], root: bool = False) -> DataFrame:
-    """Points of each ancestor at the levels, and in total: level (0 for the total), cell, n."""
+    """Points of each ancestor at the levels, and in total: level (0 for the total), cell, n.
+
+    Points are counted at the finest level first, so the rollup expands cells and not points."""
     names = [f"p{k}" for k in levels]
-    ancestors = cells.select(*[prefix(k, root=root).alias(n) for k, n in zip(levels, names, strict=True)])
-    rolled = ancestors.rollup(*names).agg(F.count("*").alias("n"), F.grouping_id().alias("__g"))
+    finest = cells.groupBy(prefix(max(levels), root=root).alias("__path")).agg(F.count("*").alias("__n"))
+    ancestors = finest.select("__n", *[prefix(k, "__path", root).alias(n) for k, n in zip(levels, names, strict=True)])
+    rolled = ancestors.rollup(*names).agg(F.sum("__n").alias("n"), F.grouping_id().alias("__g"))
     level = F.lit(0)
     for k in range(len(levels)):
         level = F.when(F.col("__g") == (1 << (len(levels) - 1 - k)) - 1, F.lit(levels[k])).otherwise(level)
-    return rolled.select(level.alias("level"), F.coalesce(*[F.col(n) for n in reversed(names)], F.lit("")).alias("cell"), "n")
+    return rolled.filter("n IS NOT NULL").select(level.alias("level"), F.coalesce(*[F.col(n) for n in reversed(names)], F.lit("")).alias("cell"), "n")
 
 
 def cell_cube(cells: DataFrame, level: int, category: str) -> DataFrame:
-    """Points by cell and category, with sub-totals (null cell or category)."""
-    return cells.select(prefix(level).alias("cell"), F.col(category).alias("category")).cube("cell", "category").agg(F.count("*").alias("n"))
+    """Points by cell and category, with sub-totals (null cell or category); cells are counted first."""
+    counted = cells.groupBy(prefix(level).alias("cell"), F.col(category).alias("category")).agg(F.count("*").alias("__n"))
+    return counted.cube("cell", "category").agg(F.sum("__n").alias("n"))
 
 
 def distinct_cells(cells: DataFrame, levels: list[int], approximate: bool = False) -> DataFrame:
@@ -93,19 +97,19 @@ def cells_in(cells: DataFrame, ancestor: str) -> DataFrame:
 
 
 def changed_cells(a: DataFrame, b: DataFrame, level: int) -> DataFrame:
-    """Cells that only one of two tables occupies, and those that both do: cell, side."""
-    left, right = a.select(prefix(level).alias("cell")).distinct(), b.select(prefix(level).alias("cell")).distinct()
-    side = lambda df, name: df.withColumn("side", F.lit(name))
-    return side(left.exceptAll(right), "left").unionByName(side(right.exceptAll(left), "right")).unionByName(side(left.intersect(right), "both"))
+    """Cells that only one of two tables occupies, and those that both do: cell, side.
+
+    One aggregate over both tables; each side is reduced to its cells before the shuffle."""
+    side = lambda df, left: df.select(prefix(level).alias("cell"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
+    both = side(a, True).unionByName(side(b, False)).groupBy("cell").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    return both.select("cell", F.when(F.col("left") & F.col("right"), "both").when(F.col("left"), "left").otherwise("right").alias("side"))
 
 
 def overlay_levels(cells: DataFrame, levels: list[int]) -> DataFrame:
-    """Occupied cells of several levels as layers: level, cell."""
-    out = None
-    for k in levels:
-        layer = cells.select(F.lit(k).alias("level"), prefix(k).alias("cell")).distinct()
-        out = layer if out is None else out.unionByName(layer)
-    return out
+    """Occupied cells of several levels as layers: level, cell. Points are shuffled once, as cells."""
+    finest = cells.select(prefix(max(levels)).alias("path")).distinct()
+    layers = F.array(*[F.struct(F.lit(k).alias("level"), prefix(k).alias("cell")) for k in levels])
+    return finest.select(F.explode(layers).alias("r")).select("r.*").distinct()
 
 
 def quantisation_error(points: DataFrame, levels: list[int], x: str = "x", y: str = "y", c2: str = "c2") -> DataFrame:

@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small files come as one partition; deal their rows out before work in Python."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """A small file comes as one partition; only then are its rows dealt out before work in Python.
+
+    A table with a partition for each core, as any large one, is left as it is and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # -- planar points, all inside the triangle Λ -----------------------------------------------------
