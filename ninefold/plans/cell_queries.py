@@ -13,7 +13,7 @@ from ninefold.operators import addressing as A
 from ninefold.operators import cells as C
 from ninefold.operators import globe as G
 
-from .sql import centre_sql, directions, global_sql, num, places, planar, planar_sql, walk_sql
+from .sql import centre_sql, directions, global_sql, num, places, places_sql, planar, planar_sql, walk_sql
 
 LEVEL = 4
 EARTH_EIGHTH = 510_065_621.724 / 8  # km², an octant
@@ -229,9 +229,12 @@ def a2_assign_places(spark, sf_dir):
     return G.assign_places(places(spark, sf_dir), 2).groupBy("root").agg(F.count("*").alias("n"))
 
 
+_XYZ = "cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z"
+A2P = global_sql(f"SELECT c_custkey, {_XYZ} FROM ({places_sql(extra=('c_custkey',))})", 2, ("c_custkey",)) + "SELECT root, count(*) AS n FROM globe WHERE lvl = 2 GROUP BY ALL"
+
 QUERIES = {f.__name__: f for f in (g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, u1_overlay_levels, u2_changed_cells)}
 ORACLE_SQL = {
-    "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2,
+    "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
     "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
     "g10_distinct_cells": G10, "w1_adaptive_level": W1, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "u1_overlay_levels": U1, "u2_changed_cells": U2,
 }
