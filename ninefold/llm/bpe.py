@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,9 +84,26 @@ def encode_word(word: Column, map_: Column) -> Column:
     return F.when(n > LONGEST, F.lit(None).cast("array<int>")).when(whole != _NONE, F.array(whole)).otherwise(folded)
 
 
-def decode_ids(ids: Column, pieces: Column) -> Column:
-    """The bytes of ids: their pieces (hexadecimal, by id) put together."""
-    return F.aggregate(ids, F.unhex(F.lit("")), lambda all_, i: F.concat(all_, F.unhex(F.get(pieces, i))))
+def as_bytes(ids: Column) -> Column:
+    """Ids as binary, three bytes each, high byte first."""
+    return F.aggregate(ids, F.unhex(F.lit("")), lambda all_, i: F.concat(all_, F.unhex(F.lpad(F.hex(i), 6, "0"))))
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return (b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]).astype("<u4")
+
+
+def decode(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The pieces of little-endian 32-bit ids, put together."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _pieces(known: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(known.values()) + 1)
+    for piece, rank in known.items():
+        out[rank] = piece
+    return out
 
 
 def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -114,7 +130,7 @@ def _words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for text in texts:
             seen.update(split(text))
-        words = pa.array([w.encode("utf-8", "surrogatepass") for w in seen], pa.binary())
+        words = pa.array([w.encode("utf-8", "surrogatepass") for w in sorted(seen)], pa.binary())  # sorted: smaller on the wire
         yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), number))], ["word", "block"])
 
 
@@ -123,7 +139,7 @@ def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, keys, texts in _blocks(source):
         batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as writer:
             writer.write_batch(batch)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.large_binary()).cast(pa.binary())], ["block", "documents"])
 
@@ -153,50 +169,38 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bit), decoded (binary).
 
     Texts are split by the public pattern. Each task cuts its input into blocks of bounded size and
-    lists their distinct words; over all blocks every word is encoded and decoded once, by Spark
-    expressions. A block's words then meet its documents, which travel compressed, in one task that
-    strings the results together. Words over LONGEST bytes go to the public encoder there, as would
+    lists their distinct words; over all blocks every word is encoded once, by Spark expressions. A
+    block's coded words then meet its documents, which travel compressed, in one task that strings
+    the ids of each document together and decodes them. Words over LONGEST bytes go to the public encoder there, as would
     words that a block lacks because its input came in another order when a task was run again.
 
     Null and empty texts have no ids. One row per input row, null keys and repeated rows included;
     other columns are ignored; an empty table gives no rows.
     """
-    known = read_ranks(vocabulary(ranks))
-    by_id = [""] * (max(known.values()) + 1)
-    for piece, rank in known.items():
-        by_id[rank] = piece.hex()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def string(words: pa.Table, block: pa.Table) -> pa.Table:
-        public, split = rank_encoding(vocabulary(ranks)), _splitter()
-
-        def encode(word: str) -> tuple[bytes, bytes]:
-            found = public.encode_ordinary(word)
-            return np.array(found, "<u4").tobytes(), b"".join(map(public.decode_single_token_bytes, found))
-
-        coded = words.column("coded").combine_chunks()
-        flat = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        starts = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(coded), 0).to_numpy(zero_copy_only=False).astype(np.int64))].tolist()
-        texts = words.column("word").cast(pa.string()).to_pylist()
-        ids = Memo(lambda w: encode(w)[0], 1 << 40)
-        ids.update((w, flat[a:b].tobytes()) for w, a, b in zip(texts, starts[:-1], starts[1:], strict=True))
-        plain = Memo(lambda w: encode(w)[1], 1 << 40)
-        plain.update(zip(texts, words.column("plain").to_pylist(), strict=True))
-        for w in (texts[k] for k in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False))):
-            del ids[w], plain[w]
-        out: list[tuple] = []
+        path = vocabulary(ranks)
+        public, split, pieces = rank_encoding(path), _splitter(), _pieces(read_ranks(path))
+        known = Memo(lambda word: np.array(public.encode_ordinary(word), "<u4").tobytes(), 1 << 40)
+        for chunk in words.column("coded").chunks:
+            coded = chunk.drop_null()
+            for data in coded.to_pylist():  # a word is what its ids decode to
+                ids = from_bytes(data).tobytes()
+                known[decode(ids, pieces).decode("utf-8", "surrogatepass")] = ids
+        out = []
         for packed in block.column("documents").to_pylist():
             for batch in pa.ipc.open_stream(packed):
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    pieces = split(text)
-                    out.append((key, b"".join(map(ids.__getitem__, pieces)), b"".join(map(plain.__getitem__, pieces))))
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids = [b"".join(map(known.__getitem__, split(text))) for text in part.column(1).to_pylist()]
+                    out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([decode(x, pieces) for x in ids], pa.binary())], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     rows = id_text(docs, id_col, text_col)
     words = rows.mapInArrow(_words, "word binary, block long").repartition("word").sortWithinPartitions("word").mapInArrow(_by_word, "word binary, blocks array<long>")
-    coded = words.withColumn("coded", _let(rank_map(known), lambda m: encode_word(F.col("word"), m)))
-    plain = coded.withColumn("plain", _let(F.split(F.lit(",".join(by_id)), ","), lambda pieces: decode_ids(F.col("coded"), pieces)))
-    of_block = plain.select(F.explode("blocks").alias("block"), "word", "coded", "plain")
+    coded = words.select("blocks", _let(rank_map(read_ranks(vocabulary(ranks))), lambda m: as_bytes(encode_word(F.col("word"), m))).alias("coded"))
+    of_block = coded.select(F.explode("blocks").alias("block"), "coded")
     packed = rows.mapInArrow(_packed, "block long, documents binary")
     return of_block.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(string, "doc_id long, ids binary, decoded binary")
 
