@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Memo, id_text, rank_encoding, table, vocabulary
 
 #: Text that shares one list of distinct words: so many characters at most (or one longer document).
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Longer words (in bytes) would fold in quadratic time; the public encoder takes those.
 LONGEST = 512
 _BUCKETS = 1 << 14
@@ -139,7 +139,7 @@ def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, keys, texts in _blocks(source):
         batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as writer:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
             writer.write_batch(batch)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.large_binary()).cast(pa.binary())], ["block", "documents"])
 
@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are split by the public pattern. Each task cuts its input into blocks of bounded size and
     lists their distinct words; over all blocks every word is encoded once, by Spark expressions. A
     block's coded words then meet its documents, which travel compressed, in one task that strings
-    the ids of each document together and decodes them. Words over LONGEST bytes go to the public encoder there, as would
+    the ids of each document, and what they decode to, together. Words over LONGEST bytes go to the public encoder there, as would
     words that a block lacks because its input came in another order when a task was run again.
 
     Null and empty texts have no ids. One row per input row, null keys and repeated rows included;
@@ -182,19 +182,29 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def string(words: pa.Table, block: pa.Table) -> pa.Table:
         path = vocabulary(ranks)
         public, split, pieces = rank_encoding(path), _splitter(), _pieces(read_ranks(path))
-        known = Memo(lambda word: np.array(public.encode_ordinary(word), "<u4").tobytes(), 1 << 40)
+        ids: list[bytes] = []
+        plain: list[bytes] = []
+
+        def add(coded: bytes) -> int:
+            ids.append(coded)
+            plain.append(decode(coded, pieces))
+            return len(ids) - 1
+
+        place = Memo(lambda word: add(np.array(public.encode_ordinary(word), "<u4").tobytes()), 1 << 40)
         for chunk in words.column("coded").chunks:
-            coded = chunk.drop_null()
-            for data in coded.to_pylist():  # a word is what its ids decode to
-                ids = from_bytes(data).tobytes()
-                known[decode(ids, pieces).decode("utf-8", "surrogatepass")] = ids
+            for data in chunk.drop_null().to_pylist():  # a word is what its ids decode to
+                k = add(from_bytes(data).tobytes())
+                place[plain[k].decode("utf-8", "surrogatepass")] = k
         out = []
         for packed in block.column("documents").to_pylist():
             for batch in pa.ipc.open_stream(packed):
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    ids = [b"".join(map(known.__getitem__, split(text))) for text in part.column(1).to_pylist()]
-                    out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([decode(x, pieces) for x in ids], pa.binary())], schema=schema))
+                    found = [list(map(place.__getitem__, split(text))) for text in part.column(1).to_pylist()]
+                    columns = [pa.array([b"".join(map(of.__getitem__, x)) for x in found], pa.binary()) for of in (ids, plain)]
+                    out.append(pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema))
+        del place, ids, plain
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema=schema)
 
     rows = id_text(docs, id_col, text_col)
