@@ -131,6 +131,30 @@ def test_cross_entropy_against_brute_force(spark):
     assert len(found) == len(rows)
 
 
+def test_cross_entropy_knows_every_word(spark):
+    rows = [(k, " ".join(f"w{i}" for i in range(k, 3000, 3))) for k in (0, 1, 2)] * 2
+    rows += [(10, "rare words"), (11, "other terms"), (12, "rare terms")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = spark.createDataFrame([(0,), (10,)], "doc_id long")
+    found = {r["doc_id"]: r["score"] for r in crossentropy.cross_entropy_difference(df, wanted).collect()}
+    size = len({w for _, t in rows for w in t.split()}) + 2
+
+    def loss(texts, text):
+        pair, after, before = Counter(), Counter(), Counter()
+        for t in texts:
+            words = ["", *t.split()]
+            pair.update(zip(words, words[1:], strict=False))
+            after.update(words[1:])
+            before.update(words[:-1])
+        words = ["", *text.split()]
+        single = lambda q: (after[q] + 0.5) / (after.total() + 0.5 * size)
+        return np.mean([-np.log((pair[p, q] + crossentropy.WEIGHT * single(q)) / (before[p] + crossentropy.WEIGHT)) for p, q in zip(words, words[1:], strict=False)])
+
+    for k, text in rows:
+        assert abs(found[k] - loss([t for i, t in rows if i in (0, 10)], text) + loss([t for _, t in rows], text)) < 1e-9
+    assert found[10] < found[12] < found[11]
+
+
 def test_cross_entropy_ranks_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
