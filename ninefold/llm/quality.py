@@ -12,18 +12,18 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, table
 
-#: Name -> (numerator, denominator) of the shares that get adaptive upper bounds, and the least
-#: excess over the median that counts as an outlier.
+#: Name -> (numerator, denominator) of the shares that get adaptive upper bounds, and the bound: so
+#: many distances (that quantile less median) above the median, with a small floor for groups in
+#: which the two are equal. Symbols mark whole bad sources, so they go by a quantile that those
+#: leave alone; the others are rare in good texts too and go by the tail.
 SHARES = {
-    "symbols": ("n_symbols", "word_chars", 0.02),
-    "capitals": ("n_capitals", "word_chars", 0.25),
-    "marks": ("n_marks", "word_chars", 0.10),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.60),
-    "repeats": ("n_repeat_words", "n_words", 0.45),
-    "word_chars": ("word_chars", "n_words", 8.0),
+    "symbols": ("n_symbols", "word_chars", 0.75, 6.0, 0.01),
+    "capitals": ("n_capitals", "word_chars", 0.99, 2.0, 0.01),
+    "marks": ("n_marks", "word_chars", 0.99, 2.0, 0.01),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.99, 2.0, 0.01),
+    "repeats": ("n_repeat_words", "n_words", 0.99, 2.0, 0.01),
+    "word_chars": ("word_chars", "n_words", 0.99, 2.0, 0.1),
 }
-#: An outlier lies so many distances (upper quartile less median) above the median.
-SPREADS = 6.0
 #: Groups with fewer documents take the merged sketch of their language, then that of all.
 LEAST_DOCS = 200
 #: A table of thresholds up to so many rows is broadcast (under 2 MB), a larger one is not.
@@ -73,7 +73,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "__q_",
 
 
 def _share(kind: str, prefix: str) -> Column:
-    above, below, _ = SHARES[kind]
+    above, below, *_ = SHARES[kind]
     return F.when(F.col(prefix + below) > 0, F.col(prefix + above) / F.col(prefix + below)).otherwise(F.lit(0.0))
 
 
@@ -97,8 +97,9 @@ def adaptive_thresholds(measured: DataFrame, lang_col: str = "lang", source_col:
 
     def bound(kind: str) -> Column:
         best = F.when(F.col("n") >= LEAST_DOCS, F.col(kind)).when(F.col("n_l") >= LEAST_DOCS, F.col(f"{kind}_l")).otherwise(F.col(f"{kind}_a"))
-        mid, high = F.kll_sketch_get_quantile_double(best, F.lit(0.5)), F.kll_sketch_get_quantile_double(best, F.lit(0.75))
-        return F.when(F.col("n_a") > 0, mid + F.greatest(SPREADS * (high - mid), F.lit(SHARES[kind][2]))).alias(f"__max_{kind}")
+        quantile, spreads, floor = SHARES[kind][2:]
+        mid, high = F.kll_sketch_get_quantile_double(best, F.lit(0.5)), F.kll_sketch_get_quantile_double(best, F.lit(quantile))
+        return F.when(F.col("n_a") > 0, mid + F.greatest(spreads * (high - mid), F.lit(floor))).alias(f"__max_{kind}")
 
     return joined.select("__lang", "__source", *[bound(k) for k in SHARES])
 

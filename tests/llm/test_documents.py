@@ -38,6 +38,14 @@ def test_quality_counts(docs, odd_docs):
     assert quality.quality_rules(both.limit(0)).count() == 0
 
 
+def test_quality_bounds_come_from_the_group(spark):
+    lines = lambda k, twice: "\n".join(f"w{k:04}a{i} w{k:04}b{i} w{k:04}c{i}" for i in [*range(40), *range(twice)])
+    rows = [(k, lines(k, 0), "en", "plain") for k in range(300)] + [(1000 + k, lines(k, k % 10), "en", "lists") for k in range(300)]
+    rows += [(2000, lines(2000, 8), "en", "plain"), (2001, lines(2001, 8), "en", "lists")]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not found[2000] and found[2001] and all(kept for k, kept in found.items() if k < 2000)
+
+
 def test_quality_separates_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
