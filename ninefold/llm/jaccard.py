@@ -240,25 +240,24 @@ def _open(task: pa.Table, size: int, threshold: int) -> list[tuple[int, int]]:
 
     links: list[tuple[int, int]] = []
     component = np.full(len(members), -1)
-    if task.column("inside")[0].as_py():
-        left = np.ones(len(members), bool)
-        for seed in range(len(members)):
-            if not left[seed]:
-                continue
-            left[seed], component[seed] = False, seed
-            queue = [seed]
-            while queue and left.any():
-                k = queue.pop()
-                for m in near(members[k], left):
-                    links.append((int(ids[members[k]]), int(ids[members[m]])))
-                    left[m], component[m] = False, seed
-                    queue.append(m)
-            for k in queue:
-                component[k] = seed
+    left = np.ones(len(members), bool)
+    for seed in range(len(members)):
+        if not left[seed]:
+            continue
+        left[seed], component[seed] = False, seed
+        queue = [seed]
+        while queue and left.any():
+            k = queue.pop()
+            for m in near(members[k], left):
+                links.append((int(ids[members[k]]), int(ids[members[m]])))
+                left[m], component[m] = False, seed
+                queue.append(m)
+        for k in queue:
+            component[k] = seed
     every = np.ones(len(members), bool)
     for k in askers:
         found = near(k, every)
-        if len(found) and (component >= 0).all():  # one link to each component says all
+        if len(found):  # one link to each component says all
             found = found[np.unique(component[found], return_index=True)[1]]
         links += [(int(ids[k]), int(ids[members[m]])) for m in found]
     return links
@@ -362,23 +361,31 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
     return placed.repartition("grp").sortWithinPartitions("grp", "asks", "id").mapInArrow(judge, "grp long, id long, asks boolean")
 
 
-def _links(docs: DataFrame, seats: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
-    """(a, b): links between different sets, enough to connect all that are linked."""
+def _placed(seats: DataFrame) -> DataFrame:
+    """(grp, id, part, share, asks): who meets in which task, about GROUP_ROWS members and GROUP_ROWS
+    asking sets at most in each."""
     plan = seats.groupBy("grp").agg(F.sum((~F.col("asks")).cast("long")).alias("members"), F.sum(F.col("asks").cast("long")).alias("calls"))
     plan = plan.filter("members > 1 or calls > 0").select("grp", F.ceil(F.col("members") / GROUP_ROWS).cast("int").alias("parts"), F.ceil(F.col("calls") / GROUP_ROWS).cast("int").alias("shares"))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
     split = seats.filter("not asks").join(plan, "grp").withColumn("part", deal(F.col("parts")))
-    # Members meet in share 0 among themselves, and again in each share of the sets that ask. In a
-    # group that was split, each member also asks the parts before its own.
-    inner = split.filter("part > 0").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), F.lit(0).alias("share"), F.lit(True).alias("asks"))
-    member = split.select("grp", "id", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shares") - 1, F.lit(0)))).alias("share"), F.lit(False).alias("asks"))
+    # Members meet among themselves in each share of the sets that ask. In a group that was split,
+    # each member also asks the parts before its own; each later part is a share of its own there.
+    own = F.greatest(F.col("shares"), F.lit(1))
+    inner = split.filter("part > 0").select("grp", "id", F.col("part").alias("mine"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"))
+    inner = inner.select("grp", "id", "part", (F.col("own") + F.col("mine") - F.col("part") - 1).alias("share"), F.lit(True).alias("asks"))
+    member = split.select("grp", "id", "part", F.explode(F.sequence(F.lit(0), own + F.greatest(F.col("parts") - 2 - F.col("part"), F.lit(-1)))).alias("share"), F.lit(False).alias("asks"))
     outer = seats.filter("asks").join(plan, "grp").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), deal(F.col("shares")).alias("share"), F.lit(True).alias("asks"))
-    placed = checkpointed(member.unionByName(inner).unionByName(outer))
+    return member.unionByName(inner).unionByName(outer)
+
+
+def _links(docs: DataFrame, seats: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """(a, b): links between different sets, enough to connect all that are linked."""
+    placed = checkpointed(_placed(seats))
     wanted = placed.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     if (few := _bounded(wanted)) is not wanted:
         texts = texts.join(few, "id", "left_semi")
-    met = texts.dropDuplicates(["id"]).join(placed, "id").select("grp", "part", "share", "asks", "id", "text", (F.col("share") == 0).alias("inside"))
+    met = texts.dropDuplicates(["id"]).join(placed, "id").select("grp", "part", "share", "asks", "id", "text")
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         links = _open(group, size, threshold)

@@ -107,3 +107,15 @@ def test_odd_vectors(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 8, 2.0)]
     assert neighbours.nearest_neighbours(df.limit(0), df).count() == 0
     assert neighbours.nearest_neighbours(df, df.limit(0)).count() == 0
+
+
+def test_split_groups_stay_within_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 100)
+    seats = spark.range(1500).selectExpr("7L AS grp", "id", "id >= 1200 AS asks")
+    rows = jaccard._placed(seats).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault((r["part"], r["share"]), ([], []))[r["asks"]].append(r["id"])
+    assert max(len(side) for task in tasks.values() for side in task) <= 150
+    met = {frozenset((a, b)) for members, askers in tasks.values() for a in members for b in [*members, *askers] if a != b}
+    assert all(frozenset((a, b)) in met for a in range(1200) for b in range(a + 1, 1500))
