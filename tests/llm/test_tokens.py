@@ -101,6 +101,30 @@ def test_bpe(docs, odd_docs):
     assert bpe.encode_documents(docs.limit(0)).count() == 0
 
 
+def test_long_words(spark, monkeypatch):
+    """Words over the lengths at which they are cut, folded or left to the public encoder."""
+    import random
+
+    monkeypatch.setattr(bpe, "LONGEST", 300)
+    r = random.Random(3)
+    texts = ["x" * n for n in (63, 64, 65, 299, 300, 301, 5000)] + ["".join(r.choices("ACGT", k=n)) for n in (80, 290, 900)]
+    texts += ["漢字仮名交じり文" * 40, "ДлинноеСловоБезПробелов" * 30, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(2000)), "🙂" * 200, " " * 500 + "a", "!?" * 400, "é" * 333]
+    ranks = rank_encoding(vocabulary("byte_bpe_50k.tiktoken"))
+    found = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        text = texts[row["doc_id"]]
+        assert list(array.array("I", bytes(row["ids"]))) == ranks.encode_ordinary(text)
+        assert bytes(row["decoded"]) == text.encode()
+
+
+def test_words_fold_alike_in_small_blocks_and_parts(docs, monkeypatch):
+    """Documents over many blocks and words over many parts come out as in one."""
+    few = docs.select("doc_id", "text").limit(80).coalesce(1)
+    whole = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_documents(few).collect()}
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(bpe, "PART_WORDS", 700)
+    assert whole == {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_documents(few).collect()}
 
 
 def test_counts_match_the_public_unigram_model(docs, odd_docs):
