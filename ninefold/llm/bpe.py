@@ -14,17 +14,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, rank_encoding, table, vocabulary
+from .common import id_text, rank_encoding, table, vocabulary
 
 #: Text of a block, which lists its distinct words once: so many characters at most (or one longer document).
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 #: Words over so many characters are cut wherever two bytes meet that no token holds side by side; no
 #: merge can cross such a place, so the ids stay the same.
 CUT = 64
 #: What is left over so many bytes goes to the public encoder: the fold is quadratic in a word.
 LONGEST = 4096
-#: Words (of all blocks) in each part that they are dealt into by hash.
-PART_WORDS = 250_000
+#: Bytes of text for each part that the distinct words of all blocks are dealt into by hash.
+PART_BYTES = 16_000_000
 _BUCKETS = 1 << 16
 _NONE = 1 << 30
 _PLACES = 1 << 20
@@ -178,9 +178,8 @@ def _blocks(rows: DataFrame, ranks: str) -> DataFrame:
             at = np.concatenate(places)
             planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)  # by significance: smaller
             packed = [_pack(np.array(lengths, np.int64)), _pack(planes), *_pack_bytes([w.encode() if isinstance(w, str) else w for w in index])]
-            names = ["block", "keys", "n_words", "lengths", "places", "words", "sizes"]
-            columns = [pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([len(index)], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)]
-            return pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packed)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "keys", "lengths", "places", "words", "sizes"])
 
         for batch in source:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -198,7 +197,7 @@ def _blocks(rows: DataFrame, ranks: str) -> DataFrame:
         if keys:
             yield close()
 
-    return rows.mapInArrow(run, "block long, keys array<bigint>, n_words long, lengths binary, places binary, words binary, sizes binary")
+    return rows.mapInArrow(run, "block long, keys array<bigint>, lengths binary, places binary, words binary, sizes binary")
 
 
 def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
@@ -207,7 +206,7 @@ def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for block, data, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, data, sizes in zip(*(batch.column(n).to_pylist() for n in ("block", "words", "sizes")), strict=True):
                 words = _unpack_bytes(data, sizes)
                 if not words:
                     continue
@@ -219,7 +218,7 @@ def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
                     out.append((p, block, _pack(np.diff(order[x:y], prepend=0).astype(np.int32)), *_pack_bytes([words[k] for k in order[x:y].tolist()])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "steps", "words", "sizes"])
 
-    return blocks.select("block", "words", "sizes").mapInArrow(run, "part long, block long, steps binary, words binary, sizes binary")
+    return blocks.mapInArrow(run, "part long, block long, steps binary, words binary, sizes binary")
 
 
 def _distinct(ranks: str):
@@ -245,35 +244,47 @@ def _sent_back(key: tuple, coded: pa.Table, dealt: pa.Table) -> pa.Table:
     for r in dealt.to_pylist():
         rows = np.fromiter(map(place.__getitem__, _unpack_bytes(r["words"], r["sizes"])), np.int64)
         found, many = _take(ids, sizes, rows)
-        out.append((r["block"], r["steps"], _pack(found), _pack(many.astype(np.int32)), *_pack_bytes([plain[k] for k in rows.tolist()])))
+        out.append((r["block"], r["steps"], _pack(found), _pack(4 * many.astype(np.int32)), *_pack_bytes([plain[k] for k in rows.tolist()])))
     return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64() if not k else pa.binary()) for k in range(6)], ["block", "steps", "ids", "n_ids", "plain", "n_plain"])
 
 
-def _strung(key: tuple, coded: pa.Table, block: pa.Table) -> pa.Table:
+def _strung(ranks: str):
     """The documents of a block: the ids of their words and what these decode to, strung together."""
-    out = []
-    rows = coded.to_pylist()
-    at = np.concatenate([np.cumsum(_unpack(r["steps"], np.int32)) for r in rows]) if rows else np.zeros(0, np.int64)
-    of = {n: (np.concatenate([_unpack(r[n], t) for r in rows]), np.concatenate([_unpack(r["n_" + n], np.int32) for r in rows])) if rows else (np.zeros(0, t), np.zeros(0, np.int32)) for n, t in (("ids", np.int32), ("plain", np.uint8))}
-    where = np.empty(len(at), np.int64)
-    where[at] = np.arange(len(at))
-    for r in block.to_pylist():
-        lengths = _unpack(r["lengths"], np.int64)
-        places = where[np.ascontiguousarray(_unpack(r["places"], np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)]
-        ends = np.cumsum(lengths)
-        first = 0
-        while first < len(lengths):  # some documents at a time
-            begin = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, begin + 300_000, "right")))
-            words, cuts = places[begin : ends[last - 1]], np.r_[0, ends[first:last] - begin]
-            columns = [pa.array(r["keys"][first:last], pa.int64())]
-            for values, sizes in of.values():
-                data, many = _take(values, sizes, words)
-                offsets = (np.r_[0, np.cumsum(many)][cuts] * data.itemsize).astype(np.int32)
-                columns.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
-            out.append(pa.RecordBatch.from_arrays(columns, schema=_CODED))
-            first = last
-    return pa.Table.from_batches(out, schema=_CODED)
+
+    def run(key: tuple, coded: pa.Table, block: pa.Table) -> pa.Table:
+        out = []
+        rows = coded.to_pylist()
+        for r in block.to_pylist():
+            words = _unpack_bytes(r["words"], r["sizes"])
+            ids, plain = [b""] * len(words), [b""] * len(words)
+            for c in rows:
+                at = np.cumsum(_unpack(c["steps"], np.int32)).tolist()
+                for k, i, x in zip(at, _unpack_bytes(c["ids"], c["n_ids"]), _unpack_bytes(c["plain"], c["n_plain"]), strict=True):
+                    if k < len(words):
+                        ids[k], plain[k] = i, x
+            if plain != words:  # the input came in another order when a lost task was run again
+                public, pieces = rank_encoding(vocabulary(ranks)), {v: k for k, v in read_ranks(vocabulary(ranks)).items()}
+                for k in (k for k, w in enumerate(words) if plain[k] != w):
+                    found = public._encode_single_piece(words[k])
+                    ids[k], plain[k] = np.array(found, np.int32).tobytes(), b"".join(pieces[i] for i in found)
+            values = [(np.frombuffer(b"".join(x), t), np.fromiter(map(len, x), np.int64, len(x)) // t().itemsize) for x, t in ((ids, np.int32), (plain, np.uint8))]
+            lengths = _unpack(r["lengths"], np.int64)
+            places = np.ascontiguousarray(_unpack(r["places"], np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+            ends, first = np.cumsum(lengths), 0
+            while first < len(lengths):  # some documents at a time
+                begin = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, begin + 300_000, "right")))
+                cuts = np.r_[0, ends[first:last] - begin]
+                columns = [pa.array(r["keys"][first:last], pa.int64())]
+                for known, sizes in values:
+                    data, many = _take(known, sizes, places[begin : ends[last - 1]])
+                    offsets = (np.r_[0, np.cumsum(many)][cuts] * data.itemsize).astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+                out.append(pa.RecordBatch.from_arrays(columns, schema=_CODED))
+                first = last
+        return pa.Table.from_batches(out, schema=_CODED)
+
+    return run
 
 
 _CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
@@ -284,26 +295,26 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bit), decoded (binary).
 
     Texts are split once, by the public pattern, into blocks that hold each distinct word once and
-    each document as places of words; blocks are written to a checkpoint. Words leave the blocks,
-    dealt into parts by hash, and each distinct word of all blocks is encoded and decoded once by
-    Spark expressions. The parts go back to the blocks, where the ids of each document and the bytes
-    that these decode to are strung together. No text is shuffled, and a word that every document
-    has is one row of each block.
+    each document as places of words; these go through one shuffle, which both later uses read.
+    Words leave the blocks, dealt into parts by hash, and each distinct word of all blocks is encoded
+    and decoded once by Spark expressions. The parts go back to the blocks, where the ids of each
+    document and the bytes that these decode to are strung together. No text is shuffled, and a word
+    that every document has is one row of each block. A block that came out otherwise when a lost
+    task was run again finds words that were not sent back to it, and has these encoded there.
 
     Null and empty texts have no ids. One row per input row, null keys and repeated rows included;
     other columns are ignored; an empty table gives no rows. Words over CUT characters are cut where
     no merge can cross; a piece that is still over LONGEST bytes is encoded by the public encoder.
     """
-    known = read_ranks(vocabulary(ranks))
-    blocks = checkpointed(_blocks(id_text(docs, id_col, text_col), ranks))
-    parts = 1 + (blocks.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS
+    known, rows = read_ranks(vocabulary(ranks)), id_text(docs, id_col, text_col)
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    blocks = _blocks(rows, ranks).repartition("block")  # whole rows in both uses, so that they share the exchange
     dealt = _dealt(blocks, parts)
     words = dealt.groupBy("part").applyInArrow(_distinct(ranks), "part long, word binary, given array<bigint>")
     coded = words.select("part", F.coalesce("given", _let(merge_ranks(known), lambda m: encode_word(F.col("word"), known, m))).alias("ids"))
     coded = coded.select("part", "ids", decode_ids(F.col("ids"), known).alias("plain"))
     back = coded.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_sent_back, "block long, steps binary, ids binary, n_ids binary, plain binary, n_plain binary")
-    documents = blocks.select("block", "keys", "lengths", "places")
-    return back.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(_strung, "doc_id long, ids binary, decoded binary")
+    return back.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_strung(ranks), "doc_id long, ids binary, decoded binary")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

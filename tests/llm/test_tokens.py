@@ -123,7 +123,7 @@ def test_words_fold_alike_in_small_blocks_and_parts(docs, monkeypatch):
     few = docs.select("doc_id", "text").limit(80).coalesce(1)
     whole = {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_documents(few).collect()}
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 20_000)
-    monkeypatch.setattr(bpe, "PART_WORDS", 700)
+    monkeypatch.setattr(bpe, "PART_BYTES", 9_000)
     assert whole == {r["doc_id"]: (bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_documents(few).collect()}
 
 
