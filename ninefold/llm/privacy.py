@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 #: What personal data looks like (patterns of Java's regular expressions).
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Repeated groups are bounded and inner loops possessive, so that no text makes the search deep or slow.
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,63}"
 IP = r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?![\w]|[.-]\d)|(?<![\w(+])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[.-]\d)"
 SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?![\w-])"
 #: Titles by grammatical gender; the names behind them are personal data.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "n": ["Dr", "Prof"]}
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
+PARTICLES = ["al", "bin", "da", "de", "del", "den", "der", "di", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "y", "zu"]
+#: A word of a name; a genitive 's is not part of it.
+WORD = r"\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++){0,8}"
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(t for g in TITLES.values() for t in g) + rf")\.? (?:{_PARTICLE} ){{0,3}}{WORD}(?: (?:{_PARTICLE} ){{0,3}}{WORD}){{0,3}}"
 PERSONAL = "|".join((EMAIL, PHONE, SOCIAL, IP, CARD, NAME))
+#: In texts with names, every capitalised word is looked at: it may be a later mention without title.
+MENTION = PERSONAL + r"|(?<![\p{L}\p{N}_])" + WORD + r"(?![\w.%+-]*+@)"
 
 #: Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -30,9 +37,14 @@ SYLLABLES = {
     "greek": ["βα", "βε", "βο", "δα", "δε", "δο", "κα", "κε", "κο", "λα", "λε", "λο", "μα", "με", "μο", "να", "νε", "νο", "ρα", "ρε", "ρο", "σα", "σε", "σο", "τα", "τε", "το", "φα", "φε", "φο", "ζα", "ζο"],
 }
 HOSTS = ["example.com", "example.net", "example.org"]
+#: Endings of made-up given names by script and gender.
+ENDINGS = {"latin": {"f": "ina", "m": "us", "n": "el"}, "cyrillic": {"f": "ина", "m": "ий", "n": "ель"}, "greek": {"f": "ίνα", "m": "ος", "n": "ης"}}
 TYPES = ("email", "phone", "ssn", "ip", "card", "name")
-#: Times that a surrogate which is taken is derived anew before a number is put behind it.
-ROUNDS = 6
+#: Times that a surrogate which is taken is derived anew. Names and local parts grow longer with each,
+#: numbers do not, so they run out only when nearly all numbers of a form are in use.
+ROUNDS = 64
+#: Surrogates up to so many rows (some 100 bytes each) are broadcast; longer lists are joined by a shuffle.
+BROADCAST_ENTITIES = 50_000
 
 
 def _digits(c: Column) -> Column:
@@ -40,20 +52,19 @@ def _digits(c: Column) -> Column:
 
 
 def type_of(match: Column) -> Column:
+    """Kind of a match; `word` is a capitalised word that may be a name."""
     return (
-        F.when(F.contains(match, F.lit("@")), "email").when(match.rlike(r"^\p{L}"), "name").when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(match.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(match.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").otherwise("card")
-    )
+        F.when(F.contains(match, F.lit("@")), "email").when(match.rlike(r"^\p{L}") & F.contains(match, F.lit(" ")), "name").when(match.rlike(r"^\p{L}"), "word")
+        .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(match.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(match.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").otherwise("card")
+    )
 
 
 def canonical(kind: Column, match: Column) -> Column:
-    """One form for all spellings of an entity, so that all get the same surrogate."""
-    name = F.lower(F.regexp_replace(match, r"^\p{L}+\.? ", ""))
-    return F.when(kind == "email", F.lower(match)).when(kind == "name", F.concat(_gender(match), F.lit(":"), name)).when(kind == "ip", match).otherwise(_digits(match))
+    """One form for all spellings of an address or number, so that all get the same surrogate."""
+    return F.when(kind == "email", F.lower(match)).when(kind == "ip", match).otherwise(_digits(match))
 
 
-def _gender(match: Column) -> Column:
-    title = F.regexp_extract(match, r"^\p{L}+", 0)
+def _gender(title: Column) -> Column:
     return F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("n")
 
 
@@ -89,7 +100,8 @@ def surrogate(key: Column, kind: Column, value: Column, attempt: Column) -> Colu
     """A replacement of the same type for a canonical value.
 
     Phone numbers keep their length and first digit, card numbers also the validity of their check
-    digit, e-mail addresses the form of their local part, names gender and script."""
+    digit, e-mail addresses the form of their local part. Names come word by word, as
+    role:gender:word with role g (given) or f (family), and keep role, gender and script."""
     stream = _stream(key, kind, value, attempt)
     changed = _same_form(value, stream, False)
     keep_first = F.concat(F.substring(value, 1, 1), F.substring(changed, F.lit(2), F.length(value)))
@@ -99,16 +111,21 @@ def surrogate(key: Column, kind: Column, value: Column, attempt: Column) -> Colu
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     hosts = F.array(*map(F.lit, HOSTS))
     host_stream = _stream(key, F.lit("host"), host, F.lit(0))
-    email = F.concat(_same_form(local, stream, True), F.lit("@mail"), _number(host_stream, 0, 10000).cast("string"), F.lit("."), F.get(hosts, _number(host_stream, 1, len(HOSTS))))
+    longer = F.when(attempt > 2, F.substring(F.conv(F.substring(stream, 40, 12), 16, 10), F.lit(1), attempt - 2)).otherwise("")
+    email = F.concat(_same_form(local, stream, True), longer, F.lit("@mail"), _number(host_stream, 0, 10000).cast("string"), F.lit("."), F.get(hosts, _number(host_stream, 1, len(HOSTS))))
     ip = F.concat_ws(".", *[(_number(stream, k, 254) + 1).cast("string") for k in range(4)])
-    words = F.split(F.substring_index(value, ":", -1), " ")
+    role, gender, word = (F.get(F.split(value, ":"), k) for k in range(3))
     name = F.lit(None).cast("string")
-    for script, (letters, gender) in [(s, (r, g)) for s, r in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", r"\p{L}")) for g in ("f", "m", "n")]:
-        given = F.array(*map(F.lit, GIVEN[script]["f"] + GIVEN[script]["m"] if gender == "n" else GIVEN[script][gender]))
+    for script, letters in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        family = F.initcap(F.concat(*[F.get(syllables, _number(stream, k + 1, 32)) for k in range(4)]))
-        both = F.when(F.size(words) > 1, F.concat(F.get(given, _number(stream, 0, len(GIVEN[script]["f"]) * (2 if gender == "n" else 1))), F.lit(" "), family)).otherwise(family)
-        name = F.coalesce(name, F.when(F.substring_index(value, ":", -1).rlike(letters) & (F.substring_index(value, ":", 1) == gender), both))
+        made = lambda count, s=syllables: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.get(s, (F.conv(F.substring(stream, k * 3 % 60 + 2, F.lit(3)), 16, 10).cast("int") % 32).cast("int"))), "")
+        of = lambda pick: F.when(gender == "f", pick("f")).when(gender == "m", pick("m")).otherwise(pick("n"))
+        lists = {g: GIVEN[script]["f"] + GIVEN[script]["m"] if g == "n" else GIVEN[script][g] for g in "fmn"}
+        listed = of(lambda g, x=lists: F.get(F.array(*map(F.lit, x[g])), _number(stream, 0, len(x[g]))))
+        ending = of(lambda g, s=script: F.lit(ENDINGS[s][g]))
+        given = F.when(attempt < 2, listed).otherwise(F.initcap(F.concat(made(F.lit(2) + (attempt / 3).cast("int")), ending)))
+        family = F.initcap(made(F.lit(4) + (attempt / 3).cast("int")))
+        name = F.coalesce(name, F.when(word.rlike(letters), F.when(role == "g", given).otherwise(family)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", name).when(kind == "card", card).when(kind == "ssn", changed).otherwise(keep_first)
 
 
@@ -119,48 +136,58 @@ def _render(kind: Column, match: Column, replacement: Column) -> Column:
         lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(replacement, s["used"] + 1, F.lit(1))).alias("out"), (s["used"] + 1).alias("used"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["used"].alias("used"))),
         lambda s: s["out"],
     )
-    title = F.regexp_extract(match, r"^\p{L}+\.? ", 0)
+    capitals = (match == F.upper(match)) & (F.length(match) > 1)
     plain = kind.isin("phone", "card", "ssn") & (F.length(replacement) == F.length(_digits(match)))
-    return F.when(kind == "name", F.concat(title, replacement)).when(plain, filled).otherwise(replacement)
+    return F.when(kind == "name", F.when(capitals, F.upper(replacement)).otherwise(replacement)).when(plain, filled).otherwise(replacement)
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value): no two the same, and none that is itself a
-    value found in the texts. What collides is derived again; after ROUNDS a number is put behind."""
+    """kind, value, surrogate for distinct (kind, value): no two of a kind the same, and none that is
+    itself a value found in the texts. What collides is derived again, ROUNDS times at most."""
     secret = F.lit(key)
     entities = checkpointed(entities)
+    own = entities.select("kind", F.lower(F.when(F.col("kind") == "name", F.substring_index("value", ":", -1)).otherwise(F.col("value"))).alias("folded"))
     done, open_ = None, entities
-    for attempt in range(ROUNDS + 1):
-        last = attempt == ROUNDS
-        tried = open_.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("value"), F.lit(attempt)))
-        taken = entities.select("kind", F.when(F.col("kind") == "name", F.substring_index("value", ":", -1)).otherwise(F.col("value")).alias("surrogate")).distinct().withColumn("taken", F.lit(True))
-        if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate").withColumn("taken", F.lit(True)))
-        same = Window.partitionBy("kind", "folded").orderBy("value")
-        folded = tried.withColumn("folded", F.lower("surrogate"))
-        folded = folded.join(taken.select("kind", F.lower("surrogate").alias("folded"), "taken").distinct(), ["kind", "folded"], "left")
-        placed = folded.withColumn("place", F.row_number().over(same)).withColumn("free", F.col("taken").isNull() & (F.col("place") == 1))
-        if last:
-            placed = placed.withColumn("surrogate", F.when(F.col("free"), F.col("surrogate")).otherwise(F.concat("surrogate", F.lit("-"), F.col("place").cast("string"), F.lit("x"), F.substring(F.sha2("value", 256), 1, 12)))).withColumn("free", F.lit(True))
-        placed = checkpointed(placed.select("kind", "value", "surrogate", "free"))
+    for attempt in range(ROUNDS):
+        tried = open_.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("value"), F.lit(attempt))).withColumn("folded", F.lower("surrogate"))
+        taken = own if done is None else own.unionByName(done.select("kind", F.lower("surrogate").alias("folded")))
+        known = tried.join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "folded"], "left")
+        placed = known.withColumn("place", F.row_number().over(Window.partitionBy("kind", "folded").orderBy("value")))
+        placed = checkpointed(placed.select("kind", "value", "surrogate", (F.col("taken").isNull() & (F.col("place") == 1)).alias("free")))
         now = placed.filter("free").select("kind", "value", "surrogate")
         done = now if done is None else done.unionByName(now)
         open_ = placed.filter("not free").select("kind", "value")
-        if last or open_.isEmpty():
+        if open_.isEmpty():
             return done
-    return done
+    raise ValueError(f"nearly every value of a form is in use: no free surrogates after {ROUNDS} rounds")
+
+
+def _name_words(parts: DataFrame) -> DataFrame:
+    """For the words of titled names (digest, title, word, role): digest, word and value, where value
+    says role, gender and word. A given name has the gender of most of its titles in all texts."""
+    votes = parts.filter("role = 'g'").groupBy("word").agg(F.sum((F.col("gender") == "f").cast("int")).alias("f"), F.sum((F.col("gender") == "m").cast("int")).alias("m"))
+    settled = votes.select("word", F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n").alias("settled"))
+    known = parts.groupBy("digest", "word").agg(F.max("role").alias("role"))  # a word that is both counts as a given name
+    joined = known.join(settled, "word", "left")
+    return joined.select("digest", "word", F.concat_ws(":", "role", F.when(F.col("role") == "g", F.col("settled")).otherwise("n"), "word").alias("value"))
 
 
 def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace personal data in every whole text: doc_id, text, n_entities, and found, an array of
     (kind, surrogate) in the order of the text.
 
-    Found are e-mail addresses, telephone, social security, card and IP numbers, and names behind a
-    title. Every spelling of an entity gets the same surrogate in all documents, different entities
-    get different ones, under one key always the same. Only matches are shuffled, and texts that
-    have any; texts are told apart by their digest, so rows that repeat share the work and a hot
-    text counts once. Null texts stay null and empty ones empty. One row per input row; other
-    columns are ignored; an empty table gives no rows.
+    Found are e-mail addresses, telephone, social security, card and IP numbers, names behind a title
+    (with particles), and in the same text every later or earlier mention of a word of such a name.
+    Every spelling of an address or number gets the same surrogate in all documents, and names are
+    replaced word by word: John Smith, Dr Smith, Mr John Smith and Smith stay one person, and a given
+    name has one gender. Words keep role, script and capitals, titles and particles stay. Different
+    entities get different surrogates, none of which occurs in the texts as an entity. The same key
+    and table give the same surrogates; other tables may collide, and be resolved, otherwise.
+
+    Only matches are shuffled, and texts that have any; texts are told apart by their digest, so rows
+    that repeat share the work and a hot text counts once. Null texts stay null and empty ones empty.
+    One row per input row; other columns are ignored; an empty table gives no rows. No text makes the
+    patterns recurse deeply: repeated groups are bounded (an address has 126 labels at most).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Every kind has a digit, an @ or a title; plain searches for these spare most texts the patterns.
@@ -169,16 +196,36 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         may |= F.contains("text", F.lit(title))
     rows = rows.withColumn("matches", F.when(may, F.regexp_extract_all("text", F.lit(PERSONAL), F.lit(0))))
     without = rows.filter("matches is null or size(matches) = 0").select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<struct<kind:string,surrogate:string>>").alias("found"))
-    having = rows.filter("size(matches) > 0").withColumn("digest", F.sha2("text", 256))
+    named = F.exists("matches", lambda m: type_of(m) == "name")
+    having = rows.filter("size(matches) > 0").withColumn("named", named).withColumn("digest", F.sha2("text", 256))
+    having = having.withColumn("matches", F.when(F.col("named"), F.regexp_extract_all("text", F.lit(MENTION), F.lit(0))).otherwise(F.col("matches")))
     texts = having.select("digest", "matches").groupBy("digest").agg(F.first("matches").alias("matches"))
-    single = texts.select("digest", F.posexplode("matches").alias("place", "match")).withColumn("kind", type_of(F.col("match"))).withColumn("value", canonical(F.col("kind"), F.col("match")))
-    single = checkpointed(single)
-    chosen = assign_surrogates(single.select("kind", "value").distinct(), key)
-    named = single.join(chosen, ["kind", "value"]).select("digest", "place", "kind", _render(F.col("kind"), F.col("match"), F.col("surrogate")).alias("surrogate"))
-    of_text = named.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate"))), lambda s: F.struct(s["kind"].alias("kind"), s["surrogate"].alias("surrogate"))).alias("found"))
-    gaps = F.split("text", PERSONAL, -1)
-    text = F.array_join(F.flatten(F.zip_with(gaps, "found", lambda gap, s: F.array(gap, F.coalesce(s["surrogate"], F.lit(""))))), "")
-    replaced = having.select("doc_id", "text", "digest").join(of_text, "digest").select("doc_id", text.alias("text"), F.size("found").alias("n_entities"), "found")
+    single = checkpointed(texts.select("digest", F.posexplode("matches").alias("place", "match")).withColumn("kind", type_of(F.col("match"))))
+
+    # Names: the words behind the title, the last of which is the family name.
+    is_name = F.col("kind").isin("name", "word")
+    pieces = single.filter(is_name).select("digest", "place", "kind", F.posexplode(F.split("match", " ")).alias("at", "piece"), F.size(F.split("match", " ")).alias("n"))
+    pieces = pieces.withColumn("word", F.when(((F.col("kind") == "word") | (F.col("at") > 0)) & ~F.col("piece").isin(PARTICLES), F.lower("piece")))
+    title = single.filter("kind = 'name'").select("digest", "place", F.regexp_extract("match", r"^\p{L}+", 0).alias("title"))
+    parts = pieces.filter("kind = 'name' and word is not null").join(title, ["digest", "place"])
+    parts = parts.select("digest", "word", _gender(F.col("title")).alias("gender"), F.when(F.col("at") == F.col("n") - 1, "f").otherwise("g").alias("role"))
+    words = checkpointed(_name_words(parts))
+    plain = single.filter(~is_name).withColumn("value", canonical(F.col("kind"), F.col("match")))
+
+    # One surrogate for each value, then back to its places.
+    chosen = checkpointed(assign_surrogates(plain.select("kind", "value").unionByName(words.select(F.lit("name").alias("kind"), "value")).distinct(), key))
+    few = chosen.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    chosen = F.broadcast(chosen) if few else chosen  # else a shuffle, whose hot values the adaptive skew join splits
+    numbers = plain.join(chosen, ["kind", "value"]).select("digest", "place", "kind", _render(F.col("kind"), F.col("match"), F.col("surrogate")).alias("surrogate"))
+    of_word = words.withColumn("kind", F.lit("name")).join(chosen, ["kind", "value"]).select("digest", "word", "surrogate")
+    spoken = pieces.join(of_word, ["digest", "word"], "left").withColumn("piece_out", F.coalesce(_render(F.lit("name"), F.col("piece"), F.col("surrogate")), F.col("piece")))
+    people = spoken.groupBy("digest", "place", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece_out"))), lambda s: s["piece_out"]), " ").alias("surrogate"), F.bool_or(F.col("surrogate").isNotNull()).alias("hit"))
+    people = people.select("digest", "place", F.when(F.col("hit"), "name").otherwise("word").alias("kind"), "surrogate")
+    placed = numbers.unionByName(people).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate"))).alias("fills"))
+    gaps = F.when(F.col("named"), F.split("text", MENTION, -1)).otherwise(F.split("text", PERSONAL, -1))
+    text = F.array_join(F.flatten(F.zip_with(gaps, "fills", lambda gap, s: F.array(gap, F.coalesce(s["surrogate"], F.lit(""))))), "")
+    found = F.transform(F.filter("fills", lambda s: s["kind"] != "word"), lambda s: F.struct(s["kind"].alias("kind"), s["surrogate"].alias("surrogate")))
+    replaced = having.select("doc_id", "text", "digest", "named").join(placed, "digest").select("doc_id", text.alias("text"), F.size(found).alias("n_entities"), found.alias("found"))
     return without.unionByName(replaced)
 
 

@@ -203,10 +203,36 @@ def test_personal_data(spark, odd_docs):
     assert privacy.replace_personal(odd_docs, "k").count() == odd_docs.count() and privacy.replace_personal(df.limit(0), "k").count() == 0
 
 
+def test_names_stay_one_person(spark):
+    rows = [
+        (1, "Mr John Smith came. Later Mr Smith left; Dr John Smith and John Smith stayed. Smith's car. Mrs Maria del Carmen Lopez and Lopez. MR SMITH? Mr JOHN"),
+        (2, "John Smith without a title in another text; Smithsonian"),
+        (3, "Dr John Brown, Mrs Jane Smith, Jane and Smithson"),
+        (4, "Herr Größe-Meyer, Frau Ольга Петрова, Ольга, О. Петрова"),
+    ]
+    found = {r["doc_id"]: r for r in privacy.replace_personal(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    pattern = r"Mr (\w+) (\w+) came. Later Mr (\w+) left; Dr (\w+) (\w+) and (\w+) (\w+) stayed. (\w+)'s car. Mrs (\w+) del (\w+) (\w+) and (\w+). MR (\w+)\? Mr (\w+)"
+    john, smith, *rest, maria, carmen, lopez, again, upper, capital = re.fullmatch(pattern, found[1]["text"]).groups()
+    assert rest == [smith, john, smith, john, smith, smith] and again == lopez and upper == smith.upper() and capital == john.upper()
+    assert john in privacy.GIVEN["latin"]["m"] and maria in privacy.GIVEN["latin"]["f"] and len({john, smith, maria, carmen, lopez}) == 5
+    assert found[2]["text"] == rows[1][1] and found[2]["n_entities"] == 0
+    third = re.fullmatch(rf"Dr {john} (\w+), Mrs (\w+) {smith}, (\w+) and Smithson", found[3]["text"])
+    assert third and third[2] == third[3]
+    assert not re.search("Größe|Meyer|Ольга|Петрова", found[4]["text"]) and found[4]["text"].startswith("Herr ")
+    assert [f["kind"] for f in found[3]["found"]] == ["name"] * 3 and found[3]["n_entities"] == 3
+
+
+def test_long_texts_do_not_break_the_patterns(spark):
+    texts = ["a@" + "b." * 2000 + "c1", "a@" + "bc." * 50_000 + "de", "x@" + "a" * 1_000_000, "1" * 1_000_000, "Mr " + "Ab-" * 20_000, "a." * 500_000, "+1" + " 23" * 300_000, "Mr Smith " * 20_000, "word " * 200_000 + "me@example.org"]
+    found = {r["doc_id"]: r["text"] for r in privacy.replace_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert len(found) == len(texts) and "me@example" not in found[8] and "Smith" not in found[7] and found[3] == texts[3]
+
+
 def test_surrogates_never_collide(spark):
     values = spark.range(3000).selectExpr("'ip' AS kind", "concat('10.0.', id div 250, '.', id % 250) AS value").union(spark.range(400).selectExpr("'email' AS kind", "concat(char(97 + id % 26), '@h', id div 26, '.org') AS value"))
+    values = values.union(spark.range(300).selectExpr("'name' AS kind", "concat('g:', substring('fmn', 1 + id % 3, 1), ':name', id) AS value"))
     rows = privacy.assign_surrogates(values, "key").collect()
-    assert len(rows) == 3400 and len({(r["kind"], r["surrogate"]) for r in rows}) == 3400
+    assert len(rows) == 3700 and len({(r["kind"], r["surrogate"]) for r in rows}) == 3700
     assert not {r["surrogate"] for r in rows} & {r["value"] for r in rows}
 
 
