@@ -24,8 +24,9 @@ SHARES = {
     "repeats": ("n_repeat_words", "n_words", 0.99, 2.0, 0.01),
     "word_chars": ("word_chars", "n_words", 0.99, 2.0, 0.1),
 }
-#: Groups with fewer documents take the merged sketch of their language, then that of all.
-LEAST_DOCS = 200
+#: Weight, in documents, of the bound of the language in the bound of a group, and of the bound of all
+#: documents in that of a language: a group of n documents weighs n / (n + PRIOR_DOCS).
+PRIOR_DOCS = 200
 #: A table of thresholds up to so many rows is broadcast (under 2 MB), a larger one is not.
 BROADCAST_GROUPS = 10_000
 MIN_WORDS = 50
@@ -55,9 +56,16 @@ def _measure(text: str) -> tuple[int, ...]:
     return n, len(text) - without(_SPACE), without(_SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), without(_CAPITALS), without(_MARKS)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has."""
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "__q_", keep_text: bool = True) -> DataFrame:
-    """The rows with their counts in columns of that prefix; columns that had such names are replaced."""
-    docs = docs.drop(*[c for c in docs.columns if c.startswith(prefix)])
+    """The rows with their counts in columns of that prefix, which no other column may have."""
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     names = [c for c in docs.columns if keep_text or c != text_col]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(prefix + m, T.LongType()) for m in _METRICS])
@@ -81,40 +89,52 @@ def base_failed(prefix: str = "__q_") -> Column:
     return (F.col(prefix + "n_words") < MIN_WORDS) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
 
 
+def _keys(lang_col: str, source_col: str, prefix: str) -> dict[str, Column]:
+    return {prefix + n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in (("lang", lang_col), ("source", source_col))}
+
+
 def adaptive_thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "__q_") -> DataFrame:
-    """Upper bounds per language and source: __lang, __source, and __max_<share> for each share.
+    """Upper bounds per language and source: lang, source, and max_<share> for each share, with the prefix.
 
     One KLL sketch per share and group, built with partial aggregation so that a source with a third
-    of all rows shuffles one sketch per task. Documents that fail the base rules are left out. Small
-    groups take the merged sketch of their language, or of everything.
+    of all rows shuffles one sketch per task; sketches merge to those of languages and of all.
+    Documents that fail the base rules are left out. The bound of a group is drawn towards that of its
+    language, and this towards that of all, by their numbers of documents. A KLL sketch is random
+    beyond some hundred values, so bounds may differ slightly between runs over the same table.
     """
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "__lang"), (source_col, "__source"))]
-    rows = measured.select(*key, base_failed(prefix).alias("failed"), *[_share(k, prefix).alias(k) for k in SHARES])
+    lang, source = prefix + "lang", prefix + "source"
+    rows = measured.select(*[c.alias(n) for n, c in _keys(lang_col, source_col, prefix).items()], base_failed(prefix).alias("failed"), *[_share(k, prefix).alias(k) for k in SHARES])
     sketch = lambda k: F.kll_sketch_agg_double(F.when(~F.col("failed"), F.col(k))).alias(k)
-    groups = checkpointed(rows.groupBy("__lang", "__source").agg(F.sum((~F.col("failed")).cast("long")).alias("n"), *[sketch(k) for k in SHARES]))
+    groups = checkpointed(rows.groupBy(lang, source).agg(F.sum((~F.col("failed")).cast("long")).alias("n"), *[sketch(k) for k in SHARES]))
     merged = lambda over, tag: groups.groupBy(*over).agg(F.sum("n").alias(f"n{tag}"), *[F.kll_merge_agg_double(k).alias(f"{k}{tag}") for k in SHARES])
-    joined = groups.join(merged(["__lang"], "_l"), "__lang").crossJoin(F.broadcast(merged([], "_a")))
+    joined = groups.join(merged([lang], "_l"), lang).crossJoin(F.broadcast(merged([], "_a")))  # one row
 
     def bound(kind: str) -> Column:
-        best = F.when(F.col("n") >= LEAST_DOCS, F.col(kind)).when(F.col("n_l") >= LEAST_DOCS, F.col(f"{kind}_l")).otherwise(F.col(f"{kind}_a"))
         quantile, spreads, floor = SHARES[kind][2:]
-        mid, high = F.kll_sketch_get_quantile_double(best, F.lit(0.5)), F.kll_sketch_get_quantile_double(best, F.lit(quantile))
-        return F.when(F.col("n_a") > 0, mid + F.greatest(spreads * (high - mid), F.lit(floor))).alias(f"__max_{kind}")
 
-    return joined.select("__lang", "__source", *[bound(k) for k in SHARES])
+        def own(tag: str) -> Column:
+            at = lambda q: F.kll_sketch_get_quantile_double(F.col(kind + tag), F.lit(q))
+            return F.when(F.col("n" + tag) > 0, at(0.5) + F.greatest(spreads * (at(quantile) - at(0.5)), F.lit(floor)))
+
+        drawn = own("_a")
+        for tag in ("_l", ""):
+            weight = F.col("n" + tag) / (F.col("n" + tag) + PRIOR_DOCS)
+            drawn = F.coalesce(weight * own(tag) + (1 - weight) * drawn, drawn)
+        return drawn.alias(f"{prefix}max_{kind}")
+
+    return joined.select(lang, source, *[bound(k) for k in SHARES])
 
 
 def judged(measured: DataFrame, thresholds: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "__q_") -> DataFrame:
-    """The measured rows with __base_failed and __kept, by a join with the thresholds."""
+    """The measured rows with base_failed and kept (with the prefix), by a join with the thresholds."""
     thresholds = checkpointed(thresholds)
     small = thresholds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    rows = measured.withColumns({"__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
-    joined = rows.join(F.broadcast(thresholds) if small else thresholds, ["__lang", "__source"], "left")
+    keys = _keys(lang_col, source_col, prefix)
+    joined = measured.withColumns(keys).join(F.broadcast(thresholds) if small else thresholds, list(keys), "left")
     within = F.lit(True)
     for k in SHARES:
-        within &= F.coalesce(_share(k, prefix) <= F.col(f"__max_{k}"), F.lit(True))
-    joined = joined.withColumn("__base_failed", base_failed(prefix)).withColumn("__kept", ~F.col("__base_failed") & within)
-    return joined.drop("__lang", "__source", *[f"__max_{k}" for k in SHARES])
+        within &= F.coalesce(_share(k, prefix) <= F.col(f"{prefix}max_{k}"), F.lit(True))
+    return joined.withColumn(prefix + "base_failed", base_failed(prefix)).withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & within)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -128,16 +148,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     measured = checkpointed(with_metrics(rows, keep_text=False))
     out = judged(measured, adaptive_thresholds(measured))
-    return out.select("doc_id", *[F.col(f"__q_{m}").alias(m) for m in _METRICS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return out.select("doc_id", *[F.col(f"__q_{m}").alias(m) for m in (*_METRICS, "base_failed", "kept")])
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows, with all their columns, that the quality rules keep.
 
-    Texts are measured twice (for the thresholds, then for the verdict) so that none is shuffled."""
+    Texts are measured twice (for the thresholds, then for the verdict) so that none is shuffled. Null
+    and empty texts fail the base rules and go; null languages and sources form a group of their own;
+    repeated rows are judged alike; columns of any name stay as they are; an empty table gives no rows."""
+    prefix = free_prefix(docs.columns)
     narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    thresholds = adaptive_thresholds(checkpointed(with_metrics(narrow, keep_text=False)))
-    return judged(with_metrics(docs, text_col), thresholds, lang_col, source_col).filter("__kept").select(*docs.columns)
+    thresholds = adaptive_thresholds(checkpointed(with_metrics(narrow, keep_text=False, prefix=prefix)), prefix=prefix)
+    return judged(with_metrics(docs, text_col, prefix), thresholds, lang_col, source_col, prefix).filter(F.col(prefix + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,40 @@ def test_quality_bounds_come_from_the_group(spark):
     assert not found[2000] and found[2001] and all(kept for k, kept in found.items() if k < 2000)
 
 
+def test_quality_verdict_against_brute_force(spark, docs):
+    """Bounds from exact quantiles of the same groups; a verdict may differ only near a bound."""
+    rows = quality.quality_rules(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    share = lambda r, k: r[quality.SHARES[k][0]] / r[quality.SHARES[k][1]] if r[quality.SHARES[k][1]] else 0.0
+    good = [r for r in rows if not r["base_failed"]]
+
+    def bound(of, k):
+        quantile, spreads, floor = quality.SHARES[k][2:]
+        values = np.array([share(r, k) for r in of])
+        at = lambda q: np.quantile(values, q, method="inverted_cdf")
+        return at(0.5) + max(spreads * (at(quantile) - at(0.5)), floor)
+
+    wrong = 0
+    for r in good:
+        sure, near = True, False
+        for k in quality.SHARES:
+            drawn = bound(good, k)
+            for of in ([x for x in good if x["lang"] == r["lang"]], [x for x in good if (x["lang"], x["source"]) == (r["lang"], r["source"])]):
+                weight = len(of) / (len(of) + quality.PRIOR_DOCS)
+                drawn = weight * bound(of, k) + (1 - weight) * drawn
+            sure &= share(r, k) <= drawn
+            near |= abs(share(r, k) - drawn) <= 0.05 * max(drawn, 0.01)
+        wrong += sure != r["kept"] and not near
+    assert wrong == 0 and 0 < sum(r["kept"] for r in good) < len(good)
+
+
+def test_quality_filter_of_odd_rows(odd_docs):
+    names = {"__q_n_words": 1, "__kept": "x", "__lang": "y", "__q_kept": "z", "__source": None}
+    odd = odd_docs.withColumns({n: F.lit(v).cast("string") for n, v in names.items()})
+    kept = quality.quality_filter(odd)
+    assert kept.columns == odd.columns and {r["__q_kept"] for r in kept.collect()} <= {"z"}
+    assert quality.quality_filter(odd.limit(0)).count() == 0
+
+
 def test_quality_separates_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
