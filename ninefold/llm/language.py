@@ -15,12 +15,12 @@ ORDER = 4
 BUCKETS = 1 << 16
 #: Bound of the training sample, in expectation: so many documents of each language.
 SAMPLE_PER_LANGUAGE = 2000
-#: The model has 4 * BUCKETS bytes for each language, so at most 64 MB.
-MAX_LANGUAGES = 256
 SMOOTHING = 0.05
 ROUNDS = 12
 #: A further language must raise the log likelihood by so many times log(number of n-grams).
 PENALTY = 6.0
+#: Least share of a text's n-grams that the learned languages must explain better than chance does.
+LEAST_KNOWN = 0.25
 UNKNOWN = "und"
 
 
@@ -43,20 +43,14 @@ def _grams(text: str) -> np.ndarray:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and log P(n-gram bucket | language), from a sample of about `sample` rows of each.
 
-    Rows are taken by a hash of their key, whole texts each. The driver gets one count per bucket and
-    language, which MAX_LANGUAGES bounds.
+    Rows are taken by a hash of their key and text, whole texts each. Null texts and languages take no
+    part, and without any there are no languages. Executors sum the counts; the driver gets one row
+    of 4 * BUCKETS bytes (256 KB) for each language.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(sizes)
-    if not languages:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.lit(0.0)
-    for x in languages:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, sample / sizes[x]))).otherwise(share)
-    taken = rows.filter(F.pmod(F.xxhash64(F.coalesce("k", F.lit(""))), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").repartition(12, F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    hashed = F.xxhash64("k", "text")  # keys that repeat, or are null, do not come or stay away together
+    taken = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(hashed, F.lit(1 << 20)) < F.col("share") * (1 << 20)).repartition(hashed)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -67,12 +61,17 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counted = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS, len(languages)))
-    if len(counted):
-        counts[counted["bucket"].to_numpy(), counted["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy()] = counted["n"].to_numpy()
-    total = counts.sum(0)
-    return languages, np.log((counts + SMOOTHING) / (total + SMOOTHING * BUCKETS)).astype(np.float32)
+    def finish(key: tuple, group: pa.Table) -> pa.Table:
+        n = np.zeros(BUCKETS)
+        n[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        log_p = np.log((n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)).astype(np.float32)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "log_p": pa.array([log_p.tobytes()], pa.binary())})
+
+    taken = taken.select("lang", "text")
+    counted = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted(counted.groupBy("lang").applyInArrow(finish, "lang string, log_p binary").collect(), key=lambda r: r["lang"])
+    table_ = np.stack([np.frombuffer(r["log_p"], np.float32) for r in found], axis=1) if found else np.zeros((BUCKETS, 0), np.float32)
+    return [r["lang"] for r in found], table_
 
 
 def _mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -96,16 +95,16 @@ def infer(text: str, log_p: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The chosen languages' indexes and their proportions, largest first."""
     grams, seen = np.unique(_grams(text), return_counts=True)
     logs, n = log_p[grams].astype(np.float64), seen.astype(np.float64)
-    single = n @ logs
-    order = np.argsort(-single, kind="stable")[:8]
-    p = np.exp(logs[:, order] - logs[:, order].max(1, keepdims=True))
-    base = n @ np.log(np.maximum(p, 1e-30))
+    first = int(np.argmax(n @ logs))
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    base = n @ np.log(np.maximum(p[:, first], 1e-30))
     price = PENALTY * np.log(n.sum() + 1)
-    chosen, share, best = [0], np.ones(1), float(base[0])
-    rest = set(range(1, len(order)))
-    if rest:
+    chosen, share, best = [first], np.ones(1), float(base)
+    rest: set[int] = set()
+    if p.shape[1] > 1:
+        # All languages in one mixture; those that it leaves next to nothing cannot pay their price.
         whole, _ = _mixture(p, n)
-        rest = {k for k in rest if whole[k] > 0.01}
+        rest = set(np.flatnonzero(whole > 0.04 / p.shape[1]).tolist()) - {first}
     while rest:
         tried = {k: _mixture(p[:, [*chosen, k]], n) for k in sorted(rest)}
         k = max(tried, key=lambda k: tried[k][1])
@@ -113,8 +112,16 @@ def infer(text: str, log_p: np.ndarray) -> tuple[list[int], np.ndarray]:
             break
         chosen, (share, best) = [*chosen, k], tried[k]
         rest.remove(k)
-    by = sorted(range(len(chosen)), key=lambda i: (-share[i], order[chosen[i]]))
-    return [int(order[chosen[i]]) for i in by], np.array([share[i] for i in by])
+    by = sorted(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
+    return [int(chosen[i]) for i in by], np.array([share[i] for i in by])
+
+
+def known_share(text: str, log_p: np.ndarray, chosen: list[int], share: np.ndarray) -> float:
+    """Share of the n-grams that the mixture explains better than a background in which all n-grams
+    are equally likely, by expectation-maximisation over the two."""
+    grams, seen = np.unique(_grams(text), return_counts=True)
+    mixed = np.exp(log_p[grams][:, chosen].astype(np.float64)) @ share
+    return float(_mixture(np.stack([mixed, np.full(len(mixed), 1 / BUCKETS)], axis=1), seen.astype(np.float64))[0][0])
 
 
 def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,16 +151,28 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
-def language_filter(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, whose text has one language with at least that share."""
+def language_filter(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.3, known: float = LEAST_KNOWN) -> DataFrame:
+    """The rows, with all their columns, whose text is in the learned languages: these explain at least
+    the share `known` of its n-grams better than a background without any language does (which
+    gibberish and scripts that were not learned fail), and one of them has at least the share `least`.
+
+    Null, empty and letterless texts go; if nothing was learned, all texts with letters stay. Repeated
+    rows fare alike, columns of any name stay as they are, and an empty table gives no rows."""
     languages, log_p = model
     shared = docs.sparkSession.sparkContext.broadcast(log_p)
 
+    def keeps(text: str | None) -> bool:
+        if not text or not any(map(str.isalpha, text)):
+            return False
+        if not languages:
+            return True
+        chosen, share = infer(text, shared.value)
+        return bool(share[0] >= least and known_share(text, shared.value, chosen, share) >= known)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            kept = [bool(t) and any(map(str.isalpha, t)) and (not languages or infer(t, shared.value)[1][0] >= least) for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(map(keeps, texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

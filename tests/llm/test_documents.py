@@ -113,6 +113,56 @@ def test_mixture_names_both_languages(docs):
         assert {model[0][k] for k in found} == {a, b} and share.min() > 0.3
 
 
+def test_mixture_against_all_subsets():
+    """The grown set is the best of all subsets by penalised likelihood, on a model of six languages."""
+    rng = np.random.default_rng(5)
+    log_p = np.log(rng.dirichlet(np.full(language.BUCKETS, 0.02), 6).T + 1e-9).astype(np.float32)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    for parts in ([0], [1, 4], [2, 3, 5]):
+        # n-grams of a text that each language of the set explains in turn
+        grams = language._grams(" ".join(words))
+        model = log_p.copy()
+        for k, g in enumerate(grams):
+            model[g] = np.log(1e-7)
+            model[g, parts[k % len(parts)]] = np.log(1e-3)
+        text = " ".join(words)
+        found, share = language.infer(text, model)
+        seen, n = np.unique(grams, return_counts=True)
+        best = {}
+        for mask in range(1, 64):
+            these = [k for k in range(6) if mask >> k & 1]
+            p = np.exp(model[seen][:, these].astype(np.float64))
+            w = np.full(len(these), 1 / len(these))
+            for _ in range(200):
+                joint = p * w
+                w = (n / joint.sum(1)) @ joint
+                w /= w.sum()
+            best[tuple(these)] = float(n @ np.log(p @ w)) - (len(these) - 1) * language.PENALTY * np.log(n.sum() + 1), w
+        top = max(best, key=lambda k: best[k][0])
+        assert sorted(found) == list(top) and np.allclose(sorted(share), sorted(best[top][1]), atol=0.02)
+
+
+def test_language_filter_rejects_gibberish(spark, odd_docs):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit_languages(docs.filter(~language.held_out()))
+    r = random.Random(2)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "абвгдежзиклмнопрст ", "".join(map(chr, range(0x4E00, 0x5200)))]
+    rows = [(k, "".join(r.choices(a, k=n))) for k, (a, n) in enumerate((a, n) for a in alphabets for n in (200, 2000, 20000))]
+    assert language.language_filter(spark.createDataFrame(rows, "doc_id long, text string"), model).count() == 0
+    lettered = docs.filter("text rlike '[a-z]'")
+    assert language.language_filter(lettered, model).count() > 0.998 * lettered.count()
+    two = [r["text"][:800] for r in docs.filter("length(text) > 900").dropDuplicates(["lang"]).collect()]
+    mixed = spark.createDataFrame([(1, two[0] + " " + two[1])], "doc_id long, text string")
+    assert language.language_filter(mixed, model).count() == 1
+    kept = language.language_filter(odd_docs, model)
+    assert kept.columns == odd_docs.columns and not {1, 2, 3} & {r["doc_id"] for r in kept.collect()}
+    assert language.language_filter(odd_docs.limit(0), model).count() == 0
+    many = docs.limit(300).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 300).cast("string")))
+    assert len(language.fit_languages(many)[0]) > 256
+
+
 def base_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
