@@ -15,9 +15,9 @@ from .common import table
 TREES = 32
 #: Length of each hash string, in bits.
 BITS = 64
-#: Rows of a block; tables of more than BLOCKS * BLOCK_ROWS rows get larger blocks instead of more.
+#: Rows of a block, and queries that search it in one task; larger tables have more of both.
 BLOCK_ROWS = 8192
-BLOCKS = 1024
+QUERY_ROWS = 4096
 #: Recall that the calibration asks for, on a sample of so many rows and queries at most.
 RECALL = 0.97
 SAMPLE_ROWS = 8192
@@ -126,10 +126,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     """The k rows of `vectors` nearest to each row of `queries` that a forest of hash strings finds.
 
     Returns query_id, rank (from 1), vec_id and score, the Euclidean distance in double precision;
-    ties go to the smaller vec_id. Vectors are dealt by a hash of their id into blocks of bounded
-    size; each block is indexed in its task by TREES sorted arrays of long hash strings and gets all
-    queries, so the search grows with queries times blocks, never with pairs, and any block can be
-    computed again alone. How many candidates a block must give is calibrated once against brute
+    ties go to the smaller vec_id. Vectors are dealt by a hash of their id into blocks, and queries
+    into parts, of bounded size; each block meets each part in a task that indexes it by TREES sorted
+    arrays of long hash strings, so memory is bounded whatever the tables' sizes, and any task can be
+    computed again alone. Each gives k rows a query at most, which are cut to k before the shuffle. How many candidates a block must give is calibrated once against brute
     force on a bounded sample (SAMPLE_ROWS, SAMPLE_QUERIES), for RECALL.
 
     Null keys, null, zero or non-finite vectors and those of another length than the commonest take
@@ -143,9 +143,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     dimension, n = (sizes[0]["d"], sizes[0]["n"]) if sizes else (0, 0)
     rows = rows.filter(_usable(F.col("v"), dimension))
     centre, share = _calibrate(rows, n, k)
-    blocks = min(BLOCKS, max(1, -(-n // BLOCK_ROWS)))
-    indexed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = clean(queries).filter(_usable(F.col("v"), dimension)).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = clean(queries).filter(_usable(F.col("v"), dimension)).distinct()
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    indexed = rows.withColumn("block", deal(blocks)).withColumn("part", each(parts))
+    asked = asked.withColumn("part", deal(parts)).withColumn("block", each(blocks))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(index: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -164,7 +167,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                     out += [(q, i, s) for i, s in zip(*_nearest(block, ids, candidates, p, q, k), strict=True)]
         return pa.Table.from_arrays([pa.array([x[j] for x in out], f.type) for j, f in enumerate(schema)], schema=schema)
 
-    found = indexed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = indexed.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

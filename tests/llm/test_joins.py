@@ -99,6 +99,20 @@ def test_recall(spark):
     assert all([r["rank"] for r in rows if r["query_id"] == q].__len__() == 10 for q in true)
 
 
+def test_small_blocks_and_parts_give_exact_ranks_with_ties(spark, monkeypatch):
+    """Whole blocks as candidates, many equal distances: the ranks are those of brute force."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(8)
+    ids, matrix = np.arange(700), rng.integers(-2, 3, size=(700, 3)).astype(np.float64)
+    usable = (matrix != 0).any(1)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in sorted(neighbours.nearest_neighbours(df, df.filter("vec_id % 100 = 0")).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == brute_neighbours(ids[usable], matrix[usable], 10)
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [0.0, 0.0])]
