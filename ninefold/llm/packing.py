@@ -102,9 +102,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length, ids (binary, little-endian unsigned 32 bit), sequence_id, offset. A document longer than
     `capacity` is cut into full pieces, of which the first may be shorter; nothing else is cut.
 
-    Each task packs its own input partition in one pass without a shuffle. At any time it keeps at
-    most `open_bins` open sequences; what is still open at its end is packed once more, longest
-    pieces first, if that takes fewer sequences. Null and empty texts give one piece that holds
+    Each task packs its own input partition in one pass without a shuffle, a batch of rows at a time,
+    of which the longest pieces come first. At any time it keeps at most `open_bins` open sequences,
+    and closes the fullest where that would be too many. Null and empty texts give one piece that holds
     `end_id` alone. Rows that repeat a key are packed as documents of their own, a null key stays
     null, other columns are ignored, and an empty table gives no rows. `tokenizer` and `ranks` name
     one vocabulary in its two public forms.
@@ -130,23 +130,21 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return batch
 
         for batch in source:
+            pieces: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) >> 2
-                first = n if n <= capacity else n % capacity or capacity
-                start = piece = 0
+                start, stop, piece = 0, n if n <= capacity else n % capacity or capacity, 0
                 while start < n:
-                    stop = min(n, start + capacity) if start else first
-                    if (full := packer.add(stop - start, (doc, piece, start, ids[4 * start : 4 * stop]))) is not None:
-                        close(full)
-                    start, piece = stop, piece + 1
+                    pieces.append((doc, piece, start, ids[4 * start : 4 * stop]))
+                    start, stop, piece = stop, min(n, stop + capacity), piece + 1
+            pieces.sort(key=lambda x: -len(x[3]))
+            for x in pieces:
+                if (full := packer.add(len(x[3]) >> 2, x)) is not None:
+                    close(full)
                 if len(out) >= 4096:
                     yield flush()
-        left = list(packer.rest())
-        again = BestFit(capacity, len(left) + 1)
-        packed = [b for x in sorted((x for b in left for x in b), key=lambda x: -len(x[3])) if (b := again.add(len(x[3]) >> 2, x)) is not None]
-        packed += again.rest()
-        for bin_ in packed if len(packed) < len(left) else left:
+        for bin_ in packer.rest():
             close(bin_)
             if len(out) >= 4096:
                 yield flush()

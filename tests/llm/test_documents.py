@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -214,17 +215,21 @@ def test_masking_odd_rows(odd_docs):
     assert by[1] is None and by[2] == "" and by[4] == odd_docs.filter("doc_id = 4").first()["text"]
 
 
-def test_cross_entropy_against_brute_force(spark):
+@pytest.mark.parametrize("hold_out", [False, True])
+def test_cross_entropy_against_brute_force(spark, hold_out):
     rows = [(1, "a b a b a b"), (2, "b a c"), (3, None), (4, ""), (5, "d d d"), (None, "a b"), (1, "a b a b a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     wanted = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
-    found = crossentropy.cross_entropy_difference(df, wanted).collect()
+    found = crossentropy.cross_entropy_difference(df, wanted, hold_out=hold_out).collect()
     words = Counter(w for _, t in rows for w in (t or "").split())
     names = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))][: crossentropy.VOCABULARY - 2]
     size = crossentropy.VOCABULARY
     index = {w: k + 2 for k, w in enumerate(names)}
 
-    def model(texts):
+    tokens = lambda texts: sum(len((t or "").split()) for t in texts)
+    matched = tokens(t for k, t in rows if k == 1) / tokens(t for _, t in rows)
+
+    def model(texts, scale):
         pair, after, before = Counter(), Counter(), Counter()
         for t in texts:
             ids = [0, *(index.get(w, 1) for w in (t or "").split())]
@@ -233,12 +238,19 @@ def test_cross_entropy_against_brute_force(spark):
                 after[q] += 1
                 before[p] += 1
         total = sum(after.values())
-        single = lambda q: (after[q] + 0.5) / (total + 0.5 * size)
-        return lambda p, q: -np.log((pair[p, q] + crossentropy.WEIGHT * single(q)) / (before[p] + crossentropy.WEIGHT))
+        single = lambda q: (scale * after[q] + 0.5) / (scale * total + 0.5 * size)
+        return lambda p, q: -np.log((scale * pair[p, q] + crossentropy.WEIGHT * single(q)) / (scale * before[p] + crossentropy.WEIGHT))
+
+    def without(texts, text, scale=1.0):
+        texts = list(texts)
+        if hold_out and text in texts:
+            texts.remove(text)
+        return model(texts, scale)
 
-    target, background = model([t for k, t in rows if k == 1]), model([t for _, t in rows])
     for r in found:
         text = next(t for k, t in rows if k == r["doc_id"])
+        target = without((t for k, t in rows if k == 1), text if r["doc_id"] == 1 else None)
+        background = without((t for _, t in rows), text, matched)
         ids = [0, *(index.get(w, 1) for w in (text or "").split())]
         if len(ids) == 1:
             assert r["score"] is None and r["n_tokens"] == 0
@@ -256,7 +268,9 @@ def test_cross_entropy_knows_every_word(spark):
     found = {r["doc_id"]: r["score"] for r in crossentropy.cross_entropy_difference(df, wanted).collect()}
     size = len({w for _, t in rows for w in t.split()}) + 2
 
-    def loss(texts, text):
+    matched = sum(len(t.split()) for k, t in rows if k in (0, 10)) / sum(len(t.split()) for _, t in rows)
+
+    def loss(texts, text, scale):
         pair, after, before = Counter(), Counter(), Counter()
         for t in texts:
             words = ["", *t.split()]
@@ -264,11 +278,12 @@ def test_cross_entropy_knows_every_word(spark):
             after.update(words[1:])
             before.update(words[:-1])
         words = ["", *text.split()]
-        single = lambda q: (after[q] + 0.5) / (after.total() + 0.5 * size)
-        return np.mean([-np.log((pair[p, q] + crossentropy.WEIGHT * single(q)) / (before[p] + crossentropy.WEIGHT)) for p, q in zip(words, words[1:], strict=False)])
+        single = lambda q: (scale * after[q] + 0.5) / (scale * after.total() + 0.5 * size)
+        return np.mean([-np.log((scale * pair[p, q] + crossentropy.WEIGHT * single(q)) / (scale * before[p] + crossentropy.WEIGHT)) for p, q in zip(words, words[1:], strict=False)])
 
     for k, text in rows:
-        assert abs(found[k] - loss([t for i, t in rows if i in (0, 10)], text) + loss([t for _, t in rows], text)) < 1e-9
+        target, every = [t for i, t in rows if i in (0, 10)], [t for _, t in rows]
+        assert abs(found[k] - loss(target, text, 1.0) + loss(every, text, matched)) < 1e-9
     assert found[10] < found[12] < found[11]
 
 
