@@ -26,6 +26,8 @@ BROADCAST_LABELS = 2_000_000
 BLOCK_TOKENS = 4_000_000
 #: Bytes of text for each part that the words and bigrams of all blocks are dealt into by hash.
 PART_BYTES = 16_000_000
+#: Tokens of documents that are scored at a time (or one longer document).
+SCORED_TOKENS = 500_000
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 _WORDS, _PAIRS, _BODY = range(3)
 
@@ -155,7 +157,26 @@ def _summed(counted: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "part").applyInArrow(add, "block long, kind int, part int, counts binary, n long, t long, b long")
 
 
-def _scored(blocks: DataFrame, summed: DataFrame, size: int, totals: tuple[int, int]) -> DataFrame:
+def _losses(after: np.ndarray, before: np.ndarray, pair: np.ndarray, lengths: np.ndarray, own: np.ndarray, as_next: np.ndarray, as_previous: np.ndarray, pairs: np.ndarray, total: int, size: int, scale: float) -> tuple[list, list]:
+    """Documents (by number, those with tokens) and their mean loss under a model without what the
+    document itself has counted, where `own` says that it did. Counts are taken times `scale`."""
+    doc, n = np.repeat(np.arange(len(lengths)), lengths), np.repeat(lengths * own, lengths)
+    counted = own[doc]
+
+    def others(counts: np.ndarray, item: np.ndarray) -> np.ndarray:
+        if not counted.any():
+            return counts[item] * scale
+        _, at, mine = np.unique(doc * len(counts) + item, return_inverse=True, return_counts=True)
+        return (counts[item] - mine[at] * counted) * scale
+
+    single = (others(as_next, after) + 0.5) / ((total - n) * scale + 0.5 * size)
+    loss = -np.log((others(pairs, pair) + WEIGHT * single) / (others(as_previous, before) + WEIGHT))
+    some = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[some]
+    return some.tolist(), (np.add.reduceat(loss, starts) / lengths[some]).tolist() if len(some) else []
+
+
+def _scored(blocks: DataFrame, summed: DataFrame, size: int, totals: tuple[int, int], hold_out: bool) -> DataFrame:
     def score(key: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["part"] or 0))
         body = rows.pop()
@@ -163,30 +184,34 @@ def _scored(blocks: DataFrame, summed: DataFrame, size: int, totals: tuple[int,
         losses = [[None] * len(lengths) for _ in totals]
         if rows:
             keys, tokens = np.frombuffer(body["keys"], np.uint64), _unpack(body["tokens"], np.int32).astype(np.int64)
-            previous, after, _, at = _pairs(tokens, lengths, keys)
             sums = {k: np.concatenate([_unpack(r["counts"]).reshape(4 if k == _WORDS else 2, -1) for r in rows if r["kind"] == k], axis=1) for k in (_WORDS, _PAIRS)}
             words = np.empty_like(sums[_WORDS])
             words[:, np.argsort(keys, kind="stable")] = sums[_WORDS]
-            some = np.flatnonzero(lengths)
-            starts = (np.cumsum(lengths) - lengths)[some]
-            for k, total in enumerate(totals):
-                single = (words[k] + 0.5) / (total + 0.5 * size)
-                loss = -np.log((sums[_PAIRS][k] + WEIGHT * single[after]) / (words[2 + k][previous] + WEIGHT))
-                for i, x in zip(some.tolist(), (np.add.reduceat(loss[at], starts) / lengths[some]).tolist(), strict=True):
-                    losses[k][i] = x
+            pair, before, wanted = _pairs(tokens, lengths, keys)[3], _before(tokens, lengths), _unpack(body["wanted"], bool)
+            ends, first = np.cumsum(lengths), 0
+            while first < len(lengths):  # some documents at a time
+                begin = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, begin + SCORED_TOKENS, "right")))
+                here, many = slice(begin, ends[last - 1]), lengths[first:last]
+                for k, own in enumerate((wanted[first:last] & hold_out, np.full(last - first, hold_out))):
+                    for i, x in zip(*_losses(tokens[here], before[here], pair[here], many, own, words[k], words[2 + k], sums[_PAIRS][k], totals[k], size, totals[0] / totals[1] if k and totals[0] else 1.0), strict=True):
+                        losses[k][first + i] = x
+                first = last
         return pa.table({"doc_id": pa.array(body["ids"], pa.int64()), "n_tokens": pa.array(lengths), "loss_target": pa.array(losses[0], pa.float64()), "loss_background": pa.array(losses[1], pa.float64())})
 
-    both = blocks.select("block", F.lit(_BODY).alias("kind"), "keys", "ids", "lengths", "tokens").unionByName(summed.select("block", "kind", "part", "counts"), allowMissingColumns=True)
+    both = blocks.select("block", F.lit(_BODY).alias("kind"), "keys", "ids", "lengths", "wanted", "tokens").unionByName(summed.select("block", "kind", "part", "counts"), allowMissingColumns=True)
     return both.groupBy("block").applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
 
 
-def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_out: bool = False) -> DataFrame:
     """Score every document against a target: the documents whose key is in `wanted`.
 
     Returns doc_id, n_tokens, loss_target, loss_background (nats per token) and score, their
     difference. A lower score means closer to the target. Two bigram models, of the target documents
     and of all, have the same vocabulary (every word of all texts), order and smoothing; their counts
-    are a table in parts by hash and grow with the input. Null, empty and wordless texts have no
+    are a table in parts by hash and grow with the input. Counts of the background are scaled to the
+    size of the target, so that smoothing weighs alike in both. With `hold_out` each document is held
+    out of the models that score it: its own counts are subtracted. Null, empty and wordless texts have no
     tokens and null losses. Without any target document the target model is uniform over the
     vocabulary. Keys that repeat in `wanted` count once. One row per input row; other columns are
     ignored; an empty table gives no rows.
@@ -203,7 +228,7 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "
     blocks = checkpointed(_blocks(marked))
     words = checkpointed(_summed(_counted(blocks, _WORDS, parts)))
     n, t, b = (x or 0 for x in words.agg(F.sum("n"), F.sum("t"), F.sum("b")).first())
-    return _scored(blocks, words.unionByName(_summed(_counted(blocks, _PAIRS, parts))), max(VOCABULARY, n + 2), (t, b)).withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    return _scored(blocks, words.unionByName(_summed(_counted(blocks, _PAIRS, parts))), max(VOCABULARY, n + 2), (t, b), hold_out).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
