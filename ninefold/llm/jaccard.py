@@ -7,11 +7,11 @@ The join runs in five steps, each a Spark job over all documents:
 2. Shingles get one global order, rare before common, from counters of bounded size. A pair that
    reaches the threshold shares a shingle among the first |set| - ceil(t |set|) + 1 of both sets.
 3. Sets are partitioned into groups of similar ones: a set joins the smallest set that it shares a
-   leading shingle with. The token-group matrix holds, for every leading shingle, the groups whose
-   union has it.
+   leading shingle with. The token-group matrix names, for every leading shingle, the groups that have
+   it, and holds each group's union of all its members' shingles as a bitmap.
 4. Leading shingles of each set are looked up in the matrix, which names the groups that it may have
-   a link in. Bitmaps of the sets then bound the overlap of each set with the group; groups that
-   cannot qualify stay closed.
+   a link in. The union then bounds the overlap of the set with any member; where that is too small
+   the group stays closed to the set. In groups of moderate size, bitmaps of the members bound it again.
 5. Qualifying groups are opened: their members, and the sets that ask, meet in one task and are
    compared exactly. Links within a group are found by breadth-first search, so a large group of near
    copies costs one link for each copy and not all pairs.
@@ -39,7 +39,8 @@ COUNTER_BITS = 20
 _CHUNK = 1 << 14
 #: Members of a group that meet in one task; larger groups are split. Sets that ask a group likewise.
 GROUP_ROWS = 4096
-#: Members of a group whose bitmaps are held against each other; larger groups are opened whole.
+#: Members of a group whose bitmaps are held against each other, after the union; in larger groups the
+#: union alone decides which sets may ask.
 PAIRED_MEMBERS = 2048
 #: Key lists up to so many rows are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -280,7 +281,10 @@ class _Row:
         self.id, self.n, self.size, self.bits = id_, n, 8 * len(bits), int.from_bytes(bits, "little")
 
     def folded(self, size: int) -> int:
-        bits, now = self.bits, self.size
+        return self.fold(self.bits, self.size, size)
+
+    @staticmethod
+    def fold(bits: int, now: int, size: int) -> int:
         while now > size:
             now //= 2
             bits = (bits | (bits >> now)) & ((1 << now) - 1)
@@ -297,11 +301,32 @@ class _Row:
         return self.n - (a & ~b).bit_count() >= least and other.n - (b & ~a).bit_count() >= least
 
 
+class _Union:
+    """The union of a group's members: bitmaps of each size that they have (sizes of sets that may link
+    differ by little, so there are few)."""
+
+    def __init__(self):
+        self.of: dict[int, int] = {}
+
+    def add(self, row: _Row) -> None:
+        self.of[row.size] = self.of.get(row.size, 0) | row.bits
+
+    def may_link(self, row: _Row, threshold: int) -> bool:
+        """Whether the overlap of the set with the union can reach what any link of it needs."""
+        for size, bits in self.of.items():
+            both = min(size, row.size)
+            union = bits if size == both else _Row.fold(bits, size, both)
+            if row.n - (row.folded(both) & ~union).bit_count() >= needed(row.n, threshold):
+                return True
+        return False
+
+
 def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
     """(grp, id, asks): the members and asking sets of groups that must be opened.
 
-    Bitmaps of the sets meet by group, members first; a set stays if some other set of the group may
-    link with it. Groups over PAIRED_MEMBERS are opened whole, so memory stays bounded."""
+    Bitmaps of the sets meet by group, members first. A set that asks stays if the union of the members
+    leaves room for a link, and in groups of up to PAIRED_MEMBERS, which bounds memory, if some member
+    does; members stay if some other set of the group may link with them."""
 
     def bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -309,7 +334,7 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.binary())], ["id", "n", "bits"])
 
     def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, kept, out, whole = None, [], set(), [], False
+        group, members, kept, out, whole, union = None, [], set(), [], False, _Union()
 
         def rows() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["grp", "id", "asks"])
@@ -323,11 +348,15 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
             for g, asks, id_, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
                     close()
-                    group, members, kept, whole = g, [], set(), False
+                    group, members, kept, whole, union = g, [], set(), False, _Union()
+                row = _Row(id_, n, b)
+                if asks and not union.may_link(row, threshold):
+                    continue
+                if not asks:
+                    union.add(row)
                 if whole:
                     out.append((g, id_, asks))
                     continue
-                row = _Row(id_, n, b)
                 near = None
                 for m in members:
                     # Once a partner is known, only members that have none yet are worth a look.
@@ -422,10 +451,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and component_id (smallest doc_id that links reach, itself included). Words are lower-cased (A to
     Z) and cut at ASCII white space; a text with fewer than `size` words is one shingle. Null, empty
     and wordless texts have no shingles, are linked with nothing and stand alone. A null key is
-    classed by its set and keeps null ids if no key of its class is known. Repeated keys must belong
-    to equal texts, as rows that repeat do. Other columns are ignored; an empty table gives no rows.
+    classed by its set and keeps null ids if no key of its class is known. Rows that repeat a key are
+    documents of their own: with equal sets they are one class, with others each has its own links.
+    Other columns are ignored; an empty table gives no rows.
     """
     sets = checkpointed(shingle_sets(docs, id_col, text_col, size))
+    clash = sets.filter("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d1", "d2", "n").alias("sets")).filter("sets > 1").select("doc_id")
+    if clash.isEmpty():
+        return _components_of(docs, sets, id_col, text_col, size, threshold)
+    # Keys with several texts: such rows go by a key made of both, and their results back by key.
+    clash = checkpointed(clash.select(F.col("doc_id").alias("__clash")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = rows.join(_bounded(clash), F.col("doc_id") == F.col("__clash"), "left")
+    own = F.when(F.col("__clash").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = checkpointed(marked.select(own.alias("own"), "doc_id", "text"))
+    found = checkpointed(_components_of(keyed, checkpointed(shingle_sets(keyed, "own", "text", size)), "own", "text", size, threshold))
+    named = keyed.filter("own is not null").groupBy("own").agg(F.min("doc_id").alias("key"))
+    linked_keys = found.filter("doc_id is not null").select("doc_id", "class_id", "component_id").distinct().join(named, F.col("doc_id") == F.col("own"))
+    of_class = linked_keys.groupBy("class_id").agg(F.min("key").alias("class_key"))
+    of_component = linked_keys.groupBy("component_id").agg(F.min("key").alias("component_key"))
+    out = found.join(named, F.col("doc_id") == F.col("own"), "left").join(of_class, "class_id", "left").join(of_component, "component_id", "left")
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("class_key").alias("class_id"), F.col("component_key").alias("component_id"))
+
+
+def _components_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """jaccard_components for keys that have one set each."""
     standing = checkpointed(sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")).filter("id is not null"))
     leading = _leading_rows(docs, standing, _counters(docs, text_col, size), id_col, text_col, size, threshold)
     rows, groups = _grouped(leading)
@@ -446,7 +496,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that stand alone stay, and so do rows without words or without a key. Of rows that repeat a
     key one stays."""
     found = checkpointed(jaccard_components(docs, id_col, text_col, size, threshold))
-    spare = checkpointed(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__key")).distinct())
+    spare = checkpointed(found.groupBy("doc_id").agg(F.max("component_id").alias("top")).filter("top < doc_id").select(F.col("doc_id").alias("__key")))
     key = F.col(id_col).cast("long")
     kept = docs.join(_bounded(spare), key == F.col("__key"), "left_anti")
     twice = checkpointed(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("rows")).filter("__key is not null and rows > 1").select("__key"))

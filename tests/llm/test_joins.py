@@ -70,6 +70,13 @@ def test_joins_of_odd_rows(spark, odd_docs):
     assert jaccard.jaccard_components(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_with_one_key_and_different_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (1, "quite another text than the first one"), (2, " ".join(words[:39])), (3, "quite another text than the first one"), (3, "a third text that stands alone here"), (None, " ".join(words)), (4, None), (4, "x y z")]
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, 37, 1), (1, 4, 1), (1, 37, 1), (2, 36, 1), (3, 4, 1), (3, 4, 3), (4, 0, 4), (4, 1, 4)]
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101)], "a long, b long")
     found = {r["id"]: r["component"] for r in jaccard.components(links).collect()}
