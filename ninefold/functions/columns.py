@@ -30,7 +30,8 @@ def normalised(v: list[Column]) -> list[Column]:
 
 
 def slerp(a: list[Column], b: list[Column], t: Column) -> list[Column]:
-    """Between unit vectors, along the great circle."""
-    theta = F.acos(dot(a, b))
-    j, k = F.sin((1.0 - t) * theta) / F.sin(theta), F.sin(t * theta) / F.sin(theta)
-    return [j * p + k * q for p, q in zip(a, b, strict=True)]
+    """The unit vector that lies the share t of the way along the great circle from a to b."""
+    angle = F.acos(dot(a, b))
+    whole = F.sin(angle)
+    weights = F.sin(angle * (1.0 - t)) / whole, F.sin(angle * t) / whole
+    return [weights[0] * start + weights[1] * end for start, end in zip(a, b, strict=True)]

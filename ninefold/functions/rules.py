@@ -68,12 +68,12 @@ def shift(half: str, sector: int, child: str) -> tuple[float, float]:
     return a * U, b * V
 
 
-def parent_half(parent: int, child: int, half: str) -> str:
-    """Half of the parent digit, from the child digit and its half."""
-    second, sector = divmod(child, 3)
-    p = parent % 3
-    i = (sector - p) % 3 if second == 1 else (p - sector) % 3
-    other = HALF[1 - HALF.index(half)]
-    if second == 2:
-        return other if i == 0 else half
-    return (half, "V", "Λ")[i]
+def _steps() -> dict[tuple[int, int, str], str]:
+    """Half of a digit for the digit that follows it and that one's half, from all steps of a walk."""
+    return {
+        (digit(code, sector), digit(C2.index(child), below), half_of(C2.index(child))): half_of(code)
+        for code in range(6) for sector in range(3) for child, _, _ in CHILDREN[half_of(code), sector] for below in range(3)
+    }
+
+
+PARENT_HALF = _steps()

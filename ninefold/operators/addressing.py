@@ -133,58 +133,98 @@ def assign_cells_columns(points: DataFrame, level: int, x: str = "x", y: str = "
     return out.select(*base, "digits", F.expr("right(path, 1)").alias("half"), "path")
 
 
+# -- from cells back -----------------------------------------------------------------------------------
+
+_PARENT = np.zeros((9, 9, 2), np.int64)
+for (_p, _c, _h), _half in R.PARENT_HALF.items():
+    _PARENT[_p, _c, R.HALF.index(_h)] = R.HALF.index(_half)
+_CODE = np.array([[R.code_of(h, d) for d in range(9)] for h in R.HALF])
+_SHIFT = np.zeros((2, 3, 6, 2))
+for (_half, _sector), _rows in R.CHILDREN.items():
+    for _child, _, _ in _rows:
+        _SHIFT[R.HALF.index(_half), _sector, R.C2.index(_child)] = R.shift(_half, _sector, _child)
+
+
+def _centre_table(share: tuple[float, float, float]) -> np.ndarray:
+    corners = [[[R.CORNERS[h][n] for n in R.SECTOR_CORNERS[h, s]] for s in range(3)] for h in R.HALF]
+    return np.einsum("hsnk,n->hsk", np.array(corners), np.array(share))
+
+
+_CENTRE = _centre_table(R.CENTROID)
+# Mirrored over the long edge from A to B: C's share changes sign, and the point moves along the height.
+_MATE = _centre_table((R.CENTROID[0] + R.CENTROID[2], R.CENTROID[1] + R.CENTROID[2], -R.CENTROID[2]))
+
+
+def halves(digits: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The half (place in HALF) of every level, from digits (cells x levels) and the last half."""
+    out = np.empty(digits.shape, np.int64)
+    out[:, -1] = last
+    for k in range(digits.shape[1] - 1, 0, -1):
+        out[:, k - 1] = _PARENT[digits[:, k - 1], digits[:, k], out[:, k]]
+    return out
+
+
+def centres(digits: np.ndarray, half: np.ndarray, mate: bool = False) -> np.ndarray:
+    """Centres (cells x 2) in their triangle, from digits and halves of every level; with mate, their
+    mirror images over the cells' long edges."""
+    codes, sectors = _CODE[half, digits], digits % 3
+    at = (_MATE if mate else _CENTRE)[half[:, -1], sectors[:, -1]]
+    for k in range(digits.shape[1] - 2, -1, -1):
+        at = at / 3 - _SHIFT[half[:, k], sectors[:, k], codes[:, k + 1]]
+    return at
+
+
+def _parsed(digits: list[str], last: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Digits (cells x levels) and halves of cells of one level; a missing last half is V."""
+    found = np.array(digits, f"<U{len(digits[0])}").view(np.uint32).reshape(len(digits), -1).astype(np.int64) - 48
+    return found, halves(found, np.array([R.HALF.index(h or "V") for h in last]))
+
+
 def unravel_path(digits: str, half: str | None) -> str:
     """Digits and last half (missing: V) to the path with every half."""
-    half = half or "V"
-    out = [half]
-    for k in range(len(digits) - 1, 0, -1):
-        half = R.parent_half(int(digits[k - 1]), int(digits[k]), half)
-        out.append(half)
-    return "".join(d + h for d, h in zip(digits, reversed(out), strict=True))
+    return "".join(d + R.HALF[h] for d, h in zip(digits, _parsed([digits], [half])[1][0], strict=True))
 
 
 def centroid(digits: str, half: str, mate: bool = False) -> tuple[float, float]:
     """Centre of a cell in its triangle; with mate, its mirror image over the cell's long edge."""
-    path = unravel_path(digits, half)
-    codes = [R.code_of(path[2 * k + 1], int(path[2 * k])) for k in range(len(digits))]
-    last_half, sector = path[-1], int(digits[-1]) % 3
-    corners = [R.CORNERS[last_half][c] for c in R.SECTOR_CORNERS[last_half, sector]]
-    share = R.CENTROID
-    if mate:  # C's share changes sign; the point moves along the height over AB
-        a, b, c = share
-        share = (a + c, b + c, -c)
-    x, y = (sum(s * p[k] for s, p in zip(share, corners, strict=True)) for k in range(2))
-    for k in range(len(digits) - 2, -1, -1):
-        dx, dy = R.shift(path[2 * k + 1], int(digits[k]) % 3, R.C2[codes[k + 1]])
-        x, y = x / 3 - dx, y / 3 - dy
-    return x, y
-
-
-def _per_cell(cells: DataFrame, schema: str, function) -> DataFrame:
-    """function(digits, half) for each different cell, joined back."""
+    x, y = centres(*_parsed([digits], [half]), mate)[0]
+    return float(x), float(y)
+
+
+def _per_cell(cells: DataFrame, schema: str, function, root: bool = False) -> DataFrame:
+    """The columns that function(digits, halves, roots) gives for arrays of different cells, joined
+    back. With root, digits start with the two letters of a root, whose own digit is 0."""
     once = cells.select("digits", "half").filter("digits is not null").distinct()
+    names = ["digits", "half", *[p.split()[0] for p in schema.split(", ")]]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            rows = [(d, h, *function(d, h)) for d, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            names = ["digits", "half", *[p.split()[0] for p in schema.split(", ")]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k < 2 or "string" in schema else pa.float64()) for k in range(len(names))], names)
+            digits, half = (np.array(batch.column(k).to_pylist(), object) for k in range(2))
+            lengths = np.fromiter(map(len, digits), np.int64, len(digits))
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                own = ["0" + d[2:] if root else d for d in digits[at]]
+                columns = function(*_parsed(own, list(half[at])), [d[:2] for d in digits[at]] if root else None)
+                yield pa.RecordBatch.from_arrays([pa.array(list(digits[at]), pa.string()), pa.array(list(half[at]), pa.string()), *map(pa.array, columns)], names)
 
     solved = once.mapInArrow(run, f"digits string, half string, {schema}")
     return cells.join(solved, ["digits", "half"])
 
 
 def cell_centroids(cells: DataFrame) -> DataFrame:
-    """The cells with cx, cy, the centre of their half-hexagon."""
-    return _per_cell(cells, "cx double, cy double", lambda d, h: centroid(d, h))
+    """The cells of a triangle with cx, cy, the centre of their half-hexagon."""
+    return _per_cell(cells, "cx double, cy double", lambda digits, half, _: list(centres(digits, half).T))
 
 
-def unravel(cells: DataFrame) -> DataFrame:
-    """One row for each level of each cell: level, digit, level_half."""
-    paths = _per_cell(cells, "unravelled string", lambda d, h: (unravel_path(d, h),))
-    levels = F.sequence(F.lit(1), F.length("digits"))
-    each = paths.select(*cells.columns, F.explode(levels).alias("level"), "unravelled")
-    return each.select(*cells.columns, "level", F.expr("substring(unravelled, 2 * level - 1, 1)").alias("digit"), F.expr("substring(unravelled, 2 * level, 1)").alias("level_half"))
+def unravel(cells: DataFrame, root: bool = False) -> DataFrame:
+    """One row for each level of each cell: level, digit, level_half. With root, for cells on the
+    sphere, the digit of level 1 is the name of the root."""
+    letters = np.array(R.HALF)
+    join = lambda digits, half, _: [["".join(x) for x in letters[half]]]
+    paths = _per_cell(cells, "unravelled string", join, root)
+    each = paths.select(*cells.columns, F.explode(F.sequence(F.lit(1), F.length("unravelled"))).alias("level"), "unravelled")
+    digit = F.expr("substring(digits, level, 1)") if not root else F.expr("CASE WHEN level = 1 THEN substring(digits, 1, 2) ELSE substring(digits, level + 1, 1) END")
+    return each.select(*cells.columns, "level", digit.alias("digit"), F.expr("substring(unravelled, level, 1)").alias("level_half"))
 
 
 def ravel(levels: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,7 +235,7 @@ def ravel(levels: DataFrame, keys: list[str]) -> DataFrame:
 
 def children(cells: DataFrame) -> DataFrame:
     """The half-hexagon children of each cell by path: child_path, nine for a half-hexagon."""
-    pairs = [(p, h, c, ch) for p in range(9) for h in R.HALF for c in range(9) for ch in R.HALF if R.parent_half(p, c, ch) == h]
+    pairs = [(p, h, c, ch) for p in range(9) for h in R.HALF for c in range(9) for ch in R.HALF if R.PARENT_HALF[p, c, ch] == h]
     table = cells.sparkSession.createDataFrame(pairs, "__digit int, __half string, child int, child_half string")
     keyed = cells.withColumn("__digit", F.expr("CAST(substring(path, length(path) - 1, 1) AS INT)")).withColumn("__half", F.expr("right(path, 1)"))
     return keyed.join(F.broadcast(table), ["__digit", "__half"]).withColumn("child_path", F.concat("path", F.col("child").cast("string"), "child_half")).drop("__digit", "__half")
@@ -207,15 +247,15 @@ def canonical_cells(cells: DataFrame, c2: str = "021") -> DataFrame:
     Of the two halves of a hexagon the V one names it. The other half is found by mirroring the
     centroid over the long edge and addressing that point. A Λ half whose mate lies outside the
     triangle keeps its own address."""
-    mates = _per_cell(cells, "mx double, my double", lambda d, h: centroid(d, h, mate=True))
-    levels = [r[0] for r in mates.select(F.length("digits")).distinct().limit(R.MAX_LEVEL + 1).collect()]
-    out = None
-    for level in levels:
-        same = mates.filter(F.length("digits") == level).withColumnsRenamed({"digits": "d0", "half": "h0", "path": "p0"}).withColumn("__c2", F.lit(c2))
-        found = assign_cells(same, level, "mx", "my", "__c2")
-        third = R.H / 3
-        inside = (F.col("my") > -third) & (F.col("my") <= 2 * third - F.abs(R.R3 * F.col("mx"))) if R.C2.index(c2) < 3 else (F.col("my") <= third) & (F.col("my") > -2 * third + F.abs(R.R3 * F.col("mx")))
-        named = found.withColumn("canonical", F.when((F.col("h0") == "V") | ~inside, F.concat("d0", "h0")).otherwise(F.concat("digits", "half")))
-        named = named.drop("digits", "half", "path", "__c2", "mx", "my").withColumnsRenamed({"d0": "digits", "h0": "half", "p0": "path"})
-        out = named if out is None else out.unionByName(named)
-    return out if out is not None else cells.withColumn("canonical", F.lit(None).cast("string"))
+    third, up = R.H / 3, R.C2.index(c2) < 3
+
+    def named(digits: np.ndarray, half: np.ndarray, _) -> list:
+        x, y = centres(digits, half, mate=True).T
+        side = 2 * third - np.abs(R.R3 * x)
+        inside = (y > -third) & (y <= side) if up else (y <= third) & (y > -side)
+        other, codes = walk(x, y, np.full(len(x), R.C2.index(c2)), digits.shape[1])
+        keeps = (half[:, -1] == 1) | ~inside
+        chosen, last = np.where(keeps[:, None], digits, other), np.where(keeps, half[:, -1], codes[:, -1] // 3)
+        return [["".join(map(str, d)) + R.HALF[h] for d, h in zip(chosen.tolist(), last.tolist(), strict=True)]]
+
+    return _per_cell(cells, "canonical string", named)

@@ -43,30 +43,30 @@ def cell_rollup(cells: DataFrame, levels: list[int], root: bool = False) -> Data
     return rolled.filter("n IS NOT NULL").select(level.alias("level"), F.coalesce(*[F.col(n) for n in reversed(names)], F.lit("")).alias("cell"), "n")
 
 
-def cell_cube(cells: DataFrame, level: int, category: str) -> DataFrame:
+def cell_cube(cells: DataFrame, level: int, category: str, root: bool = False) -> DataFrame:
     """Points by cell and category, with sub-totals (null cell or category); cells are counted first."""
-    counted = cells.groupBy(prefix(level).alias("cell"), F.col(category).alias("category")).agg(F.count("*").alias("__n"))
+    counted = cells.groupBy(prefix(level, root=root).alias("cell"), F.col(category).alias("category")).agg(F.count("*").alias("__n"))
     return counted.cube("cell", "category").agg(F.sum("__n").alias("n"))
 
 
-def distinct_cells(cells: DataFrame, levels: list[int], approximate: bool = False) -> DataFrame:
+def distinct_cells(cells: DataFrame, levels: list[int], approximate: bool = False, root: bool = False) -> DataFrame:
     """Number of occupied cells at each level; one pass, at most the finest level's cells shuffled."""
     if approximate:
-        row = cells.agg(*[F.approx_count_distinct(prefix(k)).alias(f"c{k}") for k in levels])
+        row = cells.agg(*[F.approx_count_distinct(prefix(k, root=root)).alias(f"c{k}") for k in levels])
         return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"c{k}").alias("cells")) for k in levels])).alias("r")).select("r.*")
-    finest = cells.select(prefix(max(levels)).alias("p")).distinct()
-    each = finest.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), prefix(k, "p").alias("cell")) for k in levels])).alias("r")).select("r.*")
+    finest = cells.select(prefix(max(levels), root=root).alias("p")).distinct()
+    each = finest.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), prefix(k, "p", root).alias("cell")) for k in levels])).alias("r")).select("r.*")
     return each.distinct().groupBy("level").agg(F.count("*").alias("cells"))
 
 
-def adaptive_level(cells: DataFrame, key: str, max_level: int) -> DataFrame:
+def adaptive_level(cells: DataFrame, key: str, max_level: int, root: bool = False) -> DataFrame:
     """The first level at which each point is alone in its cell (null if never).
 
     Cells are counted level by level from the finest counts, so one shuffle of points is followed by
     shuffles of cells only."""
-    finest = cells.groupBy(prefix(max_level).alias("path")).agg(F.count("*").alias("n"), F.min(key).alias(key))
+    finest = cells.groupBy(prefix(max_level, root=root).alias("path")).agg(F.count("*").alias("n"), F.min(key).alias(key))
     counted = finest.select(F.explode(F.sequence(F.lit(1), F.lit(max_level))).alias("level"), "path", "n", key)
-    per_cell = counted.groupBy("level", F.expr("substring(path, 1, 2 * level)").alias("cell")).agg(F.sum("n").alias("n"), F.min(key).alias(key))
+    per_cell = counted.groupBy("level", F.expr(f"substring(path, 1, 2 * level + {int(root)})").alias("cell")).agg(F.sum("n").alias("n"), F.min(key).alias(key))
     alone = per_cell.filter("n = 1").groupBy(key).agg(F.min("level").alias("level"))
     return cells.select(key).join(alone, key, "left")
 
@@ -96,41 +96,43 @@ def cells_in(cells: DataFrame, ancestor: str) -> DataFrame:
     return cells.filter(F.col("path").startswith(ancestor))
 
 
-def changed_cells(a: DataFrame, b: DataFrame, level: int) -> DataFrame:
+def changed_cells(a: DataFrame, b: DataFrame, level: int, root: bool = False) -> DataFrame:
     """Cells that only one of two tables occupies, and those that both do: cell, side.
 
     One aggregate over both tables; each side is reduced to its cells before the shuffle."""
-    side = lambda df, left: df.select(prefix(level).alias("cell"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
+    side = lambda df, left: df.select(prefix(level, root=root).alias("cell"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
     both = side(a, True).unionByName(side(b, False)).groupBy("cell").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
     return both.select("cell", F.when(F.col("left") & F.col("right"), "both").when(F.col("left"), "left").otherwise("right").alias("side"))
 
 
-def overlay_levels(cells: DataFrame, levels: list[int]) -> DataFrame:
+def overlay_levels(cells: DataFrame, levels: list[int], root: bool = False) -> DataFrame:
     """Occupied cells of several levels as layers: level, cell. Points are shuffled once, as cells."""
-    finest = cells.select(prefix(max(levels)).alias("path")).distinct()
-    layers = F.array(*[F.struct(F.lit(k).alias("level"), prefix(k).alias("cell")) for k in levels])
+    finest = cells.select(prefix(max(levels), root=root).alias("path")).distinct()
+    layers = F.array(*[F.struct(F.lit(k).alias("level"), prefix(k, root=root).alias("cell")) for k in levels])
     return finest.select(F.explode(layers).alias("r")).select("r.*").distinct()
 
 
-def quantisation_error(points: DataFrame, levels: list[int], x: str = "x", y: str = "y", c2: str = "c2") -> DataFrame:
-    """Distance from points to the centre of their cell: level, n, max_error, avg_error."""
-    out = None
-    for k in levels:
-        found = cell_centroids(assign_cells(points.select(x, y, c2), k, x, y, c2))
-        d = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
-        one = found.agg(F.count("*").alias("n"), F.max(d).alias("max_error"), F.avg(d).alias("avg_error")).withColumn("level", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+def quantisation_error(points: DataFrame, levels: list[int], x: str = "x", y: str = "y", c2: str = "c2", percentile: float = 0.95) -> DataFrame:
+    """Distance from points to the centre of their cell: level, n, max_error, avg_error and
+    percentile_error (approximate). Points are addressed once, at the finest level, and centres are
+    found for occupied cells only."""
+    finest = assign_cells(points.select(x, y, c2), max(levels), x, y, c2)
+    each = finest.filter("path is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    cells = each.select(x, y, "level", F.expr("substring(digits, 1, level)").alias("digits"), F.expr("substring(path, 2 * level, 1)").alias("half"))
+    found = cell_centroids(cells)
+    d = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
+    return found.groupBy("level").agg(F.count("*").alias("n"), F.max(d).alias("max_error"), F.avg(d).alias("avg_error"), F.percentile_approx(d, percentile, 10_000).alias("percentile_error"))
 
 
-def write_cells(cells: DataFrame, path: str, level: int) -> None:
+def write_cells(cells: DataFrame, path: str, level: int, root: bool = False) -> None:
     """Parquet, in one folder for each ancestor at the level."""
-    cells.withColumn("ancestor", prefix(level)).write.mode("overwrite").partitionBy("ancestor").parquet(path)
+    cells.withColumn("ancestor", prefix(level, root=root)).write.mode("overwrite").partitionBy("ancestor").parquet(path)
 
 
-def read_cells(spark, path: str, ancestor: str, level: int) -> DataFrame:
+def read_cells(spark, path: str, ancestor: str, level: int, root: bool = False) -> DataFrame:
     """Descendants of a cell: reads its folders only, and pushes the prefix test down."""
     rows = spark.read.option("basePath", path).parquet(path)
-    short = ancestor[: 2 * level]
+    width = 2 * level + int(root)
+    short = ancestor[:width]
     folder = F.col("ancestor").cast("string")
-    return cells_in(rows.filter(folder == short if len(ancestor) >= 2 * level else folder.startswith(short)), ancestor)
+    return cells_in(rows.filter(folder == short if len(ancestor) >= width else folder.startswith(short)), ancestor)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ninefold.functions import rules as R
 from ninefold.functions.columns import unit_vector
 
-from .addressing import _kernel
+from .addressing import _kernel, _per_cell, centres
 
 
 def octahedral(x: Column, y: Column, z: Column) -> list[Column]:
@@ -48,3 +49,44 @@ def assign_places(points: DataFrame, level: int, lat: str = "lat", lon: str = "l
     """assign_global for latitudes and longitudes in degrees."""
     x, y, z = unit_vector(F.col(lat), F.col(lon))
     return assign_global(points.withColumns({"__x": x, "__y": y, "__z": z}), level, "__x", "__y", "__z").drop("__x", "__y", "__z")
+
+
+#: Axis and sign of the letters of a root's name.
+_LETTERS = {"P": (0, 1), "A": (0, -1), "E": (1, 1), "W": (1, -1), "N": (2, 1), "S": (2, -1)}
+
+
+def _directions(at: np.ndarray, up: np.ndarray, roots: list[str]) -> list[np.ndarray]:
+    """Unit vectors of places in the frames of their roots. The octant's third letter, which a root
+    does not name, follows from which way its face points; a place beyond the edge that halves the
+    root's hexagon lies in the octant on the other side."""
+    first, second = (np.array([_LETTERS[r[k]] for r in roots]) for k in range(2))
+    sign = np.where(up, 1.0, -1.0)
+    c = sign * at[:, 1] / R.H + 1 / 3
+    share_c = np.abs(c)
+    ab = 2 * at[:, 0] / R.W
+    odd = (first[:, 1] < 0) ^ (second[:, 1] < 0)
+    third = np.where(up ^ odd, -1, 1) * np.where(c < 0, -1, 1)  # a face points up if an odd number of its letters is negative
+    out, rows = np.zeros((len(at), 3)), np.arange(len(at))
+    out[rows, first[:, 0]] = first[:, 1] * (1 - share_c + ab) / 2
+    out[rows, second[:, 0]] = second[:, 1] * (1 - share_c - ab) / 2
+    out[rows, 3 - first[:, 0] - second[:, 0]] = third * share_c
+    return list((out / np.linalg.norm(out, axis=1, keepdims=True)).T)
+
+
+def global_centroids(cells: DataFrame, mate: bool = False) -> DataFrame:
+    """The cells on the sphere (digits that start with a root, half) with cx, cy, cz, the direction of
+    the centre of their half-hexagon; with mate, of the other half of its hexagon, in another root or
+    octant too."""
+    schema = "mx double, my double, mz double" if mate else "cx double, cy double, cz double"
+    return _per_cell(cells, schema, lambda digits, half, roots: _directions(centres(digits, half, mate), half[:, 0] == 0, roots), root=True)
+
+
+def global_canonical(cells: DataFrame, level: int) -> DataFrame:
+    """Cells of a level with canonical, the address that both halves of their hexagon share: that of the
+    V half, or, where both are of one kind, as across an edge of two faces, the smaller one."""
+    once = cells.select(F.col("digits").alias("d0"), F.col("half").alias("h0")).distinct()
+    found = assign_global(global_centroids(once.select(F.col("d0").alias("digits"), F.col("h0").alias("half")), mate=True).withColumnsRenamed({"digits": "d0", "half": "h0"}), level, "mx", "my", "mz")
+    own, other = F.concat("d0", "h0"), F.concat("digits", "half")
+    named = F.when(F.col("h0") == F.col("half"), F.least(own, other)).when(F.col("h0") == "V", own).otherwise(other)
+    pairs = found.select(F.col("d0").alias("digits"), F.col("h0").alias("half"), named.alias("canonical"))
+    return cells.join(pairs, ["digits", "half"])

@@ -287,11 +287,11 @@ def a6_grid_labels(spark, sf_dir):
 
 
 def _a6() -> str:
-    from ninefold.functions.rules import parent_half
+    from ninefold.functions.rules import PARENT_HALF
 
     first = ", ".join(f"({d}, {q}, {r}, {ab})" for d, (q, r, ab) in enumerate(M.DISTRICT_AXIAL))
     place = ", ".join(f"({q}, {r}, {d})" for (q, r), d in M.AXIAL_DISTRICT.items())
-    half = ", ".join(f"({ab}, {n}, {od}, {1 if parent_half(n, od, h) == 'V' else 2})" for ab, h in ((1, "V"), (2, "Λ")) for n in range(3) for od in range(9))
+    half = ", ".join(f"({ab}, {n}, {od}, {1 if PARENT_HALF[n, od, h] == 'V' else 2})" for ab, h in ((1, "V"), (2, "Λ")) for n in range(3) for od in range(9))
     trunc = lambda e: f"trunc(({e})/3.0)::int"
     sql = f"WITH f(district, fq, fr, ab) AS (VALUES {first}), a(qi, ri, n) AS (VALUES {place}), t(ab, n3, od, up) AS (VALUES {half}), l0 AS (SELECT hx, hy, d.district, hx*3 + fq AS q, (-hy - ((hx - ((hx % 2) + 2) % 2)//2))*3 + fr AS r, ab, '' AS label, NULL::int AS od FROM (SELECT DISTINCT (o_orderkey % 19 - 9)::int AS hx, ((o_orderkey//19) % 17 - 8)::int AS hy, (o_custkey % 18)::int AS district FROM orders) d JOIN f USING (district))"
     for k in range(3):
