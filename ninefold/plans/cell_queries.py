@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ninefold.operators import addressing as A
 from ninefold.operators import cells as C
 from ninefold.operators import globe as G
 
-from .sql import centre_sql, directions, global_sql, num, places, places_sql, planar, planar_sql, walk_sql
+from .sql import DIRECTIONS_SQL, centre_sql, directions, shared_folder, global_sql, num, places, places_sql, planar, planar_sql, walk_sql
 
 LEVEL = 4
 EARTH_EIGHTH = 510_065_621.724 / 8  # km², an octant
@@ -200,8 +199,7 @@ P8 = _walk(6) + "SELECT path, count(*) AS n FROM cells WHERE lvl = 6 AND starts_
 
 def s9_cell_store(spark, sf_dir):
     """Cells written by ancestor and read back for one of them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared}/cells-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
     C.write_cells(_cells(spark, sf_dir, 6, "lineitem").select("path"), path, 1)
     return C.read_cells(spark, path, "5Λ2Λ", 1).groupBy("path").agg(F.count("*").alias("n"))
 
@@ -232,8 +230,69 @@ def a2_assign_places(spark, sf_dir):
 _XYZ = "cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z"
 A2P = global_sql(f"SELECT c_custkey, {_XYZ} FROM ({places_sql(extra=('c_custkey',))})", 2, ("c_custkey",)) + "SELECT root, count(*) AS n FROM globe WHERE lvl = 2 GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, u1_overlay_levels, u2_changed_cells)}
+# -- cells on the sphere -------------------------------------------------------------------------------
+
+def _globe(spark, sf_dir, level):
+    return G.assign_global(directions(spark, sf_dir), level)
+
+
+def a3_global_centroids(spark, sf_dir):
+    """Direction of the centre of each occupied cell."""
+    cells = G.global_centroids(_globe(spark, sf_dir, 5).select("digits", "half").distinct())
+    return cells.select("digits", "half", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")])
+
+
+def _axis(plus: str, minus: str) -> str:
+    sign = f"CASE WHEN contains(root, '{plus}') THEN 1 WHEN contains(root, '{minus}') THEN -1 WHEN up = (length(translate(root, 'PEN', '')) % 2 = 0) THEN -1 ELSE 1 END"
+    return f"({sign}) * (CASE WHEN left(root, 1) IN ('{plus}', '{minus}') THEN (1 - c + ab)/2 WHEN right(root, 1) IN ('{plus}', '{minus}') THEN (1 - c - ab)/2 ELSE c END)"
+
+
+_FRAME = f"SELECT root || substring(digits, 2) AS digits, half, root, substring(path, 2, 1) = 'Λ' AS up, 2*{_CX}/{num(R.W)} AS ab, (CASE WHEN substring(path, 2, 1) = 'Λ' THEN 1 ELSE -1 END)*{_CY}/{num(R.H)} + 1.0::double/3 AS c FROM cells WHERE lvl = 5"
+_SHARES = f"SELECT digits, half, {_axis('P', 'A')} AS x, {_axis('E', 'W')} AS y, {_axis('N', 'S')} AS z FROM ({_FRAME})"
+A3G = global_sql(level=5) + "SELECT digits, half, " + ", ".join(f"round(any_value({v}/sqrt(x*x + y*y + z*z)), 6) AS c{v}" for v in "xyz") + f" FROM ({_SHARES}) GROUP BY digits, half"
+
+
+def a4_global_unravel(spark, sf_dir):
+    """Digits and halves by level, where the root stands for the first digit."""
+    cells = _globe(spark, sf_dir, 6).select("digits", "half").distinct()
+    return A.unravel(cells, root=True).groupBy("level", "digit", "level_half").agg(F.count("*").alias("n"))
+
+
+A4G = global_sql(level=6) + """, once AS (SELECT DISTINCT path FROM globe WHERE lvl = 6)
+SELECT k::int AS level, CASE WHEN k = 1 THEN left(path, 2) ELSE substring(path, (2*k)::int, 1) END AS digit, substring(path, (2*k+1)::int, 1) AS level_half, count(*) AS n FROM once, range(1, 7) r(k) GROUP BY ALL"""
+
+
+def w1_global(spark, sf_dir):
+    return C.adaptive_level(_globe(spark, sf_dir, 8), "vec_id", 8, root=True)
+
+
+W1G = global_sql(level=8) + f""", counted AS (SELECT lvl, path, count(*) AS n, min(vec_id) AS vec_id FROM globe GROUP BY ALL)
+SELECT d.vec_id, level FROM ({DIRECTIONS_SQL}) d LEFT JOIN (SELECT vec_id, min(lvl) AS level FROM counted WHERE n = 1 GROUP BY ALL) USING (vec_id)"""
+
+
+def g3_global(spark, sf_dir):
+    return C.cell_cube(_globe(spark, sf_dir, 2), 2, "label", root=True)
+
+
+G3G = global_sql(level=2) + "SELECT path AS cell, label AS category, count(*) AS n FROM globe WHERE lvl = 2 GROUP BY CUBE (path, label)"
+
+
+def g10_global(spark, sf_dir):
+    return C.distinct_cells(_globe(spark, sf_dir, 6), [1, 2, 3, 4, 5, 6], root=True)
+
+
+G10G = global_sql(level=6) + "SELECT lvl AS level, count(DISTINCT path) AS cells FROM globe GROUP BY ALL"
+
+
+def j6_global(spark, sf_dir):
+    """Points by hexagon; its halves may lie in two octants."""
+    named = G.global_canonical(_globe(spark, sf_dir, 4).select("digits", "half"), 4)
+    return named.groupBy("canonical").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, u1_overlay_levels, u2_changed_cells)}
 ORACLE_SQL = {
+    "a3_global_centroids": A3G, "a4_global_unravel": A4G, "w1_global": W1G, "g3_global": G3G, "g10_global": G10G,
     "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
     "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
     "g10_distinct_cells": G10, "w1_adaptive_level": W1, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "u1_overlay_levels": U1, "u2_changed_cells": U2,

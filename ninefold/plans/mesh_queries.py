@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,11 @@ from ninefold.operators import points as P
 from ninefold.sources import points as S
 
 from .raster_queries import EXTENT, W, _full
-from .sql import num, places, places_sql, table
+from .sql import num, places, places_sql, shared_folder, table
 
 
 def _shared(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # -- points ------------------------------------------------------------------------------------------

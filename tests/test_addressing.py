@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from ninefold.functions import rules as R
 from ninefold.operators import addressing as A
+from ninefold.operators import globe as G
 from ninefold.operators import mesh as M
 
 POINT = (0.2924332269536584, 0.28114591390120613)
@@ -106,3 +107,23 @@ def test_three_equal_edges(spark):
     rows = [([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.6, 0.0, 0.8])]
     df = spark.createDataFrame(rows, "p0 array<double>, p1 array<double>, p2 array<double>")
     assert [r["equilateral"] for r in M.check_equilateral(df).collect()] == [True, False]
+
+
+def test_cells_on_the_sphere_come_back(spark):
+    """The centre of a cell lies in it, and the other half of its hexagon has this one as its other half."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 3))
+    points = spark.createDataFrame([tuple(map(float, p)) for p in v / np.linalg.norm(v, axis=1, keepdims=True)], "x double, y double, z double")
+    for level in (1, 2, 5):
+        cells = G.assign_global(points, level).select("digits", "half").distinct()
+        centres = G.global_centroids(cells).withColumnsRenamed({"digits": "d0", "half": "h0"})
+        assert G.assign_global(centres, level, "cx", "cy", "cz").filter("d0 <> digits or h0 <> half").count() == 0
+        mates = G.global_centroids(cells, mate=True).withColumnsRenamed({"digits": "d0", "half": "h0"})
+        there = G.assign_global(mates, level, "mx", "my", "mz").select("d0", "h0", "digits", "half")
+        assert there.filter("d0 = digits and h0 = half").count() == 0
+        back = G.global_centroids(there.select("digits", "half").distinct(), mate=True).withColumnsRenamed({"digits": "d1", "half": "h1"})
+        again = G.assign_global(back, level, "mx", "my", "mz").select("d1", "h1", "digits", "half")
+        joined = there.join(again, (there["digits"] == again["d1"]) & (there["half"] == again["h1"])).filter((there["d0"] != again["digits"]) | (there["h0"] != again["half"]))
+        assert joined.count() == 0
+        sizes = G.global_canonical(cells, level).groupBy("canonical").count().collect()
+        assert max(r["count"] for r in sizes) <= 2
