@@ -75,7 +75,7 @@ def words_with_space(text: str) -> list[str] | None:
 class Memo(dict):
     """A bounded memo of a function of one string; it is emptied when full."""
 
-    def __init__(self, function, limit: int = 600_000):
+    def __init__(self, function, limit: int = 150_000):
         super().__init__()
         self.function, self.limit = function, limit
 

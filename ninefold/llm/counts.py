@@ -46,7 +46,7 @@ class Counter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         # Text may be cut before a space mark if no piece holds one after another character.
         self.divisible = not any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
-        self.memo = Memo(self.run)
+        self.memo = Memo(self.run, 600_000)
 
     def run(self, text: str) -> int:
         n = len(text)

@@ -58,7 +58,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    memo = _memo.setdefault("words", Memo(_word_hash, 400_000))
+    memo = _memo.setdefault("words", Memo(_word_hash, 100_000))
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
     short = n < size
     width = n if short else size
