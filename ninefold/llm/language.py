@@ -68,8 +68,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "log_p": pa.array([log_p.tobytes()], pa.binary())})
 
     taken = taken.select("lang", "text")
-    counted = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sorted(counted.groupBy("lang").applyInArrow(finish, "lang string, log_p binary").collect(), key=lambda r: r["lang"])
+    summed = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted(summed.groupBy("lang").applyInArrow(finish, "lang string, log_p binary").collect(), key=lambda r: r["lang"])
     table_ = np.stack([np.frombuffer(r["log_p"], np.float32) for r in found], axis=1) if found else np.zeros((BUCKETS, 0), np.float32)
     return [r["lang"] for r in found], table_
 
@@ -91,10 +91,19 @@ def _mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(n @ np.log(p @ share))
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text and how often each occurs."""
+    grams, seen = np.unique(_grams(text), return_counts=True)
+    return grams, seen.astype(np.float64)
+
+
 def infer(text: str, log_p: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The chosen languages' indexes and their proportions, largest first."""
-    grams, seen = np.unique(_grams(text), return_counts=True)
-    logs, n = log_p[grams].astype(np.float64), seen.astype(np.float64)
+    return _infer(*counted(text), log_p)
+
+
+def _infer(grams: np.ndarray, n: np.ndarray, log_p: np.ndarray) -> tuple[list[int], np.ndarray]:
+    logs = log_p[grams].astype(np.float64)
     first = int(np.argmax(n @ logs))
     p = np.exp(logs - logs.max(1, keepdims=True))
     base = n @ np.log(np.maximum(p[:, first], 1e-30))
@@ -116,12 +125,11 @@ def infer(text: str, log_p: np.ndarray) -> tuple[list[int], np.ndarray]:
     return [int(chosen[i]) for i in by], np.array([share[i] for i in by])
 
 
-def known_share(text: str, log_p: np.ndarray, chosen: list[int], share: np.ndarray) -> float:
+def known_share(grams: np.ndarray, n: np.ndarray, log_p: np.ndarray, chosen: list[int], share: np.ndarray) -> float:
     """Share of the n-grams that the mixture explains better than a background in which all n-grams
     are equally likely, by expectation-maximisation over the two."""
-    grams, seen = np.unique(_grams(text), return_counts=True)
     mixed = np.exp(log_p[grams][:, chosen].astype(np.float64)) @ share
-    return float(_mixture(np.stack([mixed, np.full(len(mixed), 1 / BUCKETS)], axis=1), seen.astype(np.float64))[0][0])
+    return float(_mixture(np.stack([mixed, np.full(len(mixed), 1 / BUCKETS)], axis=1), n)[0][0])
 
 
 def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +174,9 @@ def language_filter(docs: DataFrame, model: tuple[list[str], np.ndarray], text_c
             return False
         if not languages:
             return True
-        chosen, share = infer(text, shared.value)
-        return bool(share[0] >= least and known_share(text, shared.value, chosen, share) >= known)
+        grams, n = counted(text)
+        chosen, share = _infer(grams, n, shared.value)
+        return bool(share[0] >= least and known_share(grams, n, shared.value, chosen, share) >= known)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
