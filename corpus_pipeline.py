@@ -23,7 +23,8 @@ from ninefold.llm.secrets import mask_secrets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts in which no language has three tenths of the mixture."""
+    """Rejects texts without letters, texts that no learned language explains better than chance, and
+    texts in which no language has three tenths of the mixture."""
     return language_filter(docs, fit_languages(docs.filter(~held_out())))
 
 
@@ -67,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No SQL expresses the learned stages; tests/llm holds each against a brute-force version.
+#: No SQL expresses the learned stages. tests/llm holds the join, the packing, the mixture and the quality
+#: verdict against brute force, and the masking against planted secrets.
 ORACLE_SQL: str | None = None
