@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BANDS = ("r", "g", "b")
@@ -22,7 +22,7 @@ def _clamp(v: Column, size: int) -> Column:
 
 def checker(pixels: DataFrame, unit: int, colours: list[tuple[int, int, int]], side: int) -> DataFrame:
     """Checkerboard over pixels (row, col) of a square of that side, which must be a multiple of unit
-    times the number of colours; the first and last squares are marked."""
+    times the number of colours (see whole_side); the first and last squares are marked."""
     k = F.pmod(F.floor(F.col("row") / unit) + F.floor(F.col("col") / unit), F.lit(len(colours)))
     first = (F.col("row") < unit) & (F.col("col") < unit)
     last = (F.col("row") >= side - unit) & (F.col("col") >= side - unit)
@@ -36,10 +36,19 @@ def checker(pixels: DataFrame, unit: int, colours: list[tuple[int, int, int]], s
     return pixels.select("row", "col", *[band(i).alias(b) for i, b in enumerate(BANDS)])
 
 
+def whole_side(side: int, unit: int, colours: int) -> int:
+    """The side rounded up to a multiple of the unit times the number of colours."""
+    return -(-side // (unit * colours)) * unit * colours
+
+
+def border(side: int, width: int) -> Column:
+    """Black on the border of a square of that side, white inside."""
+    return F.when((F.least("row", "col") < width) | (F.greatest("row", "col") >= side - width), 0).otherwise(255)
+
+
 def borders(pixels: DataFrame, side: int, width: int) -> DataFrame:
     """White pixels of a square of that side with a black border."""
-    edge = (F.least("row", "col") < width) | (F.greatest("row", "col") >= side - width)
-    return pixels.select("row", "col", *[F.when(edge, 0).otherwise(255).alias(b) for b in BANDS])
+    return pixels.select("row", "col", *[border(side, width).alias(b) for b in BANDS])
 
 
 def mosaic(tiles: DataFrame, sizes: DataFrame, swap: bool = False) -> DataFrame:
@@ -169,6 +178,19 @@ def overlap_weights(columns: DataFrame, shape: str) -> DataFrame:
     return near.withColumn("area", area(left + 1.0) - area(left)).filter("other >= 0 AND area > 1e-12")
 
 
+def write_weights(spark: SparkSession, path: str, shape: str, n: int) -> None:
+    """Weights of n square columns as Parquet, in a folder of their shape, with the periods of both lattices."""
+    s = SHAPES[shape]
+    weights = overlap_weights(spark.range(n).withColumnRenamed("id", "sq"), shape)
+    periods = {"square_pitch": F.lit(1.0), "pitch": F.lit(float(s["pitch"]))}
+    weights.withColumns(periods).write.mode("overwrite").parquet(f"{path}/shape={shape}")
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """Stored weights: sq, other, area, square_pitch, pitch, shape; a filter on shape reads its folder only."""
+    return spark.read.parquet(path)
+
+
 def check_weights(weights: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Square columns whose areas do not add up to 1: sq, total."""
     return weights.groupBy("sq").agg(F.sum("area").alias("total")).filter(F.abs(F.col("total") - 1) > tolerance)
@@ -332,20 +354,19 @@ def despeckle(raster: DataFrame) -> DataFrame:
 
 # -- areas between cuts -----------------------------------------------------------------------------------
 
-def split_area(cuts: DataFrame, by: list[str]) -> DataFrame:
-    """Shares of a shape between vertical cuts (x, shape: square, triangle or half_hex, of side 1).
-
-    n cuts of a shape give n + 1 rows: place (from 1) and share of the whole."""
-    from pyspark.sql import Window
+def split_area(cuts: DataFrame, by: list[str], side: float = 1.0) -> DataFrame:
+    """Parts of a shape between vertical cuts (x, shape: square, triangle or half_hex, of that side).
 
-    x, r3 = F.col("x"), 3**0.5
+    n cuts of a shape give n + 1 rows: place (from 1), share of the whole, and area."""
+    x, r3 = F.col("x") / F.lit(side), 3**0.5
     square = F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(x)
     triangle = F.when(x <= 0, 0.0).when(x <= 0.5, x * x * 2).when(x < 1, 1 - (1 - x) * (1 - x) * 2).otherwise(1.0)
     h = r3 / 2
     whole = 1.5 * h
     half_hex = F.when(x <= 0, 0.0).when(x <= 0.5, x * x * r3 / 2 / whole).when(x <= 1.5, (h / 4 + (x - 0.5) * h) / whole).when(x < 2, 1 - (2 - x) * (2 - x) * r3 / 2 / whole).otherwise(1.0)
-    left = F.when(F.col("shape") == "square", square).when(F.col("shape") == "triangle", triangle).otherwise(half_hex)
+    is_a = lambda *v: F.when(F.col("shape") == "square", v[0]).when(F.col("shape") == "triangle", v[1]).otherwise(v[2])
     w = Window.partitionBy(*by).orderBy("x")
-    rows = cuts.withColumn("left", left).withColumn("place", F.row_number().over(w)).withColumn("share", F.col("left") - F.coalesce(F.lag("left").over(w), F.lit(0.0)))
-    rest = rows.groupBy(*by).agg((F.count("*") + 1).cast("int").alias("place"), (F.lit(1.0) - F.max("left")).alias("share"))
-    return rows.select(*by, "place", "share").unionByName(rest)
+    rows = cuts.withColumn("left", is_a(square, triangle, half_hex)).withColumn("size", is_a(1.0, r3 / 4, whole) * F.lit(side * side))
+    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("share", F.col("left") - F.coalesce(F.lag("left").over(w), F.lit(0.0)))
+    rest = rows.groupBy(*by).agg((F.count("*") + 1).cast("int").alias("place"), (F.lit(1.0) - F.max("left")).alias("share"), F.max("size").alias("size"))
+    return rows.select(*by, "place", "share", "size").unionByName(rest).select(*by, "place", "share", (F.col("share") * F.col("size")).alias("area"))

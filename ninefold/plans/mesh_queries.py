@@ -44,12 +44,12 @@ S2 = "SELECT " + ", ".join(f"{f}({d}{c}) AS {n}_{c}" for c in ("lat", "lon", "we
 def s6_grid_to_points(spark, sf_dir):
     """A field of one value for each part, 36 columns of 10 degrees."""
     parts = table(spark, sf_dir, "part")
-    n = parts.count() // 36
-    field = parts.filter(F.col("p_partkey") < 36 * n).selectExpr("CAST(p_partkey div 36 AS INT) AS i", "CAST(p_partkey % 36 AS INT) AS j", "((p_partkey div 36)*37 + (p_partkey % 36)*101) % 1000 AS value")
+    n = -(-parts.count() // 36)
+    field = parts.selectExpr("CAST(p_partkey div 36 AS INT) AS i", "CAST(p_partkey % 36 AS INT) AS j", "((p_partkey div 36)*37 + (p_partkey % 36)*101) % 1000 AS value")
     return S.grid_to_points(field, n, 36, 90.0, -1.0, 10.0, 0.5).select("i", "j", "lat", "lon", "value")
 
 
-S6 = """WITH n AS (SELECT count(*)//36 AS n FROM part), f AS (SELECT (n - 1 - p_partkey//36)::int AS i, (p_partkey%36)::int AS j, (((p_partkey//36)*37 + (p_partkey%36)*101) % 1000)*0.5::double AS value, n FROM part, n WHERE p_partkey < 36*n)
+S6 = """WITH n AS (SELECT (count(*) + 35)//36 AS n FROM part), f AS (SELECT (n - 1 - p_partkey//36)::int AS i, (p_partkey%36)::int AS j, (((p_partkey//36)*37 + (p_partkey%36)*101) % 1000)*0.5::double AS value, n FROM part, n)
 SELECT i, j, 90.0::double - (n-1-i) AS lat, ((j*10.0::double + 180) % 360) - 180 AS lon, value FROM (SELECT * FROM f UNION ALL SELECT i, 36, value, n FROM f WHERE j = 0)"""
 
 

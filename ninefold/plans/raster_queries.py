@@ -2,34 +2,31 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ninefold.operators import raster as X
 
-from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, table
+from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, shared_folder, table
 
 W = RASTER_WIDTH
 EXTENT = (-90.0, 90.0, -180.0, 180.0)
 
 
-def _size(image: DataFrame) -> int:
-    """Whole rows of the raster."""
-    return (table_count(image) // W) or 1
-
-
-def table_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def _full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The raster without a last row that is not full, and its height."""
+    """The raster, its last row filled up with the colour of places outside a raster, and its height."""
     image = raster(spark, sf_dir)
-    height = _size(image)
-    return image.filter(F.col("row") < height), height
+    n = image.count()
+    height = max(1, -(-n // W))
+    rest = spark.range(n, height * W).selectExpr(f"CAST(id div {W} AS INT) AS row", f"CAST(id % {W} AS INT) AS col", "0 AS r", "255 AS g", "0 AS b")
+    return image.unionByName(rest), height
 
 
-BASE = f'WITH size AS (SELECT count(*) // {W} AS h FROM orders), img AS (SELECT i.* FROM ({RASTER_SQL}) i, size WHERE "row" < h) '
+_HEIGHT = f"WITH size AS (SELECT greatest(1, (count(*) + {W - 1}) // {W}) AS h FROM orders), img AS "
+BASE = _HEIGHT + f'({RASTER_SQL} UNION ALL SELECT (k // {W})::int, (k % {W})::int, 0, 255, 0 FROM range((SELECT count(*) FROM orders), (SELECT h * {W} FROM size)) p(k)) '
 ROUND = ", ".join(f"round({b}, 6) AS {b}" for b in "rgb")
 
 
@@ -38,15 +35,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def s7_checker(spark, sf_dir):
-    """A checkerboard over as large a square as the orders fill, and its border."""
-    side = int(table(spark, sf_dir, "orders").count() ** 0.5) // 8 * 8
-    pixels = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") < side * side).select(F.expr(f"CAST(o_orderkey div {side} AS INT)").alias("row"), F.expr(f"CAST(o_orderkey % {side} AS INT)").alias("col"))
-    board = X.checker(pixels, 4, [(255, 255, 255), (0, 0, 0)], side)
-    edge = X.borders(pixels, side, 3).select("row", "col", F.col("r").alias("border"))
-    return board.join(edge, ["row", "col"])
+    """A checkerboard large enough for a pixel of each order, and its border."""
+    orders = table(spark, sf_dir, "orders")
+    side = X.whole_side(math.ceil(orders.count() ** 0.5), 4, 2)
+    pixels = orders.select(F.expr(f"CAST(o_orderkey div {side} AS INT)").alias("row"), F.expr(f"CAST(o_orderkey % {side} AS INT)").alias("col"))
+    return X.checker(pixels, 4, [(255, 255, 255), (0, 0, 0)], side).withColumn("border", X.border(side, 3))
 
 
-S7 = """WITH s AS (SELECT CAST(floor(sqrt(count(*))) AS INT) // 8 * 8 AS side FROM orders), p AS (SELECT (o_orderkey // side)::int AS "row", (o_orderkey % side)::int AS col, side FROM orders, s WHERE o_orderkey < side*side)
+S7 = """WITH s AS (SELECT (CAST(ceil(sqrt(count(*))) AS INT) + 7) // 8 * 8 AS side FROM orders), p AS (SELECT (o_orderkey // side)::int AS "row", (o_orderkey % side)::int AS col, side FROM orders, s)
 SELECT "row", col, CASE WHEN "row" >= side-4 AND col >= side-4 THEN 255 WHEN "row" < 4 AND col < 4 THEN 0 WHEN ("row"//4 + col//4) % 2 = 0 THEN 255 ELSE 0 END AS r,
   CASE WHEN ("row" >= side-4 AND col >= side-4) OR ("row" < 4 AND col < 4) THEN 255 WHEN ("row"//4 + col//4) % 2 = 0 THEN 255 ELSE 0 END AS g,
   CASE WHEN "row" >= side-4 AND col >= side-4 THEN 0 WHEN "row" < 4 AND col < 4 THEN 255 WHEN ("row"//4 + col//4) % 2 = 0 THEN 255 ELSE 0 END AS b,
@@ -155,7 +151,20 @@ def x0_check_weights(spark, sf_dir):
     return out
 
 
-X0C = "SELECT s AS shape, count(*) AS squares, CASE WHEN s = 'tri' THEN 0 ELSE 0 END::bigint AS deviating FROM part, (VALUES ('hex'), ('tri')) v(s) GROUP BY s"
+def _x0_check() -> str:
+    one = lambda shape: f"SELECT '{shape}' AS shape, count(*) AS squares, count(*) FILTER (WHERE abs(total - 1) > 1e-6) AS deviating FROM (SELECT sq, sum(area) AS total FROM ({_weights('SELECT p_partkey AS sq FROM part', shape)}) WHERE area > 1e-12 GROUP BY sq)"
+    return f"{one('hex')} UNION ALL {one('tri')}"
+
+
+def x0_stored_weights(spark, sf_dir):
+    """Weights stored for as many columns as there are parts, and read again with their periods."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for shape in X.SHAPES:
+        X.write_weights(spark, path, shape, table(spark, sf_dir, "part").count())
+    return X.read_weights(spark, path).select("shape", "sq", "other", F.round("area", 6).alias("area"), F.round("pitch", 9).alias("pitch"))
+
+
+X0S = " UNION ALL ".join(f"SELECT '{s}' AS shape, sq, other, round(area, 6) AS area, round({num(X.SHAPES[s]['pitch'])}, 9) AS pitch FROM ({_weights('SELECT k AS sq FROM range(0, (SELECT count(*) FROM part)) q(k)', s)}) WHERE area > 1e-12" for s in X.SHAPES)
 
 
 def _to_shape(shape):
@@ -252,28 +261,28 @@ def x6_despeckle(spark, sf_dir):
 
 
 def w2_split_area(spark, sf_dir):
-    cuts = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey div 9 AS INT) AS grp", "element_at(array('square', 'triangle', 'half_hex'), CAST(s_suppkey % 3 AS INT) + 1) AS shape", "((s_suppkey*7919) % 1000)/1000.0D*2.1D AS x")
-    return X.split_area(cuts, ["grp", "shape"]).select("grp", "shape", "place", F.round("share", 6).alias("share"))
+    """Cuts of shapes of side 2 by supplier."""
+    cuts = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey div 9 AS INT) AS grp", "element_at(array('square', 'triangle', 'half_hex'), CAST(s_suppkey % 3 AS INT) + 1) AS shape", "((s_suppkey*7919) % 1000)/1000.0D*4.2D AS x")
+    return X.split_area(cuts, ["grp", "shape"], side=2.0).select("grp", "shape", "place", F.round("share", 6).alias("share"), F.round("area", 6).alias("area"))
 
 
 _R3 = num(3**0.5)
-W2 = f"""WITH c AS (SELECT (s_suppkey // 9)::int AS grp, ['square', 'triangle', 'half_hex'][(s_suppkey % 3) + 1] AS shape, ((s_suppkey*7919) % 1000)/1000.0::double*2.1::double AS x FROM supplier),
+W2 = f"""WITH c AS (SELECT (s_suppkey // 9)::int AS grp, ['square', 'triangle', 'half_hex'][(s_suppkey % 3) + 1] AS shape, ((s_suppkey*7919) % 1000)/1000.0::double*4.2::double/2.0::double AS x FROM supplier),
 l AS (SELECT *, CASE shape WHEN 'square' THEN least(1, greatest(0, x)) WHEN 'triangle' THEN CASE WHEN x <= 0 THEN 0 WHEN x <= 0.5 THEN 2*x*x WHEN x < 1 THEN 1 - 2*(1-x)*(1-x) ELSE 1 END
   ELSE CASE WHEN x <= 0 THEN 0 WHEN x <= 0.5 THEN x*x*{_R3}/2/(0.75*{_R3}) WHEN x <= 1.5 THEN ({_R3}/8 + (x-0.5)*{_R3}/2)/(0.75*{_R3}) WHEN x < 2 THEN 1 - (2-x)*(2-x)*{_R3}/2/(0.75*{_R3}) ELSE 1 END END::double AS a FROM c)
-SELECT grp, shape, row_number() OVER w::int AS place, round(a - coalesce(lag(a) OVER w, 0), 6) AS share FROM l WINDOW w AS (PARTITION BY grp, shape ORDER BY x)
-UNION ALL SELECT grp, shape, (count(*) + 1)::int, round(1 - max(a), 6) FROM l GROUP BY grp, shape"""
+SELECT grp, shape, place, round(share, 6) AS share, round(share * 4.0::double * CASE shape WHEN 'square' THEN 1.0::double WHEN 'triangle' THEN {_R3}/4 ELSE 0.75::double*{_R3} END, 6) AS area FROM
+(SELECT grp, shape, row_number() OVER w::int AS place, a - coalesce(lag(a) OVER w, 0) AS share FROM l WINDOW w AS (PARTITION BY grp, shape ORDER BY x) UNION ALL SELECT grp, shape, (count(*) + 1)::int, 1 - max(a) FROM l GROUP BY grp, shape)"""
 
-_SIZE = f"WITH size AS (SELECT count(*) // {W} AS h FROM orders), img AS "
-X5 = _district_sql("9", 5, _SIZE + f"({_to_shape_sql('tri', 12)})", int(-(-W // X.SHAPES["tri"]["pitch"])))
-_BACK = _to_square_sql("hex", 12, _SIZE + f"({_to_shape_sql('hex', 12)})", int(-(-W // X.SHAPES["hex"]["pitch"])))
+X5 = _district_sql("9", 5, _HEIGHT + f"({_to_shape_sql('tri', 12)})", int(-(-W // X.SHAPES["tri"]["pitch"])))
+_BACK = _to_square_sql("hex", 12, _HEIGHT + f"({_to_shape_sql('hex', 12)})", int(-(-W // X.SHAPES["hex"]["pitch"])))
 G8 = BASE + f', back AS ({_BACK}) SELECT count(*) AS n, ' + ", ".join(f"round(avg(abs(i.{b} - k.{b})), 5) AS avg_{b}, round(max(abs(i.{b} - k.{b})), 5) AS max_{b}" for b in "rgb") + ' FROM img i JOIN back k USING ("row", col)'
 
-QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x5_raster_to_districts, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
+QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x0_stored_weights, x5_raster_to_districts, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
     "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
     "g5_tri_to_district": _district_query("9"), "g5_tri_to_district_small": _district_query("6"),
 }
 ORACLE_SQL = {
-    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": X0C, "p7_graticule": P7, "x5_raster_to_districts": X5, "g8_roundtrip_error": G8,
+    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "g8_roundtrip_error": G8,
     **{f"x0_weights_{s}": f"SELECT * FROM (SELECT sq, other, round(area, 6) AS area FROM ({_weights('SELECT p_partkey AS sq FROM part', s)}) WHERE area > 1e-12) WHERE area > 0" for s in ("hex", "tri")},
     "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
     "g5_tri_to_district": _district_sql("9"), "g5_tri_to_district_small": _district_sql("6"),
