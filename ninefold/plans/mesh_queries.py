@@ -215,6 +215,41 @@ def _m4() -> str:
     return f"SELECT vec_id, {', '.join(f'round(r{k}/sqrt(r0*r0+r1*r1+r2*r2), 6) AS {c}' for k, c in enumerate('xyz'))} FROM (SELECT *, {raw} FROM (SELECT *, {tan} FROM (SELECT vec_id, {share} FROM ({_TRI}))))"
 
 
+def m4_warp_distortion(spark, sf_dir):
+    """Stretch of the octahedral map by octant and level, over the vectors' triangles and their children."""
+    out = None
+    for level in (0, 1):
+        rows = _triangles(spark, sf_dir) if level == 0 else M.subdivide_triangles(_triangles(spark, sf_dir), level, ["vec_id"])
+        flat = lambda p: F.transform(p, lambda c: F.abs(c) / F.aggregate(p, F.lit(0.0), lambda x, y: x + F.abs(y)))
+        face = sum(((F.col("p0")[k] > 0).cast("int") * 2**k for k in range(3)), F.lit(0))
+        one = rows.select(face.alias("face"), F.lit(level).alias("level"), *[flat(F.col(f"p{k}")).alias(f"p{k}") for k in range(3)])
+        out = one if out is None else out.unionByName(one)
+    found = M.warp_distortion(out, ["face", "level"])
+    return found.select("face", "level", "n", *[F.round(c, 4).alias(c) for c in found.columns[3:]])
+
+
+def _m4_distortion() -> str:
+    a, e, o = (num(v) for v in M.WARP)
+    rows = f"SELECT 0 AS level, '' AS path, vec_id, p0, p1, p2 FROM ({_TRI}) UNION ALL SELECT 1, path, vec_id, p0, p1, p2 FROM ({_LEVEL1})"
+    flat = lambda p: f"list_transform({p}, lambda c: abs(c)/(abs({p}[1]) + abs({p}[2]) + abs({p}[3])))"
+    face = " + ".join(f"(p0[{k + 1}] > 0)::int*{2**k}" for k in range(3))
+    start = f"SELECT level, vec_id, path, {face} AS face, {', '.join(f'{flat(f"p{k}")} AS p{k}' for k in range(3))} FROM ({rows})"
+    tan = ", ".join(f"list_transform(p{k}, lambda c: tan((c + {o})*{num(math.pi / 2)})) AS t{k}" for k in range(3))
+    raw = lambda t: "[" + ", ".join(f"{t}[{i}]*pow({t}[{j}]*{t}[{j}] + {t}[{k}]*{t}[{k}] + {a}*{t}[{j}]*{t}[{j}]*{t}[{k}]*{t}[{k}], {e})" for i, j, k in ((1, 2, 3), (2, 3, 1), (3, 1, 2))) + "]"
+    unit = ", ".join(f"list_transform(r{k}, lambda c: c/sqrt(list_dot_product(r{k}, r{k}))) AS q{k}" for k in range(3))
+    warped = f"SELECT *, {unit} FROM (SELECT *, {', '.join(f'{raw(f"t{k}")} AS r{k}' for k in range(3))} FROM (SELECT *, {tan} FROM ({start})))"
+    edges = ", ".join(f"acos(greatest(-1.0::double, least(1.0::double, list_dot_product(q{i}, q{j}))))/nullif(list_distance(p{i}, p{j}), 0)" for i, j in ((0, 1), (1, 2), (2, 0)))
+    cross = lambda u, v: f"list_cross_product(({u})::double[3], ({v})::double[3])::double[]"
+    excess = f"2*atan2(abs(list_dot_product(q0, {cross('q1', 'q2')})), 1 + list_dot_product(q0, q1) + list_dot_product(q1, q2) + list_dot_product(q2, q0))"
+    minus = lambda u, v: "[" + ", ".join(f"{u}[{k}] - {v}[{k}]" for k in (1, 2, 3)) + "]"
+    normal = cross(minus("p1", "p0"), minus("p2", "p0"))
+    each = f"SELECT face, level, vec_id, path, [{edges}] AS edges, {excess}/nullif(sqrt(list_dot_product({normal}, {normal}))/2, 0) AS area FROM ({warped})".replace("list_cross_product", "array_cross_product")
+    long = f"SELECT face, level, unnest(edges) AS edge FROM ({each})"
+    by_edge = f"SELECT face, level, round(min(edge), 4) AS min_edge, round(max(edge), 4) AS max_edge, round(stddev_pop(edge), 4) AS dev_edge FROM ({long}) GROUP BY face, level"
+    by_area = f"SELECT face, level, count(*) AS n, round(min(area), 4) AS min_area, round(max(area), 4) AS max_area, round(stddev_pop(area), 4) AS dev_area FROM ({each}) GROUP BY face, level"
+    return f"SELECT * FROM ({by_area}) JOIN ({by_edge}) USING (face, level)"
+
+
 def m5_slerp_vs_chord(spark, sf_dir):
     edges = _triangles(spark, sf_dir).select(F.col("p0").alias("p"), F.col("p1").alias("q"))
     return M.slerp_vs_chord(edges).groupBy(F.round("t", 6).alias("t")).agg(F.count("*").alias("n"), F.round(F.max("gap"), 6).alias("max_gap"), F.round(F.avg("gap"), 6).alias("avg_gap"))
@@ -234,6 +269,9 @@ W4 = f"""SELECT i, s, h, round(misfit, 9) AS misfit FROM (SELECT arg_max(i, i) A
 (SELECT o_orderkey AS i, floor(o_orderkey*{_HX}/{_SQ})::bigint AS s, floor(o_orderkey*{_SQ}/{_HX})::bigint AS h FROM orders) WHERE h % 2 = 0) GROUP BY misfit) ORDER BY misfit, i LIMIT 30"""
 
 
+_A, _HT = 9.0, 9.0 * math.sqrt(3.0) / 2
+
+
 def _hexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey % 40 - 20 AS INT) AS hx", "CAST(o_orderkey div 40 - 200 AS INT) AS hy", "o_custkey AS value")
 
@@ -250,24 +288,34 @@ def m6_cover(spark, sf_dir):
     return _district_rows(M.cover(hexes, 1200.0, 900.0, 9.0))
 
 
+def m6_canvas_cover(spark, sf_dir):
+    """The districts on a canvas with room for a hex for each order."""
+    side = math.ceil(table(spark, sf_dir, "orders").count() ** 0.5)
+    width, height = M.size_for(side, side, _A)
+    return _district_rows(M.cover(M.canvas_hexes(spark, width, height, _A), width, height, _A))
+
+
 def m7_cover6(spark, sf_dir):
     tiles = _hexes(spark, sf_dir).select((F.col("hx") + 20).alias("hx"), (F.col("hy") + 200).alias("hy"))
     return _district_rows(M.cover6(tiles, 700.0, 3000.0, 9.0))
 
 
-def _cover_sql(hexes: str, polygons: list, ox: str, oy: str, sc: str, width: float, height: float, slack: float) -> str:
+def _cover_sql(hexes: str, polygons: list, ox: str, oy: str, sc: str, width: float | str, height: float | str, slack: float, keep: str = "") -> str:
     values = ", ".join("(" + ", ".join([str(d), *[num(v) for p in poly for v in p]]) + ")" for d, poly in enumerate(polygons))
     names = [f"{c}{k}" for k in range(4) for c in "xy"]
     moved = ", ".join(f"{sc}*o.{n} + {ox if n[0] == 'x' else oy} AS {n}" for n in names)
     xs, ys = ", ".join(n for n in names if n[0] == "x"), ", ".join(n for n in names if n[0] == "y")
-    return f"SELECT hx, hy, district::int AS district, {', '.join(f'round({n}, 4) + 0.0::double AS {n}' for n in names)} FROM (SELECT hx, hy, district, {moved} FROM ({hexes}) h, (VALUES {values}) o(district, {', '.join(names)})) WHERE least({xs}) >= {-slack} AND greatest({xs}) <= {width + slack} AND least({ys}) >= {-slack} AND greatest({ys}) <= {height + slack}"
+    return f"SELECT hx, hy, district::int AS district, {', '.join(f'round({n}, 4) + 0.0::double AS {n}' for n in names)} FROM (SELECT hx, hy, district, {keep}{moved} FROM ({hexes}) h, (VALUES {values}) o(district, {', '.join(names)})) WHERE least({xs}) >= {-slack} AND greatest({xs}) <= {width} + {slack} AND least({ys}) >= {-slack} AND greatest({ys}) <= {height} + {slack}"
 
 
-_A, _HT = 9.0, 9.0 * math.sqrt(3.0) / 2
 _NINE = M._polygons([(1.0, 0.0), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.0)], M.NINE_OFFSETS, _A)
 _SIX = M._polygons([(-1.0, 0.0), (1.0, 0.0), (0.5, 1.0), (-0.5, 1.0)], M.SIX_OFFSETS, _A)
 _SC = "pow(3.0::double, level)"
 M6 = _cover_sql(f"SELECT hx, hy, (value % 2)::int AS level FROM ({_HEX})", _NINE, f"(600.0::double + {_SC}*hx*{num(4.5 * _A)} + ({_SC}*3 - 3)*{num(_A / 2)})", f"(450.0::double + {_SC}*(hy*{num(6 * _HT)} - (((hx % 2) + 2) % 2)*{num(3 * _HT)}))", _SC, 1200.0, 900.0, 0.0)
+_CANVAS = f"SELECT s, ceil(s*4.5::double*{num(_A)}) AS wide, ceil(s*6*{num(_HT)}) AS high FROM (SELECT ceil(sqrt(count(*)))::int AS s FROM orders)"
+_LIMITS = f"SELECT wide, high, floor(wide/{num(4.5 * _A)})/2 AS cx, floor(high/{num(6 * _HT)})/2 AS cy FROM ({_CANVAS})"
+M6C = _cover_sql(f"SELECT x.k::int AS hx, y.k::int AS hy, wide, high FROM ({_LIMITS}), range(-9999, 9999) x(k), range(-9999, 9999) y(k) WHERE x.k >= floor(-cx) - 2 AND x.k < floor(cx) + 2 AND y.k >= floor(-cy) - 2 AND y.k < floor(cy) + 2",
+    _NINE, f"(wide/2 + hx*{num(4.5 * _A)})", f"(high/2 + hy*{num(6 * _HT)} - (((hx % 2) + 2) % 2)*{num(3 * _HT)})", "1.0::double", "wide", "high", 0.0, "wide, high, ")
 M7 = _cover_sql(f"SELECT hx + 20 AS hx, hy + 200 AS hy FROM ({_HEX})", _SIX, f"(hx*{num(3 * _A)} + {num(_A)})", f"(hy*{num(6 * _HT)})", "1.0::double", 700.0, 3000.0, 3.0)
 
 
@@ -280,12 +328,28 @@ M8 = f"""WITH c AS (SELECT hx, hy, value, hx AS q, -hy - ((hx - ((hx % 2) + 2) %
 SELECT c.hx, c.hy, count(n.value) AS neighbours, round(avg(n.value), 6) AS mean FROM c CROSS JOIN d LEFT JOIN c n ON n.q = c.q + dq AND n.r = c.r + dr GROUP BY c.hx, c.hy"""
 
 
+def m8_nested_axial(spark, sf_dir):
+    """How many districts of three levels share an axial position."""
+    rows = _hexes(spark, sf_dir).selectExpr("hx", "hy", "CAST(value % 3 AS INT) AS level", "CAST(value % 18 AS INT) AS district")
+    return M.nested_axial(rows).groupBy("level", "q", "r", "half").agg(F.count("*").alias("n"))
+
+
+M8N = f"""SELECT level, ((hx*3 + fq)*pow(3, level))::bigint AS q, (((-hy - (hx - ((hx % 2) + 2) % 2)//2)*3 + fr)*pow(3, level))::bigint AS r, half, count(*) AS n FROM (SELECT *, (value % 3)::int AS level FROM ({_HEX})),
+(VALUES {', '.join(f"({d}, {q}, {r}, '{'ab'[k - 1]}')" for d, (q, r, k) in enumerate(M.DISTRICT_AXIAL))}) f(district, fq, fr, half) WHERE value % 18 = district GROUP BY ALL"""
+
+
 def a6_grid_labels(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey % 19 - 9 AS INT) AS hx", "CAST((o_orderkey div 19) % 17 - 8 AS INT) AS hy", "CAST(o_custkey % 18 AS INT) AS district").distinct()
     return M.grid_labels(rows, 3)
 
 
-def _a6() -> str:
+def a6_labels_at_level(spark, sf_dir):
+    """The same districts taken as those of a coarser level."""
+    rows = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey % 19 - 9 AS INT) AS hx", "CAST((o_orderkey div 19) % 17 - 8 AS INT) AS hy", "CAST(o_custkey % 18 AS INT) AS district").distinct()
+    return M.grid_labels(rows, 3, level=1)
+
+
+def _a6(digits: int = 3) -> str:
     from ninefold.functions.rules import PARENT_HALF
 
     first = ", ".join(f"({d}, {q}, {r}, {ab})" for d, (q, r, ab) in enumerate(M.DISTRICT_AXIAL))
@@ -293,13 +357,13 @@ def _a6() -> str:
     half = ", ".join(f"({ab}, {n}, {od}, {1 if PARENT_HALF[n, od, h] == 'V' else 2})" for ab, h in ((1, "V"), (2, "Λ")) for n in range(3) for od in range(9))
     trunc = lambda e: f"trunc(({e})/3.0)::int"
     sql = f"WITH f(district, fq, fr, ab) AS (VALUES {first}), a(qi, ri, n) AS (VALUES {place}), t(ab, n3, od, up) AS (VALUES {half}), l0 AS (SELECT hx, hy, d.district, hx*3 + fq AS q, (-hy - ((hx - ((hx % 2) + 2) % 2)//2))*3 + fr AS r, ab, '' AS label, NULL::int AS od FROM (SELECT DISTINCT (o_orderkey % 19 - 9)::int AS hx, ((o_orderkey//19) % 17 - 8)::int AS hy, (o_custkey % 18)::int AS district FROM orders) d JOIN f USING (district))"
-    for k in range(3):
+    for k in range(digits):
         ab = "l.ab" if k == 0 else "t.up"
         join = "" if k == 0 else "JOIN t ON t.ab = l.ab AND t.n3 = a.n % 3 AND t.od = l.od"
         letter = f"|| CASE WHEN {ab} = 1 THEN 'a' ELSE 'b' END" if k == 0 else ""
         sql += f", l{k + 1} AS (SELECT hx, hy, l.district, {trunc('l.q - f.fq')} AS q, {trunc('l.r - f.fr')} AS r, {ab} AS ab, a.n::varchar || label {letter} AS label, a.n AS od FROM l{k} l JOIN a ON a.qi = l.q % 3 AND a.ri = l.r % 3 {join} JOIN f ON f.district//2 = a.n AND f.ab = {ab})"
-    return sql + " SELECT hx, hy, district, label FROM l3"
+    return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m5_slerp_vs_chord, w4_best_fit, m6_cover, m7_cover6, m8_hex_neighbours, a6_grid_labels)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m7_cover6": M7, "m8_hex_neighbours": M8, "a6_grid_labels": _a6()}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ninefold.operators import mesh as M
 from ninefold.operators import raster as X
 
 from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, shared_folder, table
@@ -204,16 +205,31 @@ t AS (SELECT y.k AS ty, dst, src, w, o.d, CASE WHEN {odd} THEN 0.5::double ELSE
 SELECT ty::int AS "row", dst::int AS col, {_sums(digits)} FROM t, size, img WHERE img.col = src AND img."row" = least(h - 1, ty + d) GROUP BY ALL"""
 
 
-def x5_raster_to_districts(spark, sf_dir):
-    """Square pixels to triangles to districts."""
+TRI_WIDE = math.ceil(W / X.SHAPES["tri"]["pitch"])
+TRI_HEXES = math.ceil(TRI_WIDE / 9)
+
+
+def _district_colours(spark, sf_dir, inverted=False):
+    """Square pixels to triangles to districts, and the rows of hexes."""
     image, height = _full(spark, sf_dir)
-    tri = X.square_to_shape(image, "tri", height, W)
-    wide = int(-(-W // X.SHAPES["tri"]["pitch"]))
-    hexes = image.select(F.expr("CAST(col div 9 AS INT)").alias("hx"), F.expr("CAST(row div 6 AS INT)").alias("hy")).distinct()
-    out = X.tri_to_district(tri, hexes, "9", height, wide)
+    rows = math.ceil(height / 6)
+    hexes = spark.range(TRI_HEXES * rows).selectExpr(f"CAST(id % {TRI_HEXES} AS INT) AS hx", f"CAST(id div {TRI_HEXES} AS INT) AS hy")
+    return X.tri_to_district(X.square_to_shape(image, "tri", height, W), hexes, "9", height, TRI_WIDE, inverted), rows
+
+
+def x5_raster_to_districts(spark, sf_dir):
+    out, _ = _district_colours(spark, sf_dir)
     return out.select("hx", "hy", "district", *[F.round(b, 5).alias(b) for b in X.BANDS])
 
 
+def x5_district_polygons(spark, sf_dir):
+    """The districts' colours on their polygons, as whole pixels."""
+    colours, rows = _district_colours(spark, sf_dir, inverted=True)
+    out = M.colour_polygons(colours, TRI_HEXES, rows, 9.0)
+    corners = [(F.round(F.col("polygon")[k][i], 4) + F.lit(0.0)).alias(f"{c}{k}") for k in range(4) for i, c in enumerate("xy")]
+    return out.select("hx", "hy", "district", *[F.round(b, 5).alias(b) for b in X.BANDS], *corners)
+
+
 def g8_roundtrip_error(spark, sf_dir):
     image, height = _full(spark, sf_dir)
     out = X.roundtrip_error(image, height, W)
@@ -235,10 +251,10 @@ def _offsets(layout: str) -> str:
     return ", ".join(f"({d}, {k}, {x}, {y})" for d, ps in enumerate(X.NINE if layout == "9" else X.SIX) for k, (x, y) in enumerate(ps))
 
 
-def _district_sql(layout: str, digits: int = 6, base: str = BASE, width: int = W) -> str:
+def _district_sql(layout: str, digits: int = 6, base: str = BASE, width: int = W, odd: str = "hx % 2") -> str:
     step = 9 if layout == "9" else 6
-    ty = "hy*6 + (hx % 2)*3 - 2" if layout == "9" else "hy*6"
-    return base + f""", hexes AS (SELECT DISTINCT (c.k//{step})::int AS hx, ("row"//6)::int AS hy FROM img, range(0, {W}) c(k)), o(district, k, dx, dy) AS (VALUES {_offsets(layout)})
+    ty = f"hy*6 + ({odd})*3 - 2" if layout == "9" else "hy*6"
+    return base + f""", hexes AS (SELECT DISTINCT (c.k//{step})::int AS hx, ("row"//6)::int AS hy FROM img, range(0, {width}) c(k)), o(district, k, dx, dy) AS (VALUES {_offsets(layout)})
 SELECT hx, hy, district::int AS district, round(sum(r)/3, {digits}) AS r, round(sum(g)/3, {digits}) AS g, round(sum(b)/3, {digits}) AS b FROM hexes, o, size, img
 WHERE img.col = greatest(0, least({width - 1}, hx*{step} + dx)) AND img."row" = greatest(0, least(h - 1, {ty} + dy)) GROUP BY ALL"""
 
@@ -273,16 +289,32 @@ l AS (SELECT *, CASE shape WHEN 'square' THEN least(1, greatest(0, x)) WHEN 'tri
 SELECT grp, shape, place, round(share, 6) AS share, round(share * 4.0::double * CASE shape WHEN 'square' THEN 1.0::double WHEN 'triangle' THEN {_R3}/4 ELSE 0.75::double*{_R3} END, 6) AS area FROM
 (SELECT grp, shape, row_number() OVER w::int AS place, a - coalesce(lag(a) OVER w, 0) AS share FROM l WINDOW w AS (PARTITION BY grp, shape ORDER BY x) UNION ALL SELECT grp, shape, (count(*) + 1)::int, 1 - max(a) FROM l GROUP BY grp, shape)"""
 
-X5 = _district_sql("9", 5, _HEIGHT + f"({_to_shape_sql('tri', 12)})", int(-(-W // X.SHAPES["tri"]["pitch"])))
+_TRI = _HEIGHT + f"({_to_shape_sql('tri', 12)})"
+X5 = _district_sql("9", 5, _TRI, TRI_WIDE)
+
+
+def _x5_polygons() -> str:
+    """Corners of a half-hexagon of unit 9, turned, moved and placed, from the figures of NINE_OFFSETS."""
+    a, h = num(9.0), num(9.0 * math.sqrt(3.0) / 2)
+    rows = ", ".join(f"({d}, {x}::double, {y}::double, {t})" for d, (x, y, t) in enumerate(M.NINE_OFFSETS))
+    c, s = "cos(radians(60.0::double*t))", "sin(radians(60.0::double*t))"
+    ox = f"ceil({TRI_HEXES}*4.5::double*{a})/2 + (hx - {TRI_HEXES // 4 * 2})*4.5::double*{a}"
+    oy = f"ceil(n*6*{h})/2 + ((hy - n//2)*6 - (hx % 2)*3)*{h}"
+    at = lambda x, y: (f"({x}*{a}*{c} - {y}*{h}*{s} + dx*{a} + {ox})", f"({x}*{a}*{s} + {y}*{h}*{c} + dy*{h} + {oy})")
+    corners = ", ".join(f"round({v}, 4) + 0.0::double AS {n}{k}" for k, (x, y) in enumerate(((1, 0), (0.5, 1), (-0.5, 1), (-1, 0))) for n, v in zip("xy", at(f"{x}::double", f"{y}::double"), strict=True))
+    colours = _district_sql("9", 5, _TRI, TRI_WIDE, "1 - hx % 2")
+    return f"SELECT hx, hy, district, r, g, b, {corners} FROM ({colours}), (SELECT (greatest(1, (count(*) + {W - 1}) // {W}) + 5) // 6 AS n FROM orders), (VALUES {rows}) o(d, dx, dy, t) WHERE d = district"
+
+
 _BACK = _to_square_sql("hex", 12, _HEIGHT + f"({_to_shape_sql('hex', 12)})", int(-(-W // X.SHAPES["hex"]["pitch"])))
 G8 = BASE + f', back AS ({_BACK}) SELECT count(*) AS n, ' + ", ".join(f"round(avg(abs(i.{b} - k.{b})), 5) AS avg_{b}, round(max(abs(i.{b} - k.{b})), 5) AS max_{b}" for b in "rgb") + ' FROM img i JOIN back k USING ("row", col)'
 
-QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x0_stored_weights, x5_raster_to_districts, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
+QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x0_stored_weights, x5_raster_to_districts, x5_district_polygons, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
     "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
     "g5_tri_to_district": _district_query("9"), "g5_tri_to_district_small": _district_query("6"),
 }
 ORACLE_SQL = {
-    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "g8_roundtrip_error": G8,
+    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "x5_district_polygons": _x5_polygons(), "g8_roundtrip_error": G8,
     **{f"x0_weights_{s}": f"SELECT * FROM (SELECT sq, other, round(area, 6) AS area FROM ({_weights('SELECT p_partkey AS sq FROM part', s)}) WHERE area > 1e-12) WHERE area > 0" for s in ("hex", "tri")},
     "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
     "g5_tri_to_district": _district_sql("9"), "g5_tri_to_district_small": _district_sql("6"),
