@@ -95,7 +95,7 @@ def p7_graticule(spark, sf_dir):
     return burnt.filter("r = 1 AND g = 2 AND b = 3").groupBy("row").agg(F.count("*").alias("n"))
 
 
-_LINES = ", ".join(f"(h - 1 - ceil({k * 30}.0::double/(180.0::double/(h-1)))::int % h)" for k in range(6))
+_LINES = ", ".join(f"h - 1 - (SELECT count(*) FROM range(0, h) a(k) WHERE -90.0::double + k*(180.0::double/(h-1)) < {num(-90 + 30 * k)}) % h" for k in range(6))
 _COLS = ", ".join(str(-(-(k * 30 * (W - 1)) // 360)) for k in range(12))
 P7 = BASE + f'SELECT "row", count(*) AS n FROM img, size WHERE "row" IN ({_LINES}) OR col IN ({_COLS}) OR (r = 1 AND g = 2 AND b = 3) GROUP BY ALL'
 
