@@ -311,6 +311,9 @@ class _Union:
     def add(self, row: _Row) -> None:
         self.of[row.size] = self.of.get(row.size, 0) | row.bits
 
+    def parts(self) -> list[bytes]:
+        return [bits.to_bytes(size // 8, "little") for size, bits in self.of.items()]
+
     def may_link(self, row: _Row, threshold: int) -> bool:
         """Whether the overlap of the set with the union can reach what any link of it needs."""
         for size, bits in self.of.items():
@@ -321,12 +324,35 @@ class _Union:
         return False
 
 
+def _unite(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, bits) in order of grp as one row for each group and size of bitmap."""
+    group, union, out = None, _Union(), []
+
+    def rows() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["grp", "bits"])
+        out.clear()
+        return batch
+
+    for batch in source:
+        for g, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != group:
+                out.extend((group, x) for x in union.parts())
+                group, union = g, _Union()
+            union.add(_Row(0, 0, b))
+        if len(out) > 1000:
+            yield rows()
+    out.extend((group, x) for x in union.parts())
+    if out:
+        yield rows()
+
+
 def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
     """(grp, id, asks): the members and asking sets of groups that must be opened.
 
-    Bitmaps of the sets meet by group, members first. A set that asks stays if the union of the members
-    leaves room for a link, and in groups of up to PAIRED_MEMBERS, which bounds memory, if some member
-    does; members stay if some other set of the group may link with them."""
+    The sets that ask a group are dealt into shares. In groups of up to PAIRED_MEMBERS all members are in
+    each share: a set that asks stays if the union of the members leaves room for a link and some member
+    does; members stay if some other set of a share may link with them. Members of larger groups all
+    stay; their union, found in parts and then from the parts, stands for them in each share."""
 
     def bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -334,7 +360,7 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_bits(x) for x in sets], pa.binary())], ["id", "n", "bits"])
 
     def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, kept, out, whole, union = None, [], set(), [], False, _Union()
+        group, members, kept, out, union = None, [], set(), [], _Union()
 
         def rows() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["grp", "id", "asks"])
@@ -342,20 +368,19 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
             return batch
 
         def close() -> None:
-            out.extend((group, m.id, False) for m in members if m.id in kept)
+            out.extend((group[0], m.id, False) for m in members if m.id in kept)
 
         for batch in source:
-            for g, asks, id_, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
+            for g, share, asks, id_, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, share) != group:
                     close()
-                    group, members, kept, whole, union = g, [], set(), False, _Union()
+                    group, members, kept, union = (g, share), [], set(), _Union()
                 row = _Row(id_, n, b)
                 if asks and not union.may_link(row, threshold):
                     continue
                 if not asks:
                     union.add(row)
-                if whole:
-                    out.append((g, id_, asks))
+                if id_ is None:  # a union, which stands for its members
                     continue
                 near = None
                 for m in members:
@@ -364,30 +389,45 @@ def _qualified(docs: DataFrame, groups: DataFrame, asked: DataFrame, id_col: str
                         near = m
                         kept.add(m.id)
                 if asks:
-                    if near is not None:
+                    if near is not None or not members:
                         out.append((g, id_, True))
                 else:
                     members.append(row)
                     if near is not None:
                         kept.add(id_)
-                    if len(members) > PAIRED_MEMBERS:
-                        out.extend((g, m.id, False) for m in members)
-                        members, whole = [], True
             if len(out) > 10_000:
                 yield rows()
         close()
         if out:
             yield rows()
 
-    shared = groups.groupBy("grp").agg(F.count("*").alias("members")).join(asked.select("grp").distinct().withColumn("called", F.lit(True)), "grp", "left").filter("members > 1 or called").select("grp")
-    seats = checkpointed(groups.select("id", "grp").join(shared, "grp").select("grp", "id", F.lit(False).alias("asks")).unionByName(asked.select("grp", "id", F.lit(True).alias("asks"))))
+    calls = asked.groupBy("grp").agg(F.count("*").alias("calls"))
+    plan = groups.groupBy("grp").agg(F.count("*").alias("members")).join(calls, "grp", "left").filter("members > 1 or calls > 0")
+    split = lambda n: F.ceil(F.col(n) / GROUP_ROWS).cast("int")
+    plan = checkpointed(plan.select("grp", (F.col("members") > PAIRED_MEMBERS).alias("large"), split("members").alias("parts"), F.greatest(split("calls"), F.lit(1)).alias("shares")))
+    member = groups.select("id", "grp").join(plan, "grp").select("grp", "id", "parts", "shares", "large", F.lit(False).alias("asks"))
+    caller = asked.select("id", "grp").join(plan, "grp").select("grp", "id", "parts", "shares", "large", F.lit(True).alias("asks"))
+    seats = checkpointed(member.unionByName(caller))
     wanted = seats.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     if (few := _bounded(wanted)) is not wanted:
         texts = texts.join(few, "id", "left_semi")
     mapped = texts.mapInArrow(bits, "id long, n long, bits binary").dropDuplicates(["id"])
-    placed = seats.join(mapped, "id").select("grp", "asks", "id", "n", "bits")
-    return placed.repartition("grp").sortWithinPartitions("grp", "asks", "id").mapInArrow(judge, "grp long, id long, asks boolean")
+    placed = seats.join(mapped, "id")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = F.sequence(F.lit(0), F.col("shares") - 1)
+    stay, large = None, not plan.filter("large").isEmpty()
+    placed = checkpointed(placed) if large else placed
+    met = placed.filter("asks or not large").select("grp", F.explode(F.when(F.col("asks"), F.array(deal("shares"))).otherwise(every)).alias("share"), "asks", "id", "n", "bits")
+    if large:
+        hot = placed.filter("large and not asks").select("grp", "bits", deal("parts").alias("part"))
+        some = hot.repartition("grp", "part").sortWithinPartitions("grp").select("grp", "bits").mapInArrow(_unite, "grp long, bits binary")
+        union = some.repartition("grp").sortWithinPartitions("grp").mapInArrow(_unite, "grp long, bits binary")
+        union = union.join(plan.select("grp", "shares"), "grp").select("grp", F.explode(every).alias("share"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), "bits")
+        met = met.unionByName(union)
+        stay = seats.filter("large and not asks").select("grp", "id", "asks")
+    judged = met.repartition("grp", "share").sortWithinPartitions("grp", "share", "asks", "id").mapInArrow(judge, "grp long, id long, asks boolean").distinct()
+    return judged if stay is None else judged.unionByName(stay)
 
 
 def _placed(seats: DataFrame) -> DataFrame:
