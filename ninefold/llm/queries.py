@@ -11,6 +11,7 @@ from .neighbours import op9_neighbours
 from .packing import op1_pack
 from .privacy import op10_surrogates
 from .quality import op5_quality
+from .resampling import op12_resample
 from .secrets import op7_secrets
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
     "op10_surrogates": op10_surrogates,
+    "op12_resample": op12_resample,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,4 +37,16 @@ links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q
 reach AS (SELECT doc_id, doc_id AS low FROM sizes UNION SELECT b, low FROM reach JOIN links ON a = reach.doc_id WHERE low < b)
 SELECT doc_id, n::bigint AS n_shingles, min(low) AS component_id FROM sizes JOIN reach USING (doc_id) GROUP BY ALL"""
 
-ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8}
+# CRC-32 of a word, bit by bit; each word of the tables once.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+_SPLIT = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP12 = f"""WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents), dw AS (SELECT doc_id, unnest(w) AS f FROM d), bw AS (SELECT unnest({_SPLIT}) AS f FROM benchmark),
+hashed AS (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dw UNION SELECT f FROM bw))),
+raw AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (f) GROUP BY ALL), target AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (f) GROUP BY ALL),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((SELECT count(*) FROM dw) + 10000)::double / ((s + 1)::double * ((SELECT count(*) FROM bw) + 10000)::double)))::bigint AS gain FROM raw LEFT JOIN target USING (bucket)),
+weights AS (SELECT doc_id, sum(gain)::bigint AS weight FROM dw JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY ALL),
+scored AS (SELECT d.doc_id, len(w)::bigint AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || d.doc_id), 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score FROM d LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT * FROM ranked WHERE rank <= (SELECT count(*) * 10 // 100 FROM ranked)) USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8, "op12_resample": OP12}
