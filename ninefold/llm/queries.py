@@ -11,6 +11,7 @@ from .neighbours import op9_neighbours
 from .packing import op1_pack
 from .privacy import op10_surrogates
 from .quality import op5_quality
+from .recompression import op13_recompression
 from .resampling import op12_resample
 from .secrets import op7_secrets
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_surrogates": op10_surrogates,
     "op12_resample": op12_resample,
+    "op13_recompression": op13_recompression,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,5 +50,12 @@ weights AS (SELECT doc_id, sum(gain)::bigint AS weight FROM dw JOIN hashed USING
 scored AS (SELECT d.doc_id, len(w)::bigint AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || d.doc_id), 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score FROM d LEFT JOIN weights USING (doc_id)),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT * FROM ranked WHERE rank <= (SELECT count(*) * 10 // 100 FROM ranked)) USING (doc_id)"""
+OP13 = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS low FROM win GROUP BY ALL) USING (h) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT doc_id, array_to_string(list(word ORDER BY i), ' ') AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY ALL) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8, "op12_resample": OP12}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8, "op12_resample": OP12, "op13_recompression": OP13}
