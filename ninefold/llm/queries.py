@@ -7,6 +7,7 @@ from .counts import op2_count_tokens
 from .crossentropy import op4_cross_entropy
 from .jaccard import op8_jaccard
 from .language import op6_language
+from .negatives import op11_hard_negatives
 from .neighbours import op9_neighbours
 from .packing import op1_pack
 from .privacy import op10_surrogates
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_neighbours": op9_neighbours,
     "op10_surrogates": op10_surrogates,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_resample": op12_resample,
     "op13_recompression": op13_recompression,
 }
@@ -57,5 +59,11 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
 kept AS (SELECT doc_id, array_to_string(list(word ORDER BY i), ' ') AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY ALL)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY ALL) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+OP11 = """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, list_dot_product(a.v, r.v)::bigint AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::int AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
-ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8, "op12_resample": OP12, "op13_recompression": OP13}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard": OP8, "op11_hard_negatives": OP11, "op12_resample": OP12, "op13_recompression": OP13}
