@@ -21,7 +21,8 @@ ROUNDS = 5
 #: Words that go through the rounds together, and bytes that are split at a time; longer texts in parts.
 PART_WORDS = 60_000
 PART_BYTES = 1 << 20
-#: Windows that are verified together; a symbol with more windows than half of them is summed up first.
+#: Windows that are verified together, about; a symbol with more than HOT_WINDOWS (some 50 MB in a task)
+#: never comes into one task but is summed up first.
 VERIFIED_WINDOWS = 200_000
 HOT_WINDOWS = 100_000
 
@@ -210,10 +211,14 @@ def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
                     out.append((symbols, np.full(len(symbols), keys[k]), np.full(len(symbols), docs[k]), first, many, window_names(word_names(text), at).view(np.int64)))
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                names = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[4])]).astype(np.int32)), pa.array(columns[5]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:4]), names], ["symbol", "key", "doc", "first", "names"])
+                begin = np.cumsum(columns[4]) - columns[4]
+                with np.errstate(over="ignore"):  # the names of a stretch, in order, under one name
+                    inside = (np.arange(len(columns[5])) - np.repeat(begin, columns[4])).astype(np.uint64)
+                    whole = np.add.reduceat(_mixed(columns[5].view(np.uint64) + inside * _STEP), begin) if len(begin) else np.zeros(0, np.uint64)
+                names = pa.ListArray.from_arrays(pa.array(np.append(begin, len(columns[5])).astype(np.int32)), pa.array(columns[5]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:4]), pa.array(whole.view(np.int64)), names], ["symbol", "key", "doc", "first", "whole", "names"])
 
-    return texts.join(wanted.hint("shuffle_hash"), "key").select("key", _order(), "text", "stretches").mapInArrow(name, "symbol long, key long, doc long, first int, names array<long>")
+    return texts.join(wanted.hint("shuffle_hash"), "key").select("key", _order(), "text", "stretches").mapInArrow(name, "symbol long, key long, doc long, first int, whole long, names array<long>")
 
 
 def _repeated(group: pa.Table) -> pa.Table:
@@ -276,8 +281,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words joined by one space. Rounds of naming runs and pairs give equal passages equal symbols inside
     (`rounds`); each window chooses one that its own words fix, so equal windows choose alike. Symbols
     that one key alone has are dropped; windows of the others are named from all their words and held
-    against each other, those of common symbols summed up first, the rest in bounded groups. Windows
-    are equal if their symbols and their 64-bit names are.
+    against each other: those of common symbols by sums over equal stretches, then over equal windows,
+    the rest in bounded groups. Windows are equal if their symbols and their 64-bit names are.
 
     Null texts have no words. Null keys come after all others and take nothing from each other. Rows
     that repeat, or have one key, take nothing from each other either. Texts with fewer words than a
@@ -295,11 +300,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = found.filter("not hot").agg(F.sum(F.aggregate("stretches", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1))).first()[0] or 0
     groups = 1 + total // VERIFIED_WINDOWS
     few = _windows(texts, found.filter("not hot").select("key", "stretches")).groupBy(F.pmod(F.xxhash64("symbol"), F.lit(groups)).alias("part")).applyInArrow(_repeated, "key long, begin int, end int")
-    names = _windows(texts, found.filter("hot").select("key", "stretches")).select("symbol", "key", "doc", "first", F.posexplode("names").alias("n", "name"))
+    # Symbols with many windows: stretches that agree as a whole are settled at once, by the first of
+    # them, and only that one's windows are held against those of other stretches.
+    hot = _windows(texts, found.filter("hot").select("key", "stretches"))
+    met = hot.join(hot.groupBy("symbol", "whole").agg(F.min("doc").alias("least")), ["symbol", "whole"])
+    copies = met.filter("doc > least").select("key", F.col("first").alias("begin"), (F.col("first") + F.size("names") + WINDOW - 1).alias("end"))
+    names = met.filter("doc = least").select("symbol", "key", "doc", "first", F.posexplode("names").alias("n", "name"))
     least = names.groupBy("symbol", "name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
     begin = F.col("first") + F.col("n")
     common = names.join(least, ["symbol", "name"]).filter("doc > least").select("key", begin.alias("begin"), (begin + WINDOW).alias("end"))
-    removed = few.unionByName(common).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    removed = few.unionByName(copies).unionByName(common).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     return _kept(texts, removed)
 
 
