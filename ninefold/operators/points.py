@@ -1,10 +1,10 @@
-"""Points on the sphere: rotation, nearest neighbours, fitted rotations."""
+"""Points on the sphere: rotation, fitted rotations."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ninefold.functions.columns import dot, latitude, longitude, unit_vector
@@ -28,40 +28,6 @@ def rotate_points(points: DataFrame, ax: float, ay: float, az: float, lat: str =
     return out.withColumns({lat: latitude(*now), lon: longitude(now[0], now[1]), "moved": moved}).drop("__x", "__y", "__z", "__u", "__v", "__w")
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str = "query_id", point_id: str = "point_id") -> DataFrame:
-    """The k points (x, y, z) nearest to each query (x, y, z) in chord distance: ids, rank, dist.
-
-    Both sides are bucketed by a lattice; a query meets its own bucket and the 26 around it. It is
-    answered if its k-th distance is within the bucket's edge; the rest go on with edges twice as
-    long, until the edge spans the sphere. Ties go to the smaller id."""
-    n = max(1, points.count())
-    edge = max(2.0 / 64, math.sqrt(4 * math.pi * 2 * k / n))
-    left = queries.select(query_id, "x", "y", "z")
-    out = None
-    while True:
-        cell = lambda c, e=edge: F.floor(F.col(c) / F.lit(e)).cast("int")
-        there = points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), cell("x").alias("bx"), cell("y").alias("by"), cell("z").alias("bz"))
-        steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        here = left.withColumns({"bx": cell("x"), "by": cell("y"), "bz": cell("z")})
-        for c in ("bx", "by", "bz"):
-            here = here.withColumn("__d", F.explode(steps)).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
-        d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-        met = here.join(there, ["bx", "by", "bz"]).select(query_id, point_id, d.alias("dist"))
-        place = Window.partitionBy(query_id).orderBy("dist", point_id)
-        best = met.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-        if edge >= 2.0:
-            return best if out is None else out.unionByName(best)
-        # checkpoint() where the session names a folder; small tables otherwise stay in the lineage.
-        ok = best.groupBy(query_id).agg(F.count("*").alias("__n"), F.max("dist").alias("__far")).filter((F.col("__n") == k) & (F.col("__far") <= edge)).select(query_id)
-        ok = ok.checkpoint() if ok.sparkSession.conf.get("spark.checkpoint.dir", None) else ok.persist()
-        done = best.join(ok, query_id, "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(ok, query_id, "left_anti")
-        if left.isEmpty():
-            return out
-        edge *= 2
-
-
 def fit_rotation(pairs: DataFrame) -> DataFrame:
     """The matrix that takes u to v in the least squares sense: m00..m22, determinant, rms of the residuals.
 

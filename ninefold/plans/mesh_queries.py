@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ninefold.functions.columns import unit_vector
 from ninefold.operators import mesh as M
 from ninefold.operators import points as P
+from ninefold.operators.spatial import nearest
 from ninefold.sources import points as S
 
 from .raster_queries import EXTENT, W, _full
@@ -64,16 +65,37 @@ _XYZ = "cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(
 P2 = f"SELECT c_nationkey, count(*) AS n, round(avg(degrees(acos(greatest(-1.0::double, least(1.0::double, x*({num(_M[0][0])}*x + {num(_M[0][1])}*y + {num(_M[0][2])}*z) + y*({num(_M[1][0])}*x + {num(_M[1][1])}*y + {num(_M[1][2])}*z) + z*({num(_M[2][0])}*x + {num(_M[2][1])}*y + {num(_M[2][2])}*z)))))), 6) AS moved FROM (SELECT c_nationkey, {_XYZ} FROM ({places_sql(extra=('c_nationkey',))})) GROUP BY ALL"
 
 
+def _on_sphere(df: DataFrame) -> DataFrame:
+    return df.select("*", *[c.alias(n) for n, c in zip("xyz", unit_vector(F.col("lat"), F.col("lon")), strict=True)])
+
+
 def j1_nearest(spark, sf_dir):
     """The nearest three customers to each supplier."""
-    on_sphere = lambda df: df.select("*", *[c.alias(n) for n, c in zip("xyz", unit_vector(F.col("lat"), F.col("lon")), strict=True)])
-    queries = on_sphere(places(spark, sf_dir, "supplier", "s_suppkey", ("s_suppkey AS query_id",)))
-    points = on_sphere(places(spark, sf_dir, extra=("c_custkey AS point_id",)))
-    return P.nearest(queries, points, 3).select("query_id", "rank", F.round("dist", 6).alias("dist"))
+    queries = _on_sphere(places(spark, sf_dir, "supplier", "s_suppkey", ("s_suppkey AS query_id",)))
+    points = _on_sphere(places(spark, sf_dir, extra=("c_custkey AS point_id",)))
+    return nearest(queries, points, 3).select("query_id", "rank", F.round("dist", 6).alias("dist"))
+
+
+def _nearest_sql(queries: str, points: str, k: int, digits: int, columns: str = "") -> str:
+    return f"""WITH q AS (SELECT query_id, {_XYZ} FROM ({queries})), p AS (SELECT point_id, {_XYZ} FROM ({points}))
+SELECT query_id, rank, {columns}round(d, {digits}) AS dist FROM (SELECT query_id, point_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id)::int AS rank FROM (SELECT query_id, point_id, sqrt(pow(q.x-p.x, 2) + pow(q.y-p.y, 2) + pow(q.z-p.z, 2)) AS d FROM q, p)) WHERE rank <= {k}"""
+
+
+J1 = _nearest_sql(places_sql("supplier", "s_suppkey", ("s_suppkey AS query_id",)), places_sql(extra=("c_custkey AS point_id",)), 3, 6)
+
+# Nine tenths of the customers, and of the suppliers, live in one city of some kilometres.
+_CITY = {k: tuple(f"CASE WHEN {k} % 10 = 0 THEN ((({k}*{m}) % {n})/100.0{{d}}-{h}) ELSE {c}{{d}} + (({k}*{m}) % {r})/50000.0{{d}} END AS {name}" for name, m, n, h, c, r in (("lat", 7919, 18001, 90, "48.85", 1009), ("lon", 104729, 36000, 180, "2.35", 1013))) for k in ("c_custkey", "s_suppkey")}
+
+
+def j1_nearest_city(spark, sf_dir):
+    """The nearest five customers to each supplier where most of both live in one city; some share a place."""
+    of = lambda name, key, alias: _on_sphere(table(spark, sf_dir, name).selectExpr(f"{key} AS {alias}", *[e.format(d="D") for e in _CITY[key]]))
+    found = nearest(of("supplier", "s_suppkey", "query_id"), of("customer", "c_custkey", "point_id"), 5)
+    return found.select("query_id", "rank", F.round("dist", 8).alias("dist"))
 
 
-J1 = f"""WITH q AS (SELECT query_id, {_XYZ} FROM ({places_sql("supplier", "s_suppkey", ("s_suppkey AS query_id",))})), p AS (SELECT point_id, {_XYZ} FROM ({places_sql(extra=("c_custkey AS point_id",))}))
-SELECT query_id, rank, round(d, 6) AS dist FROM (SELECT query_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id)::int AS rank FROM (SELECT query_id, point_id, sqrt(pow(q.x-p.x, 2) + pow(q.y-p.y, 2) + pow(q.z-p.z, 2)) AS d FROM q, p)) WHERE rank <= 3"""
+_of_sql = lambda name, key, alias: f"SELECT {key} AS {alias}, {', '.join(e.format(d='::double') for e in _CITY[key])} FROM {name}"
+J1C = _nearest_sql(_of_sql("supplier", "s_suppkey", "query_id"), _of_sql("customer", "c_custkey", "point_id"), 5, 8)
 
 
 def g7_fit_rotation(spark, sf_dir):
@@ -365,5 +387,5 @@ def _a6(digits: int = 3) -> str:
     return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
