@@ -24,7 +24,7 @@ PART_BYTES = 1 << 20
 #: Windows that are verified together, about; a symbol with more than HOT_WINDOWS (some 50 MB in a task)
 #: never comes into one task but is summed up first.
 VERIFIED_WINDOWS = 200_000
-HOT_WINDOWS = 100_000
+HOT_WINDOWS = 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _STEP, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
