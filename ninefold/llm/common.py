@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ninefold.functions.storage import checkpointed, shared_folder  # noqa: F401  for the operators
+
 #: Two white-space characters side by side (or a NUL): such texts cannot be cut at single spaces.
 _SIDE_BY_SIDE = re.compile(r"\s\s|\0")
 
@@ -27,15 +28,8 @@ def vocabulary(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only where none is named (tests), make one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Use the shared folder that the session names; only on one machine (tests) one is made."""
+    shared_folder(spark)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
