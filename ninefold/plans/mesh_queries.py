@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ninefold.functions.columns import unit_vector
+from ninefold.functions.columns import latitude, longitude, unit_vector
 from ninefold.operators import mesh as M
 from ninefold.operators import points as P
 from ninefold.operators.spatial import nearest
 from ninefold.sources import points as S
+from ninefold.sources.maps import Maps, read_maps
 
 from .raster_queries import EXTENT, W, _full
 from .sql import num, places, places_sql, shared_folder, table
@@ -193,18 +194,53 @@ _SPREAD = f"SELECT level, greatest(abs(a-b), abs(b-c), abs(c-a)) AS spread FROM
 J5M = f"SELECT level, spread <= 1e-6 AS equilateral, count(*) AS n, round(max(spread), 6) AS spread FROM ({_SPREAD}) s GROUP BY level, s.spread <= 1e-6"
 
 
-def s4_read_polyhedron(spark, sf_dir):
-    """Maps of 16 triangles each (a vertex list and faces by index), written as JSON and read again."""
+def _maps(spark: SparkSession, sf_dir: str) -> Maps:
+    """Maps of 16 triangles each (a vertex list and faces by index), written as JSON and read again.
+
+    By the map's number its vertices are x, y, z; degrees as numbers; degrees as pairs with a letter;
+    or the first with wrong degrees beside it. Every third map has a grid, every fifth a mapping."""
     path = _shared(spark)
-    corner = _triangles(spark, sf_dir).select(F.expr("CAST(vec_id div 16 AS STRING)").alias("id"), F.posexplode(F.array("p0", "p1", "p2")).alias("k", "xyz"), "vec_id")
-    body = corner.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "k", "xyz"))).alias("v"))
-    sides = F.transform(F.filter("v", lambda x: x["k"] == 0), lambda x, i: F.struct(x["vec_id"].cast("string").alias("name"), F.array(i * 3, i * 3 + 1, i * 3 + 2).alias("vx"), F.array(F.lit(1), F.lit(2)).alias("grid"), F.lit(True).alias("up")))
-    body.select("id", F.transform("v", lambda x: F.struct(x["xyz"].alias("xyz"))).alias("vertices"), sides.alias("sides")).write.json(path)
-    _, faces = S.read_polyhedron(spark, path, lines=True)
-    return faces.select("map", "name", "v0", *[F.round(F.col("p1")[k], 6).alias(c) for k, c in enumerate("xyz")])
+    corner = _triangles(spark, sf_dir).select(F.expr("vec_id div 16").alias("n"), F.posexplode(F.array("p0", "p1", "p2")).alias("k", "xyz"), "vec_id")
+    v = [F.col("xyz")[k] for k in range(3)]
+    corner = corner.withColumns({"lat": latitude(*v), "lon": longitude(v[0], v[1])})
+    body = corner.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("vec_id", "k", "xyz", "lat", "lon"))).alias("v"))
+    number = lambda x: F.format_string("%.15f", x)
+    pair = lambda x, plus, minus: F.concat(F.lit("["), number(F.abs(x)), F.when(x < 0, F.lit(f', "{minus}"]')).otherwise(F.lit(f', "{plus}"]')))
+    xyz = lambda x: F.concat(F.lit('"xyz": ['), F.array_join(F.transform(x["xyz"], number), ", "), F.lit("]"))
+    plain = lambda x: F.concat(F.lit('"ll": ['), number(x["lat"]), F.lit(", "), number(x["lon"]), F.lit("]"))
+    lettered = lambda x: F.concat(F.lit('"ll": ['), pair(x["lat"], "N", "S"), F.lit(", "), pair(x["lon"], "E", "W"), F.lit("]"))
+    form = F.col("n") % 4
+    vertex = lambda x: F.concat(F.lit('{"name": "v'), x["vec_id"].cast("string"), F.lit('", '), F.when(form == 0, xyz(x)).when(form == 1, plain(x)).when(form == 2, lettered(x)).otherwise(F.concat(xyz(x), F.lit(', "ll": [[1, "N"], [2, "E"]]'))), F.lit("}"))
+    face = lambda x, i: F.concat(F.lit('{"name": "'), x["vec_id"].cast("string"), F.lit('", "vx": ['), F.array_join(F.array(i * 3, i * 3 + 1, i * 3 + 2), ", "), F.lit('], "grid": [1, 2], "up": '), (x["vec_id"] % 2 == 0).cast("string"), F.lit("}"))
+    listed = lambda x: F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+    text = F.concat(
+        F.lit('{"id": "'), F.col("n").cast("string"), F.lit('", "vertices": '), listed(F.transform("v", vertex)),
+        F.lit(', "sides": '), listed(F.transform(F.filter("v", lambda x: x["k"] == 0), face)),
+        F.when(F.col("n") % 3 == 0, F.concat(F.lit(', "grid": [0, 0, '), F.col("n").cast("string"), F.lit(", 5]"))).otherwise(F.lit("")),
+        F.when(F.col("n") % 5 == 0, F.concat(F.lit(', "mapping": {"next": '), listed(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda k: ((k + 1) % F.size("v")).cast("string"))), F.lit("}"))).otherwise(F.lit("")), F.lit("}"),
+    )
+    body.select(text.alias("value")).write.text(path)
+    return read_maps(spark, path, lines=True)
+
+
+def s4_read_polyhedron(spark, sf_dir):
+    """Faces of the maps with their corners, whatever the form of the vertices."""
+    faces = _maps(spark, sf_dir).faces
+    return faces.select("map", "name", "up", "v0", *[F.round(F.col("p1")[k], 6).alias(c) for k, c in enumerate("xyz")])
+
+
+S4 = f"SELECT (vec_id // 16)::varchar AS map, vec_id::varchar AS name, vec_id % 2 = 0 AS up, ((row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1)*3)::int AS v0, round(p1[1], 6) AS x, round(p1[2], 6) AS y, round(p1[3], 6) AS z FROM ({_TRI})"
+
+
+def s4_map_grids(spark, sf_dir):
+    """Grids (given or default) and mappings of the maps."""
+    maps = _maps(spark, sf_dir)
+    mapped = maps.mappings.groupBy("map", "other").agg(F.count("*").alias("mapped"), F.sum(F.col("idx") * F.col("other_idx")).alias("checksum"))
+    return maps.grids.join(mapped, "map", "left").select("map", F.array_join(F.col("grid").cast("array<string>"), " ").alias("grid"), "other", "mapped", "checksum")
 
 
-S4 = f"SELECT (vec_id // 16)::varchar AS map, vec_id::varchar AS name, ((row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1)*3)::int AS v0, round(p1[1], 6) AS x, round(p1[2], 6) AS y, round(p1[3], 6) AS z FROM ({_TRI})"
+S4G = f"""SELECT map::varchar AS map, CASE WHEN map % 3 = 0 THEN '0 0 ' || map || ' 5' ELSE '0 0 11 4' END AS grid, CASE WHEN map % 5 = 0 THEN 'next' END AS other,
+CASE WHEN map % 5 = 0 THEN n END AS mapped, CASE WHEN map % 5 = 0 THEN list_sum(list_transform(range(0, n), lambda k: k * ((k + 1) % n)))::bigint END AS checksum FROM (SELECT vec_id // 16 AS map, 3 * count(*) AS n FROM ({_TRI}) GROUP BY ALL)"""
 
 
 def g4_colour_mesh(spark, sf_dir):
@@ -387,5 +423,5 @@ def _a6(digits: int = 3) -> str:
     return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}

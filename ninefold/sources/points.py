@@ -32,18 +32,3 @@ def grid_to_points(field: DataFrame, n_rows: int, n_cols: int, lat_first: float,
     lon = F.col("j") * F.lit(float(lon_step))
     lat = F.lit(float(lat_first)) + (F.lit(n_rows - 1) - F.col("i")) * F.lit(float(lat_step))
     return both.select("i", "j", lat.alias("lat"), (F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).alias("lon"), "value")
-
-
-def read_polyhedron(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vertices (map, idx, x, y, z) and faces (map, name, up, gx, gy, corners) of JSON map files.
-
-    A file is one map, or with `lines` one map a line; `map` is a map's id, null if it has none."""
-    schema = "id STRING, vertices ARRAY<STRUCT<xyz: ARRAY<DOUBLE>>>, sides ARRAY<STRUCT<name: STRING, vx: ARRAY<INT>, grid: ARRAY<INT>, up: BOOLEAN>>"
-    body = spark.read.schema(schema).json(path, multiLine=not lines).withColumnRenamed("id", "map")
-    vertices = body.select("map", F.posexplode("vertices").alias("idx", "v")).select("map", "idx", *[F.col("v.xyz")[k].alias(n) for k, n in enumerate("xyz")])
-    sides = body.select("map", F.explode("sides").alias("s")).select("map", "s.*")
-    faces = sides.select("map", "name", "up", F.col("grid")[0].alias("gx"), F.col("grid")[1].alias("gy"), *[F.col("vx")[k].alias(f"v{k}") for k in range(3)])
-    for k in range(3):
-        corner = vertices.select(F.col("map").alias(f"m{k}"), F.col("idx").alias(f"i{k}"), F.array("x", "y", "z").alias(f"p{k}"))
-        faces = faces.join(corner, F.col("map").eqNullSafe(F.col(f"m{k}")) & (F.col(f"v{k}") == F.col(f"i{k}"))).drop(f"m{k}", f"i{k}")
-    return vertices, faces.select("map", "name", "up", "gx", "gy", "v0", "v1", "v2", "p0", "p1", "p2")
