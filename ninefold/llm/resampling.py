@@ -104,8 +104,20 @@ def _head(texts: DataFrame, longest: int, buckets: int) -> Head:
             items = [(k if kind else (k,), n) for k, n in _trimmed(c, 2 * HEAD).items() if len(k if not kind else b"".join(k)) <= HEAD_BYTES]
             yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in items], pa.binary()), pa.array([x[0][-1] if kind else b"" for x in items], pa.binary()), pa.array([x[1] for x in items], pa.int64()), pa.array([kind] * len(items), pa.int32())], ["a", "b", "n", "kind"])
 
-    found = texts.mapInArrow(summarise, "a binary, b binary, n long, kind int").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    most = [found.filter(F.col("kind") == k).orderBy(F.desc("n"), "a", "b").limit(HEAD).collect() for k in range(kinds)]
+    found = checkpointed(texts.mapInArrow(summarise, "a binary, b binary, n long, kind int").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    # Numbers of entries by the size of their counts, in eighths of a doubling: from them the least size
+    # with which no more than HEAD entries of a kind reach the driver.
+    size = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    entries = found.groupBy("kind", size.alias("size")).count().collect()
+    most = []
+    for kind in range(kinds):
+        room, least = HEAD, 1 << 20
+        for r in sorted((r for r in entries if r["kind"] == kind), key=lambda r: -r["size"]):
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["size"]
+        most.append(found.filter((F.col("kind") == kind) & (size >= least)).collect())
     return Head([bytes(r["a"]) for r in most[0]], [(bytes(r["a"]), bytes(r["b"])) for r in most[1]] if kinds > 1 else [], buckets)
 
 
