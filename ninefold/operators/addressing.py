@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,21 +241,73 @@ def children(cells: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(table), ["__digit", "__half"]).withColumn("child_path", F.concat("path", F.col("child").cast("string"), "child_half")).drop("__digit", "__half")
 
 
+def _mirrored(digits: np.ndarray, half: np.ndarray, c2: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digits and last half of the cells beyond the long edges, and whether those lie in the triangle."""
+    third, up = R.H / 3, R.C2.index(c2) < 3
+    x, y = centres(digits, half, mate=True).T
+    side = 2 * third - np.abs(R.R3 * x)
+    inside = (y > -third) & (y <= side) if up else (y <= third) & (y > -side)
+    other, codes = walk(x, y, np.full(len(x), R.C2.index(c2)), digits.shape[1])
+    return other, codes[:, -1] // 3, inside
+
+
+def _names(digits: np.ndarray) -> list[str]:
+    return ["".join(map(str, d)) for d in digits.tolist()]
+
+
 def canonical_cells(cells: DataFrame, c2: str = "021") -> DataFrame:
     """Cells of one triangle with canonical, the address that names their hexagon.
 
     Of the two halves of a hexagon the V one names it. The other half is found by mirroring the
     centroid over the long edge and addressing that point. A Λ half whose mate lies outside the
     triangle keeps its own address."""
-    third, up = R.H / 3, R.C2.index(c2) < 3
 
     def named(digits: np.ndarray, half: np.ndarray, _) -> list:
-        x, y = centres(digits, half, mate=True).T
-        side = 2 * third - np.abs(R.R3 * x)
-        inside = (y > -third) & (y <= side) if up else (y <= third) & (y > -side)
-        other, codes = walk(x, y, np.full(len(x), R.C2.index(c2)), digits.shape[1])
+        other, last, inside = _mirrored(digits, half, c2)
         keeps = (half[:, -1] == 1) | ~inside
-        chosen, last = np.where(keeps[:, None], digits, other), np.where(keeps, half[:, -1], codes[:, -1] // 3)
-        return [["".join(map(str, d)) + R.HALF[h] for d, h in zip(chosen.tolist(), last.tolist(), strict=True)]]
+        chosen, last = np.where(keeps[:, None], digits, other), np.where(keeps, half[:, -1], last)
+        return [[d + R.HALF[h] for d, h in zip(_names(chosen), last.tolist(), strict=True)]]
 
     return _per_cell(cells, "canonical string", named)
+
+
+def mates(cells: DataFrame, c2: str = "021") -> DataFrame:
+    """Cells of one triangle with mate and mate_half, the other half of their hexagon; null where that
+    lies outside the triangle."""
+
+    def found(digits: np.ndarray, half: np.ndarray, _) -> list:
+        other, last, inside = _mirrored(digits, half, c2)
+        pick = lambda values: [v if ok else None for v, ok in zip(values, inside.tolist(), strict=True)]
+        return [pa.array(pick(_names(other)), pa.string()), pa.array(pick([R.HALF[h] for h in last.tolist()]), pa.string())]
+
+    return _per_cell(cells, "mate string, mate_half string", found)
+
+
+def hexagon_children(cells: DataFrame, c2: str = "021") -> DataFrame:
+    """The half-hexagons of one level below that make up each cell's hexagon, a row for each: hexagon
+    (its name), digits, half, canonical (the name of the child's own hexagon) and owned.
+
+    A hexagon has two halves, and each half has its own address, also where they lie under different
+    parents; children follow the half that they lie in. Six child hexagons lie inside. Those on the
+    edges (digits 6, 7 and 8) are shared with a neighbour and belong to the one that holds the half
+    which names them (owned). Cells of any levels may be mixed; a hexagon counts once."""
+    named = canonical_cells(cells.select("digits", "half").distinct(), c2).select(F.col("canonical").alias("hexagon")).distinct()
+    first = named.select("hexagon", F.expr("left(hexagon, length(hexagon) - 1)").alias("digits"), F.expr("right(hexagon, 1)").alias("half"))
+    other = mates(first, c2).filter("mate is not null").select("hexagon", F.col("mate").alias("digits"), F.col("mate_half").alias("half"))
+    return _owned(_half_children(first.unionByName(other)), lambda kids: canonical_cells(kids, c2))
+
+
+def _half_children(halves_: DataFrame) -> DataFrame:
+    """hexagon, digits and half of the half-hexagons below each half."""
+    pairs = [(p, h, f"{c}", ch) for (p, c, ch), h in R.PARENT_HALF.items()]
+    table = halves_.sparkSession.createDataFrame(pairs, "__digit int, __half string, child string, child_half string")  # fixed and small
+    # On the sphere a root's own digit is 0.
+    keyed = halves_.withColumn("__digit", F.coalesce(F.expr("try_cast(right(digits, 1) AS INT)"), F.lit(0))).withColumnRenamed("half", "__half")
+    return keyed.join(F.broadcast(table), ["__digit", "__half"]).select("hexagon", F.concat("digits", "child").alias("digits"), F.col("child_half").alias("half"))
+
+
+def _owned(kids: DataFrame, canonical) -> DataFrame:
+    """The children with their hexagons' names; owned where the half of that name is among them too."""
+    named = canonical(kids).select("hexagon", "digits", "half", "canonical")
+    own = F.max((F.concat("digits", "half") == F.col("canonical")).cast("int")).over(Window.partitionBy("hexagon", "canonical"))
+    return named.withColumn("owned", own == 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ninefold.functions import rules as R
+from ninefold.functions.storage import checkpointed
 
 from .addressing import assign_cells, cell_centroids
 
@@ -124,9 +125,39 @@ def quantisation_error(points: DataFrame, levels: list[int], x: str = "x", y: st
     return found.groupBy("level").agg(F.count("*").alias("n"), F.max(d).alias("max_error"), F.avg(d).alias("avg_error"), F.percentile_approx(d, percentile, 10_000).alias("percentile_error"))
 
 
-def write_cells(cells: DataFrame, path: str, level: int, root: bool = False) -> None:
-    """Parquet, in one folder for each ancestor at the level."""
-    cells.withColumn("ancestor", prefix(level, root=root)).write.mode("overwrite").partitionBy("ancestor").parquet(path)
+#: Rows of a file of the cell store, about.
+FILE_ROWS = 4_000_000
+
+
+def _clustered(cells: DataFrame, level: int, root: bool, rows: int | None) -> DataFrame:
+    """The cells with their ancestor, dealt by ranges of paths into parts of about FILE_ROWS and sorted.
+
+    A range holds whole ancestors but for the first and the last, so there are at most as many files as
+    ancestors and parts together, and each file covers a narrow range of paths."""
+    rows = cells.count() if rows is None else rows
+    order = ["ancestor", "path"]
+    return cells.withColumn("ancestor", prefix(level, root=root)).repartitionByRange(max(1, -(-rows // FILE_ROWS)), *order).sortWithinPartitions(*order)
+
+
+def write_cells(cells: DataFrame, path: str, level: int, root: bool = False, rows: int | None = None) -> None:
+    """Parquet in one folder for each ancestor at the level, sorted by path; replaces what is there.
+
+    `rows` is their number where it is known; else they are counted first."""
+    _clustered(cells, level, root, rows).write.mode("overwrite").partitionBy("ancestor").parquet(path)
+
+
+def upsert_cells(cells: DataFrame, path: str, level: int, keys: tuple[str, ...] = ("path",), root: bool = False) -> None:
+    """Rows that take the place of stored rows with the same keys (which include the path), or are added.
+
+    Only ancestors of the new rows are read and written again; other folders are not touched. The merged
+    rows are checkpointed before their folders are overwritten. New rows must be unique by their keys."""
+    spark = cells.sparkSession
+    touched = cells.select(prefix(level, root=root).alias("ancestor")).distinct()
+    stored = spark.read.parquet(path)
+    old = stored.withColumn("ancestor", F.col("ancestor").cast("string")).join(touched, "ancestor", "left_semi").drop("ancestor")
+    merged = checkpointed(old.join(cells.select(*keys), list(keys), "left_anti").unionByName(cells))
+    out = _clustered(merged, level, root, None)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ancestor").parquet(path)
 
 
 def read_cells(spark, path: str, ancestor: str, level: int, root: bool = False) -> DataFrame:

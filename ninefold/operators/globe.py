@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ninefold.functions import rules as R
 from ninefold.functions.columns import unit_vector
 
-from .addressing import _kernel, _per_cell, centres
+from .addressing import _half_children, _kernel, _owned, _per_cell, centres
 
 
 def octahedral(x: Column, y: Column, z: Column) -> list[Column]:
@@ -90,3 +90,12 @@ def global_canonical(cells: DataFrame, level: int) -> DataFrame:
     named = F.when(F.col("h0") == F.col("half"), F.least(own, other)).when(F.col("h0") == "V", own).otherwise(other)
     pairs = found.select(F.col("d0").alias("digits"), F.col("h0").alias("half"), named.alias("canonical"))
     return cells.join(pairs, ["digits", "half"])
+
+
+def global_hexagon_children(cells: DataFrame, level: int) -> DataFrame:
+    """hexagon_children for cells of one level on the sphere, where halves may lie in two octants or under
+    two roots; every hexagon has both."""
+    named = global_canonical(cells.select("digits", "half").distinct(), level).select(F.col("canonical").alias("hexagon")).distinct()
+    first = named.select("hexagon", F.expr("left(hexagon, length(hexagon) - 1)").alias("digits"), F.expr("right(hexagon, 1)").alias("half"))
+    other = assign_global(global_centroids(first, mate=True).drop("digits", "half"), level, "mx", "my", "mz").select("hexagon", "digits", "half")
+    return _owned(_half_children(first.unionByName(other)), lambda kids: global_canonical(kids, level + 1))

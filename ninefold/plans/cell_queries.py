@@ -110,6 +110,32 @@ def a7_children(spark, sf_dir):
 A7 = _walk(5) + "SELECT left(path, 8) AS path, 9::bigint AS children, count(DISTINCT path) AS occupied, count(*) AS n FROM cells WHERE lvl = 5 GROUP BY ALL"
 
 
+def a7_hexagon_children(spark, sf_dir):
+    """Of each occupied hexagon: half-hexagons below it, the hexagons that these belong to, those that it
+    owns, and the points in it."""
+    points = _cells(spark, sf_dir, 4, "lineitem").select("digits", "half", C.prefix(3).alias("above"))
+    held = points.groupBy("digits", "half").agg(F.count("*").alias("n"))
+    parents = points.select(F.expr("substring(digits, 1, 3)").alias("digits"), F.expr("right(above, 1)").alias("half"))
+    kids = A.hexagon_children(parents).join(held, ["digits", "half"], "left")
+    return kids.groupBy("hexagon").agg(F.count("*").alias("halves"), F.count_distinct("canonical").alias("hexagons"), F.count_distinct(F.when(F.col("owned"), F.col("canonical"))).alias("owned"), F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def _hexagons_sql(points: str, level: int, tag: str) -> str:
+    """Cells that points hit: path, own (digits and half) and hexagon, by mirroring their centre."""
+    mx, my = centre_sql(mate=True)
+    once = walk_sql(points, level, tag=tag) + f"SELECT digits AS d0, half AS h0, path AS p0, any_value({mx}) AS mx0, any_value({my}) AS my0 FROM cells{tag} WHERE lvl = {level} GROUP BY ALL"
+    mirrored = walk_sql(f"SELECT *, mx0 AS x, my0 AS y, '021' AS c2 FROM ({once})", level, ("d0", "h0", "p0", "mx0", "my0"), tag=f"{tag}m")
+    return f"({mirrored}SELECT p0 AS path, d0 || h0 AS own, CASE WHEN h0 = 'V' OR NOT {SCOPE.replace('y ', 'my0 ').replace('*x', '*mx0')} THEN d0 || h0 ELSE digits || half END AS hexagon FROM cells{tag}m WHERE lvl = {level})"
+
+
+# All cells of the triangle, from a lattice of points so fine that each cell holds some.
+_LATTICE = f"SELECT x, y, '021' AS c2 FROM (SELECT (i + 0.37::double)/300.0::double*{num(R.W)} - {num(R.W / 2)} AS x, (j + 0.41::double)/300.0::double*{num(R.H)} - {num(R.H / 3)} AS y FROM range(300) a(i), range(300) b(j)) WHERE {SCOPE}"
+A7H = f"""WITH pts AS ({planar_sql('lineitem')}), own3 AS {_hexagons_sql(_LATTICE, 3, 'a')}, own4 AS {_hexagons_sql(_LATTICE, 4, 'b')},
+held AS ({_walk(4)}SELECT path, count(*) AS n FROM cells WHERE lvl = 4 GROUP BY ALL), occupied AS (SELECT DISTINCT hexagon FROM held JOIN own3 ON own3.path = left(held.path, 6)),
+kids AS (SELECT p.hexagon, k.own, k.hexagon AS canonical, coalesce(n, 0) AS n FROM occupied JOIN own3 p USING (hexagon) JOIN own4 k ON left(k.path, 6) = p.path LEFT JOIN held ON held.path = k.path)
+SELECT hexagon, count(*) AS halves, count(DISTINCT canonical) AS hexagons, count(DISTINCT CASE WHEN own = canonical THEN canonical END) AS owned, sum(n)::bigint AS n FROM kids GROUP BY ALL"""
+
+
 def a8_density_per_area(spark, sf_dir):
     found = G.assign_global(directions(spark, sf_dir), 3)
     rolled = C.cell_rollup(found, [1, 2, 3], root=True)
@@ -207,6 +233,20 @@ def s9_cell_store(spark, sf_dir):
 S9 = P8
 
 
+def s9_cell_upsert(spark, sf_dir):
+    """Counts of line items by cell, of which those of the orders take the place where both are."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    counts = lambda name: _cells(spark, sf_dir, 5, name).groupBy("path").agg(F.count("*").alias("n"))
+    C.write_cells(counts("lineitem"), path, 2)
+    C.upsert_cells(counts("orders").filter(F.col("path").startswith("5Λ")), path, 2)
+    return spark.read.parquet(path).select("path", "n")
+
+
+S9U = _walk(5) + ", b AS (" + walk_sql(planar_sql("orders"), 5, tag="2") + """SELECT path, count(*) AS n FROM cells2 WHERE lvl = 5 AND starts_with(path, '5Λ') GROUP BY ALL), a AS (SELECT path, count(*) AS n FROM cells WHERE lvl = 5 GROUP BY ALL)
+SELECT coalesce(a.path, b.path) AS path, coalesce(b.n, a.n) AS n FROM a FULL JOIN b ON a.path = b.path"""
+
+
+
 def u1_overlay_levels(spark, sf_dir):
     return C.overlay_levels(_cells(spark, sf_dir, 4), [1, 2, 3, 4])
 
@@ -244,7 +284,7 @@ def a3_global_centroids(spark, sf_dir):
 
 def _axis(plus: str, minus: str) -> str:
     sign = f"CASE WHEN contains(root, '{plus}') THEN 1 WHEN contains(root, '{minus}') THEN -1 WHEN up = (length(translate(root, 'PEN', '')) % 2 = 0) THEN -1 ELSE 1 END"
-    return f"({sign}) * (CASE WHEN left(root, 1) IN ('{plus}', '{minus}') THEN (1 - c + ab)/2 WHEN right(root, 1) IN ('{plus}', '{minus}') THEN (1 - c - ab)/2 ELSE c END)"
+    return f"({sign}) * (CASE WHEN left(root, 1) IN ('{plus}', '{minus}') THEN (1 - abs(c) + ab)/2 WHEN right(root, 1) IN ('{plus}', '{minus}') THEN (1 - abs(c) - ab)/2 ELSE c END)"
 
 
 _FRAME = f"SELECT root || substring(digits, 2) AS digits, half, root, substring(path, 2, 1) = 'Λ' AS up, 2*{_CX}/{num(R.W)} AS ab, (CASE WHEN substring(path, 2, 1) = 'Λ' THEN 1 ELSE -1 END)*{_CY}/{num(R.H)} + 1.0::double/3 AS c FROM cells WHERE lvl = 5"
@@ -290,10 +330,37 @@ def j6_global(spark, sf_dir):
     return named.groupBy("canonical").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, u1_overlay_levels, u2_changed_cells)}
+def _global_hexagons_sql(points: str, level: int, keep: tuple[str, ...] = ("vec_id", "label")) -> str:
+    """Cells on the sphere that points hit: path, own and hexagon, by mirroring their centre in the frame
+    of their root; a mirror image beyond the octant's edge lies in the octant on the other side."""
+    mx, my = centre_sql(mate=True)
+    frame = global_sql(points, level, keep) + f"SELECT any_value(root) AS root, root || substring(digits, 2) AS d0, half AS h0, root || substring(path, 2) AS p0, any_value(substring(path, 2, 1) = 'Λ') AS up, any_value(2*{mx}/{num(R.W)}) AS ab, any_value((CASE WHEN substring(path, 2, 1) = 'Λ' THEN 1 ELSE -1 END)*{my}/{num(R.H)} + 1.0::double/3) AS c FROM cells WHERE lvl = {level} GROUP BY root, digits, half, path"
+    images = f"SELECT d0, h0, p0, {_axis('P', 'A')} AS x, {_axis('E', 'W')} AS y, {_axis('N', 'S')} AS z FROM ({frame})"
+    named = "CASE WHEN h0 = half THEN least(d0 || h0, digits || half) WHEN h0 = 'V' THEN d0 || h0 ELSE digits || half END"
+    return f"({global_sql(images, level, ('d0', 'h0', 'p0'))}SELECT p0 AS path, d0 || h0 AS own, {named} AS hexagon FROM globe WHERE lvl = {level})"
+
+
+J6G = f"WITH held AS ({global_sql(level=4)}SELECT digits || half AS own, count(*) AS n FROM globe WHERE lvl = 4 GROUP BY ALL) SELECT hexagon AS canonical, sum(n)::bigint AS n FROM held JOIN {_global_hexagons_sql(DIRECTIONS_SQL, 4)} USING (own) GROUP BY ALL"
+
+
+def a7_global_hexagon_children(spark, sf_dir):
+    """a7_hexagon_children on the sphere, where no hexagon lies on an edge."""
+    held = _globe(spark, sf_dir, 4).groupBy("digits", "half").agg(F.count("*").alias("n"))
+    kids = G.global_hexagon_children(_globe(spark, sf_dir, 3), 3).join(held, ["digits", "half"], "left")
+    return kids.groupBy("hexagon").agg(F.count("*").alias("halves"), F.count_distinct("canonical").alias("hexagons"), F.count_distinct(F.when(F.col("owned"), F.col("canonical"))).alias("owned"), F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+_SPHERE = "SELECT a*sx AS x, b*sy AS y, (1 - a - b)*sz AS z FROM (SELECT (i + 0.37::double)/260.0::double AS a, (j + 0.41::double)/260.0::double AS b FROM range(260) p(i), range(260) q(j)), (VALUES (1), (-1)) u(sx), (VALUES (1), (-1)) v(sy), (VALUES (1), (-1)) w(sz) WHERE a + b < 1"
+A7G = f"""WITH own3 AS {_global_hexagons_sql(_SPHERE, 3, ())}, own4 AS {_global_hexagons_sql(_SPHERE, 4, ())},
+held AS ({global_sql(level=4)}SELECT path, count(*) AS n FROM globe WHERE lvl = 4 GROUP BY ALL), occupied AS (SELECT DISTINCT hexagon FROM held JOIN own3 ON own3.path = left(held.path, 7)),
+kids AS (SELECT p.hexagon, k.own, k.hexagon AS canonical, coalesce(n, 0) AS n FROM occupied JOIN own3 p USING (hexagon) JOIN own4 k ON left(k.path, 7) = p.path LEFT JOIN held ON held.path = k.path)
+SELECT hexagon, count(*) AS halves, count(DISTINCT canonical) AS hexagons, count(DISTINCT CASE WHEN own = canonical THEN canonical END) AS owned, sum(n)::bigint AS n FROM kids GROUP BY ALL"""
+
+
+QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a7_hexagon_children, a7_global_hexagon_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, s9_cell_upsert, u1_overlay_levels, u2_changed_cells)}
 ORACLE_SQL = {
-    "a3_global_centroids": A3G, "a4_global_unravel": A4G, "w1_global": W1G, "g3_global": G3G, "g10_global": G10G,
+    "a3_global_centroids": A3G, "a4_global_unravel": A4G, "w1_global": W1G, "g3_global": G3G, "g10_global": G10G, "j6_global": J6G, "a7_global_hexagon_children": A7G,
     "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
-    "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
-    "g10_distinct_cells": G10, "w1_adaptive_level": W1, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "u1_overlay_levels": U1, "u2_changed_cells": U2,
+    "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a7_hexagon_children": A7H, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
+    "g10_distinct_cells": G10, "w1_adaptive_level": W1, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "s9_cell_upsert": S9U, "u1_overlay_levels": U1, "u2_changed_cells": U2,
 }
