@@ -12,10 +12,11 @@ from ninefold.functions.columns import latitude, longitude, unit_vector
 from ninefold.operators import mesh as M
 from ninefold.operators import points as P
 from ninefold.operators.spatial import nearest
+from ninefold.operators.tiles import colour_mesh_tiles
 from ninefold.sources import points as S
 from ninefold.sources.maps import Maps, read_maps
 
-from .raster_queries import EXTENT, W, _full
+from .raster_queries import _C, _H, BASE, EXTENT, TILE_SIDE, W, _full, tiled
 from .sql import num, places, places_sql, shared_folder, table
 
 
@@ -248,6 +249,25 @@ def g4_colour_mesh(spark, sf_dir):
     return M.colour_mesh(M.subdivide(_faces(spark, sf_dir), 3.0, 1), image, EXTENT, height, W)
 
 
+def g4_colour_tiles(spark, sf_dir):
+    """The same colours, read from the raster's tiles."""
+    tiles, height = tiled(spark, sf_dir)
+    return colour_mesh_tiles(M.subdivide(_faces(spark, sf_dir), 3.0, 1), tiles, EXTENT, height, W, side=TILE_SIDE)
+
+
+# A face's nine triangles by the half-hexagon that they belong to: of each half-hexagon's long edge and
+# short ones, the middle of the long edge is a corner of all three.
+def _half_of(n: int, up: bool) -> int:
+    corners = set(M.CHILD_TRIANGLES[n])
+    return next(k for k, (at, _) in enumerate(M.HALF_HEXES[up]) if corners <= set(at))
+
+
+_KIND = "CASE path " + " ".join(f"WHEN '{n}' THEN CASE WHEN vec_id % 2 = 0 THEN '{_half_of(n, True)}' ELSE '{_half_of(n, False)}' END" for n in range(9)) + " END"
+_MIDDLE = ", ".join(f"(p0[{k}] + p1[{k}] + p2[{k}])/3 AS {c}" for k, c in ((1, "x"), (2, "y"), (3, "z")))
+_AT = f"SELECT name, path, (h - 1 - ({_H})::int % h)::int AS \"row\", (({_C})::int % {W})::int AS col FROM (SELECT vec_id::varchar AS name, {_KIND} AS path, degrees(atan2(z, sqrt(x*x + y*y))) AS lat, degrees(atan2(y, x)) AS lon FROM (SELECT vec_id, path, {_MIDDLE} FROM ({_LEVEL1}))), size"
+G4 = BASE + f'SELECT name, path, ' + ", ".join(f"trunc(sum({b})/3.0::double)::int AS {b}" for b in "rgb") + f' FROM ({_AT}) JOIN img USING ("row", col) GROUP BY ALL'
+
+
 def w3_polygon_edges(spark, sf_dir):
     rows = _triangles(spark, sf_dir).select(F.col("vec_id").alias("polygon"), F.posexplode(F.array("p0", "p1", "p2")).alias("place", "p"))
     out = M.polygon_edges(rows.select("polygon", "place", *[F.col("p")[k].alias(c) for k, c in enumerate("xyz")]))
@@ -423,5 +443,5 @@ def _a6(digits: int = 3) -> str:
     return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, g4_colour_tiles, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "g4_colour_mesh": G4, "g4_colour_tiles": G4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ninefold.operators import mesh as M
 from ninefold.operators import raster as X
+from ninefold.operators import tiles as T
 
 from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, shared_folder, table
 
@@ -120,6 +121,31 @@ J3 = BASE + f"""SELECT s_suppkey, wrow, wcol, r, g, b FROM (SELECT s_suppkey, wr
   (SELECT s_suppkey, (k//4)::int AS wrow, (k%4)::int AS wcol, lat + 7.3::double - (k//4)*(2*7.3::double/3) AS lat, lon - 7.3::double + (k%4)*(2*7.3::double/3) AS lon FROM ({places_sql("supplier", "s_suppkey", ("s_suppkey",))}), range(0, 16) g(k)), size) p JOIN img USING ("row", col)"""
 
 
+# -- the same from tiles -------------------------------------------------------------------------------
+
+TILE_SIDE = 32
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The raster written as tiles and read again, and its height."""
+    image, height = _full(spark, sf_dir)
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    T.write_tiles(image, path, TILE_SIDE)
+    return T.read_tiles(spark, path), height
+
+
+def j2_sample_tiles(spark, sf_dir):
+    tiles, height = tiled(spark, sf_dir)
+    points = places(spark, sf_dir, extra=("c_custkey",))
+    return T.sample_tiles(points, tiles, EXTENT, height, W, side=TILE_SIDE).select("c_custkey", "r", "g", "b")
+
+
+def j3_resample_tiles(spark, sf_dir):
+    tiles, height = tiled(spark, sf_dir)
+    centres = places(spark, sf_dir, "supplier", "s_suppkey", ("s_suppkey",))
+    return T.resample_tiles(centres, tiles, 7.3, 4, EXTENT, height, W, side=TILE_SIDE).select("s_suppkey", "wrow", "wcol", "r", "g", "b")
+
+
 def _profile(t: str, shape: str) -> str:
     s = X.SHAPES[shape]
     rise, span = num(s["rise"]), num(s["span"])
@@ -309,12 +335,12 @@ def _x5_polygons() -> str:
 _BACK = _to_square_sql("hex", 12, _HEIGHT + f"({_to_shape_sql('hex', 12)})", int(-(-W // X.SHAPES["hex"]["pitch"])))
 G8 = BASE + f', back AS ({_BACK}) SELECT count(*) AS n, ' + ", ".join(f"round(avg(abs(i.{b} - k.{b})), 5) AS avg_{b}, round(max(abs(i.{b} - k.{b})), 5) AS max_{b}" for b in "rgb") + ' FROM img i JOIN back k USING ("row", col)'
 
-QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, x0_check_weights, x0_stored_weights, x5_raster_to_districts, x5_district_polygons, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
+QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, j2_sample_tiles, j3_resample_tiles, x0_check_weights, x0_stored_weights, x5_raster_to_districts, x5_district_polygons, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
     "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
     "g5_tri_to_district": _district_query("9"), "g5_tri_to_district_small": _district_query("6"),
 }
 ORACLE_SQL = {
-    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "x5_district_polygons": _x5_polygons(), "g8_roundtrip_error": G8,
+    "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "j2_sample_tiles": J2, "j3_resample_tiles": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "x5_district_polygons": _x5_polygons(), "g8_roundtrip_error": G8,
     **{f"x0_weights_{s}": f"SELECT * FROM (SELECT sq, other, round(area, 6) AS area FROM ({_weights('SELECT p_partkey AS sq FROM part', s)}) WHERE area > 1e-12) WHERE area > 0" for s in ("hex", "tri")},
     "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
     "g5_tri_to_district": _district_sql("9"), "g5_tri_to_district_small": _district_sql("6"),
