@@ -60,18 +60,46 @@ def distinct_cells(cells: DataFrame, levels: list[int], approximate: bool = Fals
     return each.distinct().groupBy("level").agg(F.count("*").alias("cells"))
 
 
-def adaptive_level(cells: DataFrame, key: str, max_level: int, root: bool = False) -> DataFrame:
-    """The first level at which each point is alone in its cell (null if never).
+def adaptive_level(cells: DataFrame, key: str, max_level: int, root: bool = False, min_level: int = 1) -> DataFrame:
+    """The first level, from min_level on, at which each point is alone in its cell (null if never).
 
     Cells are counted level by level from the finest counts, so one shuffle of points is followed by
     shuffles of cells only."""
     finest = cells.groupBy(prefix(max_level, root=root).alias("path")).agg(F.count("*").alias("n"), F.min(key).alias(key))
-    counted = finest.select(F.explode(F.sequence(F.lit(1), F.lit(max_level))).alias("level"), "path", "n", key)
+    counted = finest.select(F.explode(F.sequence(F.lit(min_level), F.lit(max_level))).alias("level"), "path", "n", key)
     per_cell = counted.groupBy("level", F.expr(f"substring(path, 1, 2 * level + {int(root)})").alias("cell")).agg(F.sum("n").alias("n"), F.min(key).alias(key))
     alone = per_cell.filter("n = 1").groupBy(key).agg(F.min("level").alias("level"))
     return cells.select(key).join(alone, key, "left")
 
 
+def refined_level(points: DataFrame, key: str, address, step: int = 6, max_level: int = R.MAX_LEVEL, root: bool = False) -> DataFrame:
+    """adaptive_level without a level to guess: key and level, null where points never part.
+
+    address(points, level) gives points their path. All points are addressed to the first `step` levels;
+    those that still share a cell then, and no others, are addressed `step` levels deeper, and so on to
+    max_level. A point that is alone shares no deeper cell either, so those that are left suffice.
+    Points in one place with others can never part: one of each place goes on, and its own answer counts
+    only if it stands there alone. Rounds are checkpointed. Keys must be unique; points without an
+    address have a null level."""
+    kept = checkpointed(points)
+    columns = [c for c in kept.columns if c != key]
+    places = kept.groupBy(*columns).agg(F.count("*").alias("__n"), F.min(key).alias(key))
+    # Two points stand for a place that holds several, so that they stay together to the last level.
+    left = checkpointed(places.filter("__n > 1").withColumn("__alone", F.lit(False)).unionByName(places.filter("__n = 1").withColumn("__alone", F.lit(True))).drop("__n"))
+    out = None
+    for last in range(step, max_level + step, step):
+        level = min(last, max_level)
+        found = address(left, level).filter("path IS NOT NULL")
+        twice = found.unionByName(found.filter("NOT __alone"))
+        first = adaptive_level(twice, key, level, root, level - (step if last <= max_level else max_level - (last - step)) + 1).filter("level IS NOT NULL")
+        parted = checkpointed(first)
+        out = parted if out is None else out.unionByName(parted)
+        left = checkpointed(left.join(parted.select(key), key, "left_anti"))
+        if left.filter("__alone").isEmpty():
+            break
+    return kept.select(key).join(out, key, "left")
+
+
 def top_cells(density: DataFrame, k: int, by: str, cell: str) -> DataFrame:
     """The k densest cells of each group, ties in order of the cell."""
     w = Window.partitionBy(by).orderBy(F.desc("n"), cell)

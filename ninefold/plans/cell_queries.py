@@ -11,6 +11,7 @@ from ninefold.functions import rules as R
 from ninefold.operators import addressing as A
 from ninefold.operators import cells as C
 from ninefold.operators import globe as G
+from ninefold.operators import sketches as K
 
 from .sql import DIRECTIONS_SQL, centre_sql, directions, shared_folder, global_sql, num, places, places_sql, planar, planar_sql, walk_sql
 
@@ -177,7 +178,14 @@ G10 = _walk(6) + "SELECT lvl AS level, count(DISTINCT path) AS cells FROM cells
 
 
 def g10_distinct_cells_approx(spark, sf_dir):
-    return C.distinct_cells(_cells(spark, sf_dir, 6), [2, 4, 6], approximate=True)
+    """Exact numbers of cells, and whether the approximate ones are within three standard errors (15 %)."""
+    cells = _cells(spark, sf_dir, 6)
+    rough = C.distinct_cells(cells, [2, 4, 6], approximate=True).withColumnRenamed("cells", "rough")
+    both = C.distinct_cells(cells, [2, 4, 6]).join(rough, "level")
+    return both.select("level", "cells", (F.abs(F.col("rough") - F.col("cells")) <= 0.15 * F.col("cells")).alias("within_bounds"))
+
+
+G10A = _walk(6) + "SELECT lvl AS level, count(DISTINCT path) AS cells, true AS within_bounds FROM cells WHERE lvl IN (2, 4, 6) GROUP BY ALL"
 
 
 def w1_adaptive_level(spark, sf_dir):
@@ -188,6 +196,54 @@ W1 = _walk(9, "orders", ("o_orderkey",)) + """, counted AS (SELECT lvl, path, co
 SELECT o.o_orderkey, level FROM orders o LEFT JOIN (SELECT o_orderkey, min(lvl) AS level FROM counted WHERE n = 1 GROUP BY ALL) USING (o_orderkey)"""
 
 
+SKETCHED = [1, 2, 3, 4]
+
+
+def g10_sketched_cells(spark, sf_dir):
+    """Customers and prices of the orders by cell of four levels, from one pass: exact numbers, and whether
+    the merged sketches keep to their bounds (five and three standard errors)."""
+    cells = _cells(spark, sf_dir, 4, "orders", ("o_custkey", "o_totalprice")).select("path", "o_custkey", "o_totalprice")
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    K.sketch_cells(cells, 4, "o_custkey", "o_totalprice").write.parquet(path)
+    found = K.estimates(K.merge_up(spark.read.parquet(path), 4, SKETCHED), [0.25, 0.5, 0.9])
+    each = cells.select(F.explode(F.array(*map(F.lit, SKETCHED))).alias("level"), "path", "o_custkey", "o_totalprice").withColumn("cell", F.expr("substring(path, 1, 2 * level)"))
+    exact = each.join(found, ["level", "cell"])
+    below = [F.avg((F.col("o_totalprice") <= F.col("quantiles")[k]).cast("double")) for k in range(3)]
+    rows = exact.groupBy("level", "cell").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.first("n").alias("n_"), F.first("distinct").alias("distinct"), F.greatest(*[F.abs(b - q) for b, q in zip(below, (0.25, 0.5, 0.9), strict=True)]).alias("off"))
+    close = (F.col("n") == F.col("n_")) & (F.abs(F.col("distinct") - F.col("customers")) <= 0.08 * F.col("customers")) & (F.col("off") <= 0.04 + 1 / F.col("n"))
+    return rows.select("level", "cell", "n", "customers", close.alias("within_bounds"))
+
+
+G10K = _walk(4, "orders", ("o_custkey",)) + "SELECT lvl AS level, path AS cell, count(*) AS n, count(DISTINCT o_custkey) AS customers, true AS within_bounds FROM cells GROUP BY ALL"
+
+
+# Each order's point and a neighbour of it, at a distance of which four sizes occur, down to 1e-12; some
+# neighbours stand in the same place.
+_NEAR = "CASE o_orderkey % 5 WHEN 0 THEN 0.001{d} WHEN 1 THEN 1e-6{d} WHEN 2 THEN 1e-9{d} WHEN 3 THEN 1e-12{d} ELSE 0.0{d} END"
+
+
+def w1_refined_level(spark, sf_dir):
+    """The level at which each point and planted neighbour is alone, down to level 30."""
+    own = planar(spark, sf_dir, "orders", ("o_orderkey",))
+    near = own.selectExpr("2*o_orderkey + 1 AS id", f"x + {_NEAR.format(d='D')} AS x", "y", "c2")
+    points = own.selectExpr("2*o_orderkey AS id", "x", "y", "c2").unionByName(near)
+    return C.refined_level(points, "id", A.assign_cells)
+
+
+_PLANTED = planar_sql("orders", ("o_orderkey",))
+W1R = walk_sql(f"SELECT 2*o_orderkey AS id, x, y, c2 FROM ({_PLANTED}) UNION ALL SELECT 2*o_orderkey + 1, x + {_NEAR.format(d='::double')}, y, c2 FROM ({_PLANTED})", 30, ("id",)) + """, counted AS (SELECT lvl, path, count(*) AS n, min(id) AS id FROM cells GROUP BY ALL)
+SELECT p.id, level FROM (SELECT 2*o_orderkey AS id FROM orders UNION ALL SELECT 2*o_orderkey + 1 FROM orders) p LEFT JOIN (SELECT id, min(lvl) AS level FROM counted WHERE n = 1 GROUP BY ALL) USING (id)"""
+
+
+def w1_global_refined(spark, sf_dir):
+    """Levels at which directions are alone on the sphere, in steps of five."""
+    return C.refined_level(directions(spark, sf_dir).select("vec_id", "x", "y", "z"), "vec_id", G.assign_global, 5, 12, root=True)
+
+
+W1GR = global_sql(level=12) + f""", counted AS (SELECT lvl, path, count(*) AS n, min(vec_id) AS vec_id FROM globe GROUP BY ALL)
+SELECT d.vec_id, level FROM ({DIRECTIONS_SQL}) d LEFT JOIN (SELECT vec_id, min(lvl) AS level FROM counted WHERE n = 1 GROUP BY ALL) USING (vec_id)"""
+
+
 def w5_top_cells(spark, sf_dir):
     density = C.cell_density(G.assign_global(directions(spark, sf_dir), 3), ["root", "path"])
     return C.top_cells(density, 3, "root", "path")
@@ -357,10 +413,10 @@ kids AS (SELECT p.hexagon, k.own, k.hexagon AS canonical, coalesce(n, 0) AS n FR
 SELECT hexagon, count(*) AS halves, count(DISTINCT canonical) AS hexagons, count(DISTINCT CASE WHEN own = canonical THEN canonical END) AS owned, sum(n)::bigint AS n FROM kids GROUP BY ALL"""
 
 
-QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a7_hexagon_children, a7_global_hexagon_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, w1_adaptive_level, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, s9_cell_upsert, u1_overlay_levels, u2_changed_cells)}
+QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a7_hexagon_children, a7_global_hexagon_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, g10_sketched_cells, w1_adaptive_level, w1_refined_level, w1_global_refined, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, s9_cell_upsert, u1_overlay_levels, u2_changed_cells)}
 ORACLE_SQL = {
     "a3_global_centroids": A3G, "a4_global_unravel": A4G, "w1_global": W1G, "g3_global": G3G, "g10_global": G10G, "j6_global": J6G, "a7_global_hexagon_children": A7G,
     "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
     "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a7_hexagon_children": A7H, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
-    "g10_distinct_cells": G10, "w1_adaptive_level": W1, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "s9_cell_upsert": S9U, "u1_overlay_levels": U1, "u2_changed_cells": U2,
+    "g10_distinct_cells": G10, "g10_sketched_cells": G10K, "g10_distinct_cells_approx": G10A, "w1_adaptive_level": W1, "w1_refined_level": W1R, "w1_global_refined": W1GR, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "s9_cell_upsert": S9U, "u1_overlay_levels": U1, "u2_changed_cells": U2,
 }
