@@ -165,8 +165,8 @@ def profile_area(t: Column, shape: str) -> Column:
     return F.when(t <= 0, F.lit(0.0)).when(t <= rise, t * t / (2 * rise)).when(t <= span - rise, rise / 2 + (t - rise)).when(t < span, total - (span - t) * (span - t) / (2 * rise)).otherwise(F.lit(total))
 
 
-def overlap_weights(columns: DataFrame, shape: str) -> DataFrame:
-    """For square columns (sq): the shape columns that they overlap and the area, sq, other, area.
+def overlap_weights(columns: DataFrame, shape: str, least: int = 0) -> DataFrame:
+    """For square columns (sq): the shape columns, from `least` on, that they overlap and the area, sq, other, area.
 
     Neighbouring profiles add up to 1, so the areas of a square add up to 1 and those of a shape to
     its pitch. A range join of intervals, done as an explode of the few possible columns."""
@@ -175,7 +175,7 @@ def overlap_weights(columns: DataFrame, shape: str) -> DataFrame:
     first = F.floor(left / s["pitch"]).cast("int")
     near = columns.select("sq", F.explode(F.sequence(first - 2, first + 2)).alias("other"))
     area = lambda edge: profile_area(edge - F.col("other") * F.lit(s["pitch"]), shape)
-    return near.withColumn("area", area(left + 1.0) - area(left)).filter("other >= 0 AND area > 1e-12")
+    return near.withColumn("area", area(left + 1.0) - area(left)).filter((F.col("other") >= least) & (F.col("area") > 1e-12))
 
 
 def write_weights(spark: SparkSession, path: str, shape: str, n: int) -> None:
@@ -218,6 +218,65 @@ def _clamped(weights: DataFrame, size: int) -> DataFrame:
     return weights.groupBy(_clamp(F.col("src"), size).alias("src"), "dst").agg(F.sum("w").alias("w"))
 
 
+#: Columns of one period of squares, hexagons and triangles, nearly equal in width.
+PERIOD = {"square": 1351, "hex": 1560, "tri": 2340}
+
+
+def period_drift(shape: str) -> float:
+    """By how much a shape's columns of one period are wider than its squares, in squares."""
+    return PERIOD[shape] * SHAPES[shape]["pitch"] - PERIOD["square"]
+
+
+def period_bound(shape: str, width: int, back: bool = False) -> float:
+    """The most by which periodic weights of a raster `width` columns wide may change a value, as a share of
+    the greatest: every border between columns moves by no more than the drift of all periods before it,
+    and a pixel has at most four of them."""
+    periods = width // PERIOD[shape if back else "square"] + 1
+    return 4 * periods * abs(period_drift(shape)) / (1.0 if back else SHAPES[shape]["pitch"])
+
+
+def periodic_weights(spark: SparkSession, shape: str) -> DataFrame:
+    """The weights of the squares of one period (sq, other, area), however wide a raster is; other may lie
+    in the period before or after."""
+    return overlap_weights(spark.range(PERIOD["square"]).select(F.col("id").cast("int").alias("sq")), shape, -2)
+
+
+def _by_period(raster: DataFrame, weights: DataFrame, source: int, target: int, targets: Column, count: int) -> DataFrame:
+    """As _weighted, with weights (src, dst, w) of one period: columns meet them by remainder."""
+    bands, period = _bands(raster), F.floor(F.col("col") / source).cast("int")
+    rows = raster.withColumn("__p", period).withColumn("src", (F.col("col") - F.col("__p") * source).cast("int"))
+    met = rows.join(F.broadcast(weights), "src").withColumn("dst", F.col("dst") + F.col("__p") * target).filter((F.col("dst") >= 0) & (F.col("dst") < count))
+    met = met.withColumn("t", F.explode(targets))
+    return met.groupBy(F.col("t.row").alias("row"), F.col("dst").cast("int").alias("col")).agg(*[F.sum(F.col(b) * F.col("w") * F.col("t.f")).alias(b) for b in bands])
+
+
+def _with_edges(raster: DataFrame, before: int, after: int, width: int) -> DataFrame:
+    """The raster with copies of its edge columns beside it."""
+    copies = lambda at, places: raster.filter(F.col("col") == at).withColumn("col", F.explode(F.array(*[F.lit(p) for p in places])))
+    out = raster
+    if before:
+        out = out.unionByName(copies(0, range(-before, 0)))
+    return out.unionByName(copies(width - 1, range(width, width + after)))
+
+
+def square_to_shape_periodic(raster: DataFrame, shape: str, height: int, width: int) -> DataFrame:
+    """square_to_shape by weights of one period, a table of constant size that is broadcast; values differ
+    from the closed form by no more than period_bound."""
+    pitch = SHAPES[shape]["pitch"]
+    weights = periodic_weights(raster.sparkSession, shape).select(F.col("sq").alias("src"), F.col("other").alias("dst"), (F.col("area") / F.lit(pitch)).alias("w"))
+    odd = (F.pmod("dst", F.lit(2)) == 1) if shape == "hex" else F.lit(False)
+    return _by_period(_with_edges(raster, 2, 3, width), weights, PERIOD["square"], PERIOD[shape], _both_rows(odd, 1, height), int(np.ceil(width / pitch - 1e-9)))
+
+
+def shape_to_square_periodic(raster: DataFrame, shape: str, height: int, width: int) -> DataFrame:
+    """shape_to_square by weights of one period."""
+    s, squares, others = SHAPES[shape], PERIOD["square"], PERIOD[shape]
+    turn = F.floor(F.col("other") / others)  # a shape of the period before or after stands for one of this
+    weights = periodic_weights(raster.sparkSession, shape).select((F.col("other") - turn * others).cast("int").alias("src"), (F.col("sq") - turn * squares).cast("int").alias("dst"), F.col("area").alias("w"))
+    odd = (F.pmod("col", F.lit(2)) == 1) if shape == "hex" else F.lit(False)
+    return _by_period(_with_edges(raster, 0, 3, width), weights, others, squares, _both_rows(odd, -1, height), max(int(np.floor(width * s["pitch"] - s["inset"] + 1e-9)), 0))
+
+
 def square_to_shape(raster: DataFrame, shape: str, height: int, width: int) -> DataFrame:
     """Square pixels to hexagon or triangle pixels. Odd hexagon columns average their row and the one before."""
     spark, pitch = raster.sparkSession, SHAPES[shape]["pitch"]

@@ -12,23 +12,28 @@ from ninefold.operators import mesh as M
 from ninefold.operators import raster as X
 from ninefold.operators import tiles as T
 
-from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, shared_folder, table
+from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, raster_sql, shared_folder, table
 
 W = RASTER_WIDTH
 EXTENT = (-90.0, 90.0, -180.0, 180.0)
 
 
-def _full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def _full(spark: SparkSession, sf_dir: str, width: int = W) -> tuple[DataFrame, int]:
     """The raster, its last row filled up with the colour of places outside a raster, and its height."""
-    image = raster(spark, sf_dir)
+    image = raster(spark, sf_dir, width)
     n = image.count()
-    height = max(1, -(-n // W))
-    rest = spark.range(n, height * W).selectExpr(f"CAST(id div {W} AS INT) AS row", f"CAST(id % {W} AS INT) AS col", "0 AS r", "255 AS g", "0 AS b")
+    height = max(1, -(-n // width))
+    rest = spark.range(n, height * width).selectExpr(f"CAST(id div {width} AS INT) AS row", f"CAST(id % {width} AS INT) AS col", "0 AS r", "255 AS g", "0 AS b")
     return image.unionByName(rest), height
 
 
-_HEIGHT = f"WITH size AS (SELECT greatest(1, (count(*) + {W - 1}) // {W}) AS h FROM orders), img AS "
-BASE = _HEIGHT + f'({RASTER_SQL} UNION ALL SELECT (k // {W})::int, (k % {W})::int, 0, 255, 0 FROM range((SELECT count(*) FROM orders), (SELECT h * {W} FROM size)) p(k)) '
+def _base(width: int) -> tuple[str, str]:
+    """SQL that begins with the height, and with the height and the filled raster."""
+    size = f"WITH size AS (SELECT greatest(1, (count(*) + {width - 1}) // {width}) AS h FROM orders), img AS "
+    return size, size + f'({raster_sql(width)} UNION ALL SELECT (k // {width})::int, (k % {width})::int, 0, 255, 0 FROM range((SELECT count(*) FROM orders), (SELECT h * {width} FROM size)) p(k)) '
+
+
+_HEIGHT, BASE = _base(W)
 ROUND = ", ".join(f"round({b}, 6) AS {b}" for b in "rgb")
 
 
@@ -206,10 +211,10 @@ def _sums(digits: int) -> str:
     return ", ".join(f"round(sum({b}*w*f), {digits}) AS {b}" for b in "rgb")
 
 
-def _to_shape_sql(shape: str, digits: int = 6) -> str:
+def _to_shape_sql(shape: str, digits: int = 6, base: str = BASE, width: int = W) -> str:
     pitch = num(X.SHAPES[shape]["pitch"])
     odd = "dst % 2 = 1" if shape == "hex" else "false"
-    return BASE + f""", w AS (SELECT other AS dst, greatest(0, least({W - 1}, sq)) AS src, area/{pitch} AS w FROM ({_weights(f'SELECT k::int AS sq FROM range(-2, {W + 3}) q(k)', shape)}) WHERE area > 1e-12 AND other < ceil({W}/{pitch})),
+    return base + f""", w AS (SELECT other AS dst, greatest(0, least({width - 1}, sq)) AS src, area/{pitch} AS w FROM ({_weights(f'SELECT k::int AS sq FROM range(-2, {width + 3}) q(k)', shape)}) WHERE area > 1e-12 AND other < ceil({width}/{pitch})),
 t AS (SELECT y.k AS ty, dst, src, w, o.d, CASE WHEN {odd} THEN 0.5::double ELSE 1.0::double END AS f FROM w, range(0, (SELECT h FROM size)) y(k), (VALUES (0), (1)) o(d) WHERE o.d = 0 OR ({odd}))
 SELECT ty::int AS "row", dst::int AS col, {_sums(digits)} FROM t JOIN img ON img.col = src AND img."row" = greatest(0, ty - d) GROUP BY ALL"""
 
@@ -231,6 +236,49 @@ t AS (SELECT y.k AS ty, dst, src, w, o.d, CASE WHEN {odd} THEN 0.5::double ELSE
 SELECT ty::int AS "row", dst::int AS col, {_sums(digits)} FROM t, size, img WHERE img.col = src AND img."row" = least(h - 1, ty + d) GROUP BY ALL"""
 
 
+# -- weights of one period -----------------------------------------------------------------------------
+
+#: Wide enough for several periods.
+WIDE = 4500
+
+
+def _periodic(shape: str, back: bool):
+    """Exact colours of a wide raster, and whether those by weights of one period keep to their bound."""
+
+    def query(spark, sf_dir):
+        image, height = _full(spark, sf_dir, WIDE)
+        exact, periodic = (X.shape_to_square, X.shape_to_square_periodic) if back else (X.square_to_shape, X.square_to_shape_periodic)
+        near = periodic(image, shape, height, WIDE).withColumnsRenamed({b: f"p_{b}" for b in X.BANDS})
+        bound = 255 * X.period_bound(shape, WIDE, back)
+        close = F.greatest(*[F.abs(F.col(b) - F.col(f"p_{b}")) for b in X.BANDS]) <= bound
+        return _rounded_with(exact(image, shape, height, WIDE).join(near, ["row", "col"], "full"), F.coalesce(close, F.lit(False)).alias("within_bounds"))
+
+    return query
+
+
+def _rounded_with(df: DataFrame, *more) -> DataFrame:
+    return df.select("row", "col", *[F.round(b, 6).alias(b) for b in X.BANDS], *more)
+
+
+def _periodic_sql(shape: str, back: bool) -> str:
+    exact = (_to_square_sql if back else _to_shape_sql)(shape, 6, _base(WIDE)[1], WIDE)
+    return f"SELECT *, true AS within_bounds FROM ({exact})"
+
+
+PERIODIC = {f"x{n}_periodic_{name}": (shape, back) for n, name, shape, back in ((1, "square_to_hex", "hex", False), (2, "hex_to_square", "hex", True), (3, "square_to_tri", "tri", False), (4, "tri_to_square", "tri", True))}
+
+
+def x0_periodic_weights(spark, sf_dir):
+    """The weights of one period by the number of parts that fall on each square column of it."""
+    on = table(spark, sf_dir, "part").groupBy(F.pmod("p_partkey", F.lit(X.PERIOD["square"])).cast("int").alias("sq")).agg(F.count("*").alias("parts"))
+    both = [X.periodic_weights(spark, s).join(on, "sq").select(F.lit(s).alias("shape"), "sq", "other", "parts", F.round("area", 6).alias("area")) for s in X.SHAPES]
+    return both[0].unionByName(both[1])
+
+
+_PARTS = "SELECT p_partkey % 1351 AS sq, count(*) AS parts FROM part GROUP BY ALL"
+X0P = " UNION ALL ".join(f"SELECT '{s}' AS shape, sq::int AS sq, other, parts, round(area, 6) AS area FROM ({_weights(f'SELECT sq FROM ({_PARTS})', s).replace(' WHERE other >= 0', '')}) JOIN ({_PARTS}) USING (sq) WHERE area > 1e-12" for s in X.SHAPES)
+
+
 TRI_WIDE = math.ceil(W / X.SHAPES["tri"]["pitch"])
 TRI_HEXES = math.ceil(TRI_WIDE / 9)
 
@@ -336,12 +384,12 @@ _BACK = _to_square_sql("hex", 12, _HEIGHT + f"({_to_shape_sql('hex', 12)})", int
 G8 = BASE + f', back AS ({_BACK}) SELECT count(*) AS n, ' + ", ".join(f"round(avg(abs(i.{b} - k.{b})), 5) AS avg_{b}, round(max(abs(i.{b} - k.{b})), 5) AS max_{b}" for b in "rgb") + ' FROM img i JOIN back k USING ("row", col)'
 
 QUERIES = {f.__name__: f for f in (s7_checker, s3_mosaic, p3_crop_flip_resize, p5_brightness, p6_bounded_lookup, p7_graticule, j2_sample_raster, j3_resample_window, j2_sample_tiles, j3_resample_tiles, x0_check_weights, x0_stored_weights, x5_raster_to_districts, x5_district_polygons, g8_roundtrip_error, g6_district_to_tri, x6_despeckle, w2_split_area)} | {
-    "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
+    "x0_weights_hex": _weights_query("hex"), "x0_weights_tri": _weights_query("tri"), **{n: _periodic(*k) for n, k in PERIODIC.items()}, "x0_periodic_weights": x0_periodic_weights, "x1_square_to_hex": _to_shape("hex"), "x2_hex_to_square": _to_square("hex"), "x3_square_to_tri": _to_shape("tri"), "x4_tri_to_square": _to_square("tri"),
     "g5_tri_to_district": _district_query("9"), "g5_tri_to_district_small": _district_query("6"),
 }
 ORACLE_SQL = {
     "s7_checker": S7, "s3_mosaic": S3, "p3_crop_flip_resize": P3, "p5_brightness": P5, "p6_bounded_lookup": P6, "j2_sample_raster": J2, "j3_resample_window": J3, "j2_sample_tiles": J2, "j3_resample_tiles": J3, "g6_district_to_tri": G6, "w2_split_area": W2, "x0_check_weights": _x0_check(), "x0_stored_weights": X0S, "p7_graticule": P7, "x5_raster_to_districts": X5, "x5_district_polygons": _x5_polygons(), "g8_roundtrip_error": G8,
     **{f"x0_weights_{s}": f"SELECT * FROM (SELECT sq, other, round(area, 6) AS area FROM ({_weights('SELECT p_partkey AS sq FROM part', s)}) WHERE area > 1e-12) WHERE area > 0" for s in ("hex", "tri")},
-    "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
+    **{n: _periodic_sql(*k) for n, k in PERIODIC.items()}, "x0_periodic_weights": X0P, "x1_square_to_hex": _to_shape_sql("hex"), "x2_hex_to_square": _to_square_sql("hex"), "x3_square_to_tri": _to_shape_sql("tri"), "x4_tri_to_square": _to_square_sql("tri"),
     "g5_tri_to_district": _district_sql("9"), "g5_tri_to_district_small": _district_sql("6"),
 }

@@ -69,14 +69,21 @@ DIRECTIONS_SQL = "SELECT * FROM (SELECT vec_id, label, embedding[1]::double AS x
 # -- rasters: one pixel for each order, 96 wide ------------------------------------------------------
 
 RASTER_WIDTH = 96
-RASTER = {"row": "CAST(o_orderkey {div} 96 AS INT)", "col": "CAST(o_orderkey % 96 AS INT)", "r": "CAST((o_orderkey*7 + o_custkey*13) % 256 AS INT)", "g": "CAST((o_orderkey*11) % 256 AS INT)", "b": "CAST((o_orderkey*o_custkey) % 256 AS INT)"}
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e.format(div='div')} AS {n}" for n, e in RASTER.items()])
+def _raster(width: int, div: str) -> dict[str, str]:
+    return {"row": f"CAST(o_orderkey {div} {width} AS INT)", "col": f"CAST(o_orderkey % {width} AS INT)", "r": "CAST((o_orderkey*7 + o_custkey*13) % 256 AS INT)", "g": "CAST((o_orderkey*11) % 256 AS INT)", "b": "CAST((o_orderkey*o_custkey) % 256 AS INT)"}
 
 
-RASTER_SQL = "SELECT " + ", ".join(f"{e.format(div='//')} AS \"{n}\"" for n, e in RASTER.items()) + " FROM orders"
+def raster(spark: SparkSession, sf_dir: str, width: int = RASTER_WIDTH) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _raster(width, "div").items()])
+
+
+def raster_sql(width: int = RASTER_WIDTH) -> str:
+    return "SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in _raster(width, "//").items()) + " FROM orders"
+
+
+RASTER_SQL = raster_sql()
 
 
 # -- the walk ----------------------------------------------------------------------------------------
