@@ -377,6 +377,33 @@ def _adaptive(v: np.ndarray, k: int, c: float) -> np.ndarray:
     return np.where(v > np.rint(mean) - c, 255, 0)
 
 
+#: Most different values that the sliding histogram counts; wider ranges are ranked window by window.
+HISTOGRAM_BINS = 1024
+
+
+def _medians(padded: np.ndarray, k: int) -> np.ndarray:
+    """Medians of all k x k windows. A histogram of each column goes down the image, one value in and one
+    out, and windows are sums of k of them, so the work for a pixel does not grow with the window."""
+    height, width = padded.shape[0] - k + 1, padded.shape[1] - k + 1
+    low = int(padded.min())
+    bins = int(padded.max()) - low + 1
+    if bins > HISTOGRAM_BINS:
+        return np.sort(np.lib.stride_tricks.sliding_window_view(padded, (k, k)).reshape(height, width, k * k), axis=2)[:, :, k * k // 2]
+    values, x = padded - low, np.arange(padded.shape[1])
+    columns = np.zeros((len(x), bins), np.int32)
+    for y in range(k - 1):
+        columns[x, values[y]] += 1
+    out = np.empty((height, width), np.int64)
+    running = np.zeros((len(x) + 1, bins), np.int32)
+    for y in range(height):
+        columns[x, values[y + k - 1]] += 1
+        np.cumsum(columns, axis=0, out=running[1:])
+        inside = np.cumsum(running[k:] - running[:-k], axis=1)
+        out[y] = (inside > k * k // 2).argmax(axis=1) + low
+        columns[x, values[y]] -= 1
+    return out
+
+
 def despeckle(raster: DataFrame) -> DataFrame:
     """9 x 9 medians, except where an edge mask of the brightness (two adaptive thresholds) is set.
 
@@ -399,8 +426,7 @@ def despeckle(raster: DataFrame) -> DataFrame:
         tr, tc = key[0].as_py() * TILE, key[1].as_py() * TILE
         own = (row >= tr) & (row < tr + TILE) & (col >= tc) & (col < tc + TILE)
         y, x = row[own] - r0, col[own] - c0
-        windows = np.lib.stride_tricks.sliding_window_view(padded, (9, 9), axis=(0, 1))
-        median = np.median(windows[y, x], axis=(2, 3)).astype(np.int64) if len(y) else np.zeros((0, len(bands)), np.int64)
+        median = np.stack([_medians(padded[:, :, i], 9)[y, x] for i in range(len(bands))], axis=1) if len(y) else np.zeros((0, len(bands)), np.int64)
         out = np.where(edge[y, x][:, None] == 0, median, image[y, x])
         yield pa.RecordBatch.from_arrays([pa.array(row[own].astype(np.int32)), pa.array(col[own].astype(np.int32)), *[pa.array(out[:, i].astype(np.int32)) for i in range(len(bands))]], ["row", "col", *bands])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ninefold.functions.columns import latitude, longitude, unit_vector
+from ninefold.operators import indexed_mesh as I
 from ninefold.operators import mesh as M
 from ninefold.operators import points as P
 from ninefold.operators.spatial import nearest
@@ -195,6 +196,55 @@ _SPREAD = f"SELECT level, greatest(abs(a-b), abs(b-c), abs(c-a)) AS spread FROM
 J5M = f"SELECT level, spread <= 1e-6 AS equilateral, count(*) AS n, round(max(spread), 6) AS spread FROM ({_SPREAD}) s GROUP BY level, s.spread <= 1e-6"
 
 
+# -- meshes with shared vertices: an octahedron of three directions and their opposites for each vector ---
+
+#: Faces by vertex: 0..2 are the directions, 3..5 their opposites.
+_OCTAHEDRON = [(x, y, z) for x in (0, 3) for y in (1, 4) for z in (2, 5)]
+
+
+def _octahedra(spark, sf_dir, depth: int) -> I.Mesh:
+    corner = _triangles(spark, sf_dir)
+    place = lambda v: [F.col(f"p{v % 3}")[k] * (1.0 if v < 3 else -1.0) for k in range(3)]
+    vertices = corner.select(F.col("vec_id").alias("map"), F.explode(F.array(*[F.struct(F.lit(v).alias("idx"), *[x.alias(c) for x, c in zip(place(v), "xyz", strict=True)]) for v in range(6)])).alias("v")).select("map", "v.*")
+    faces = corner.select(F.col("vec_id").alias("map"), F.explode(F.array(*[F.struct(F.lit(str(n)).alias("name"), *[F.lit(v).alias(f"v{k}") for k, v in enumerate(f)]) for n, f in enumerate(_OCTAHEDRON)])).alias("f")).select("map", "f.*")
+    return I.subdivide_indexed(I.indexed(vertices, faces), depth)
+
+
+def m1_euler(spark, sf_dir):
+    """Vertices, edges and faces of octahedra after two levels, and what their numbers come to."""
+    return I.counts(_octahedra(spark, sf_dir, 2))
+
+
+def _octahedra_sql(depth: int) -> str:
+    """The same triangles without shared vertices: vec_id (a map and a face), path, p0, p1, p2."""
+    place = lambda v: f"p{v % 3}" if v < 3 else f"[-p{v % 3}[1], -p{v % 3}[2], -p{v % 3}[3]]"
+    faces = " UNION ALL ".join(f"SELECT vec_id * 8 + {n} AS vec_id, '' AS path, {', '.join(f'{place(v)} AS p{k}' for k, v in enumerate(f))} FROM tri" for n, f in enumerate(_OCTAHEDRON))
+    for _ in range(depth):
+        faces = _level_sql(faces)
+    return f"WITH tri AS ({_TRI}), t AS ({faces}), corners AS (SELECT vec_id // 8 AS map, [list_transform(p, lambda x: round(x, 6) + 0) for p in [p0, p1, p2]] AS c, [p0, p1, p2] AS p FROM t), sides AS (SELECT map, least(c[a], c[b]) AS low, greatest(c[a], c[b]) AS high, {_angle_sql('p[a]', 'p[b]')} AS angle FROM corners, (VALUES (1, 2), (2, 3), (3, 1)) e(a, b)), edge AS (SELECT map, low, high, any_value(angle) AS angle FROM sides GROUP BY ALL)"
+
+
+M1E = _octahedra_sql(2) + """ SELECT map, v AS vertices, e AS edges, f AS faces, v - e + f AS euler FROM (SELECT map, count(*) AS f FROM corners GROUP BY ALL) JOIN (SELECT map, count(*) AS e FROM edge GROUP BY ALL) USING (map)
+JOIN (SELECT map, count(DISTINCT p) AS v FROM (SELECT map, unnest(c) AS p FROM corners) GROUP BY ALL) USING (map)"""
+
+
+def w3_mesh_edges(spark, sf_dir):
+    """Edges of octahedra after a level, each once, and their lengths."""
+    return I.edge_lengths(_octahedra(spark, sf_dir, 1)).groupBy("map").agg(F.count("*").alias("edges"), F.round(F.sum("length"), 5).alias("length"), F.round(F.min("length"), 5).alias("shortest"))
+
+
+W3E = _octahedra_sql(1) + " SELECT map, count(*) AS edges, round(sum(degrees(angle)), 5) AS length, round(min(degrees(angle)), 5) AS shortest FROM edge GROUP BY ALL"
+
+
+def j5_indexed_spread(spark, sf_dir):
+    """How far the faces of such meshes are from equilateral, corners joined by number."""
+    out = M.check_equilateral(I.with_corners(_octahedra(spark, sf_dir, 1)))
+    return out.groupBy("map").agg(F.count("*").alias("n"), F.round(F.min("spread"), 6).alias("least"), F.round(F.max("spread"), 6).alias("most"))
+
+
+J5I = _octahedra_sql(1) + f" SELECT map, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most FROM (SELECT map, greatest(abs(a-b), abs(b-c), abs(c-a)) AS s FROM (SELECT vec_id // 8 AS map, {_angle_sql('p0', 'p1')} AS a, {_angle_sql('p1', 'p2')} AS b, {_angle_sql('p2', 'p0')} AS c FROM t)) GROUP BY ALL"
+
+
 def _maps(spark: SparkSession, sf_dir: str) -> Maps:
     """Maps of 16 triangles each (a vertex list and faces by index), written as JSON and read again.
 
@@ -443,5 +493,5 @@ def _a6(digits: int = 3) -> str:
     return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, g4_colour_tiles, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "g4_colour_mesh": G4, "g4_colour_tiles": G4, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m1_euler, w3_mesh_edges, j5_indexed_spread, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, g4_colour_tiles, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "g4_colour_mesh": G4, "g4_colour_tiles": G4, "m1_euler": M1E, "w3_mesh_edges": W3E, "j5_indexed_spread": J5I, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
