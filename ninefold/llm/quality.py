@@ -13,17 +13,19 @@ from pyspark.sql import types as T
 from .common import checkpointed, table
 
 #: Name -> (numerator, denominator) of the shares that get adaptive upper bounds, and the bound: so
-#: many distances (that quantile less median) above the median, with a small floor for groups in
-#: which the two are equal. Symbols mark whole bad sources, so they go by a quantile that those
-#: leave alone; the others are rare in good texts too and go by the tail.
+#: many distances (that quantile less median) above the median. Symbols mark whole bad sources, so they
+#: go by a quantile that those leave alone; the others are rare in good texts too and go by the tail.
 SHARES = {
-    "symbols": ("n_symbols", "word_chars", 0.75, 6.0, 0.01),
-    "capitals": ("n_capitals", "word_chars", 0.99, 2.0, 0.01),
-    "marks": ("n_marks", "word_chars", 0.99, 2.0, 0.01),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.99, 2.0, 0.01),
-    "repeats": ("n_repeat_words", "n_words", 0.99, 2.0, 0.01),
-    "word_chars": ("word_chars", "n_words", 0.99, 2.0, 0.1),
+    "symbols": ("n_symbols", "word_chars", 0.75, 6.0),
+    "capitals": ("n_capitals", "word_chars", 0.99, 2.0),
+    "marks": ("n_marks", "word_chars", 0.99, 2.0),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.99, 2.0),
+    "repeats": ("n_repeat_words", "n_words", 0.99, 2.0),
+    "word_chars": ("word_chars", "n_words", 0.99, 2.0),
 }
+#: A count k of a text is taken as k less so many times its square root: what it shows beyond chance. So
+#: a few marks in a text weigh nothing where a group has none, and no bound needs a least value.
+CHANCE = 3.0
 #: Weight, in documents, of the bound of the language in the bound of a group, and of the bound of all
 #: documents in that of a language: a group of n documents weighs n / (n + PRIOR_DOCS).
 PRIOR_DOCS = 200
@@ -82,7 +84,10 @@ def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "__q_",
 
 def _share(kind: str, prefix: str) -> Column:
     above, below, *_ = SHARES[kind]
-    return F.when(F.col(prefix + below) > 0, F.col(prefix + above) / F.col(prefix + below)).otherwise(F.lit(0.0))
+    counted = F.col(prefix + above).cast("double")
+    if kind != "word_chars":
+        counted = F.greatest(F.lit(0.0), counted - CHANCE * F.sqrt(counted))
+    return F.when(F.col(prefix + below) > 0, counted / F.col(prefix + below)).otherwise(F.lit(0.0))
 
 
 def base_failed(prefix: str = "__q_") -> Column:
@@ -110,11 +115,11 @@ def adaptive_thresholds(measured: DataFrame, lang_col: str = "lang", source_col:
     joined = groups.join(merged([lang], "_l"), lang).crossJoin(F.broadcast(merged([], "_a")))  # one row
 
     def bound(kind: str) -> Column:
-        quantile, spreads, floor = SHARES[kind][2:]
+        quantile, spreads = SHARES[kind][2:]
 
         def own(tag: str) -> Column:
             at = lambda q: F.kll_sketch_get_quantile_double(F.col(kind + tag), F.lit(q))
-            return F.when(F.col("n" + tag) > 0, at(0.5) + F.greatest(spreads * (at(quantile) - at(0.5)), F.lit(floor)))
+            return F.when(F.col("n" + tag) > 0, at(0.5) + spreads * (at(quantile) - at(0.5)))
 
         drawn = own("_a")
         for tag in ("_l", ""):

@@ -47,17 +47,34 @@ def test_quality_bounds_come_from_the_group(spark):
     assert not found[2000] and found[2001] and all(kept for k, kept in found.items() if k < 2000)
 
 
+def test_symbols_are_judged_by_the_source(spark):
+    """A source that always has symbols keeps its texts; one that never has loses the same texts, and keeps
+    texts with a few symbols."""
+    plain = lambda k: " ".join(f"w{k:04}x{i}" for i in range(120))
+    many = lambda k: " ".join(f"w{k:04}x{i} #" for i in range(100 + k % 40))
+    few = lambda k: plain(k) + " 50% & $3 #1"
+    rows = [(k, plain(k), "en", "prose") for k in range(400)] + [(1000 + k, many(k), "en", "code") for k in range(400)]
+    rows += [(2000 + k, many(5000 + k), "en", "prose") for k in range(5)] + [(3000 + k, many(5000 + k), "en", "code") for k in range(5)] + [(4000 + k, few(6000 + k), "en", "prose") for k in range(5)]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept for k, kept in found.items() if 2000 <= k < 3000)
+    assert all(kept for k, kept in found.items() if not 2000 <= k < 3000)
+
+
 def test_quality_verdict_against_brute_force(spark, docs):
     """Bounds from exact quantiles of the same groups; a verdict may differ only near a bound."""
     rows = quality.quality_rules(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
-    share = lambda r, k: r[quality.SHARES[k][0]] / r[quality.SHARES[k][1]] if r[quality.SHARES[k][1]] else 0.0
+
+    def share(r, k):
+        counted, of = r[quality.SHARES[k][0]], r[quality.SHARES[k][1]]
+        return (counted if k == "word_chars" else max(0.0, counted - 3 * counted**0.5)) / of if of else 0.0
+
     good = [r for r in rows if not r["base_failed"]]
 
     def bound(of, k):
-        quantile, spreads, floor = quality.SHARES[k][2:]
+        quantile, spreads = quality.SHARES[k][2:]
         values = np.array([share(r, k) for r in of])
         at = lambda q: np.quantile(values, q, method="inverted_cdf")
-        return at(0.5) + max(spreads * (at(quantile) - at(0.5)), floor)
+        return at(0.5) + spreads * (at(quantile) - at(0.5))
 
     wrong = 0
     for r in good:
@@ -68,7 +85,7 @@ def test_quality_verdict_against_brute_force(spark, docs):
                 weight = len(of) / (len(of) + quality.PRIOR_DOCS)
                 drawn = weight * bound(of, k) + (1 - weight) * drawn
             sure &= share(r, k) <= drawn
-            near |= abs(share(r, k) - drawn) <= 0.05 * max(drawn, 0.01)
+            near |= abs(share(r, k) - drawn) <= 0.05 * drawn
         wrong += sure != r["kept"] and not near
     assert wrong == 0 and 0 < sum(r["kept"] for r in good) < len(good)
 
