@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,11 @@ HOSTS = ["example.com", "example.net", "example.org"]
 #: Endings of made-up given names by script and gender.
 ENDINGS = {"latin": {"f": "ina", "m": "us", "n": "el"}, "cyrillic": {"f": "ина", "m": "ий", "n": "ель"}, "greek": {"f": "ίνα", "m": "ος", "n": "ης"}}
 TYPES = ("email", "phone", "ssn", "ip", "card", "name")
-#: Times that a surrogate which is taken is derived anew. Names and local parts grow longer with each,
-#: numbers do not, so they run out only when nearly all numbers of a form are in use.
-ROUNDS = 64
+#: A surrogate that is taken is derived anew. Names and local parts grow longer with each attempt; numbers
+#: keep their length so many times and then get more digits, so that no form runs out.
+SAME_LENGTH = 16
+#: A word with a larger share of lower-case uses in all texts is a common word, also where it is a name.
+COMMON = 0.2
 #: Surrogates up to so many rows (some 100 bytes each) are broadcast; longer lists are joined by a shuffle.
 BROADCAST_ENTITIES = 50_000
 
@@ -100,11 +104,13 @@ def surrogate(key: Column, kind: Column, value: Column, attempt: Column) -> Colu
     """A replacement of the same type for a canonical value.
 
     Phone numbers keep their length and first digit, card numbers also the validity of their check
-    digit, e-mail addresses the form of their local part. Names come word by word, as
+    digit, e-mail addresses the form of their local part. Where nearly all numbers of a form are in use
+    the surrogate has more digits, written without the layout. Names come word by word, as
     role:gender:word with role g (given) or f (family), and keep role, gender and script."""
     stream = _stream(key, kind, value, attempt)
     changed = _same_form(value, stream, False)
     keep_first = F.concat(F.substring(value, 1, 1), F.substring(changed, F.lit(2), F.length(value)))
+    extra = F.when(attempt >= SAME_LENGTH, F.substring(F.lpad(F.conv(F.substring(stream, 20, 15), 16, 10), 18, "0"), F.lit(1), attempt - (SAME_LENGTH - 1))).otherwise("")
     body = F.substring(keep_first, F.lit(1), F.length(value) - 1)
     checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(value) == 0, checked).otherwise(keep_first)
@@ -113,7 +119,7 @@ def surrogate(key: Column, kind: Column, value: Column, attempt: Column) -> Colu
     host_stream = _stream(key, F.lit("host"), host, F.lit(0))
     longer = F.when(attempt > 2, F.substring(F.conv(F.substring(stream, 40, 12), 16, 10), F.lit(1), attempt - 2)).otherwise("")
     email = F.concat(_same_form(local, stream, True), longer, F.lit("@mail"), _number(host_stream, 0, 10000).cast("string"), F.lit("."), F.get(hosts, _number(host_stream, 1, len(HOSTS))))
-    ip = F.concat_ws(".", *[(_number(stream, k, 254) + 1).cast("string") for k in range(4)])
+    ip = F.concat(F.concat_ws(".", *[(_number(stream, k, 254) + 1).cast("string") for k in range(4)]), F.when(attempt >= SAME_LENGTH, F.concat(F.lit("."), extra)).otherwise(""))
     role, gender, word = (F.get(F.split(value, ":"), k) for k in range(3))
     name = F.lit(None).cast("string")
     for script, letters in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
@@ -126,7 +132,7 @@ def surrogate(key: Column, kind: Column, value: Column, attempt: Column) -> Colu
         given = F.when(attempt < 2, listed).otherwise(F.initcap(F.concat(made(F.lit(2) + (attempt / 3).cast("int")), ending)))
         family = F.initcap(made(F.lit(4) + (attempt / 3).cast("int")))
         name = F.coalesce(name, F.when(word.rlike(letters), F.when(role == "g", given).otherwise(family)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", name).when(kind == "card", card).when(kind == "ssn", changed).otherwise(keep_first)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", name).otherwise(F.concat(F.when(kind == "card", card).when(kind == "ssn", changed).otherwise(keep_first), extra))
 
 
 def _render(kind: Column, match: Column, replacement: Column) -> Column:
@@ -143,12 +149,12 @@ def _render(kind: Column, match: Column, replacement: Column) -> Column:
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate for distinct (kind, value): no two of a kind the same, and none that is
-    itself a value found in the texts. What collides is derived again, ROUNDS times at most."""
+    itself a value found in the texts. What collides is derived again; as surrogates grow longer, this ends."""
     secret = F.lit(key)
     entities = checkpointed(entities)
     own = entities.select("kind", F.lower(F.when(F.col("kind") == "name", F.substring_index("value", ":", -1)).otherwise(F.col("value"))).alias("folded"))
     done, open_ = None, entities
-    for attempt in range(ROUNDS):
+    for attempt in count():
         tried = open_.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("value"), F.lit(attempt))).withColumn("folded", F.lower("surrogate"))
         taken = own if done is None else own.unionByName(done.select("kind", F.lower("surrogate").alias("folded")))
         known = tried.join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "folded"], "left")
@@ -159,7 +165,6 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = placed.filter("not free").select("kind", "value")
         if open_.isEmpty():
             return done
-    raise ValueError(f"nearly every value of a form is in use: no free surrogates after {ROUNDS} rounds")
 
 
 def _name_words(parts: DataFrame) -> DataFrame:
@@ -172,12 +177,47 @@ def _name_words(parts: DataFrame) -> DataFrame:
     return joined.select("digest", "word", F.concat_ws(":", "role", F.when(F.col("role") == "g", F.col("settled")).otherwise("n"), "word").alias("value"))
 
 
+def _common_words(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of the asked words (lower case), those that all texts use in lower case more often than COMMON."""
+    used = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}++"), F.lit(0))).alias("form")).withColumn("word", F.lower("form"))
+    lower = F.sum((F.col("form") == F.col("word")).cast("long"))
+    counted = used.join(asked, "word").groupBy("word").agg(lower.alias("lower"), F.count("*").alias("uses"))
+    return counted.filter(F.col("lower") > COMMON * F.col("uses")).select("word")
+
+
+def _mentions(single: DataFrame, parts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of the names of each text, as _name_words gives them, and the places of lone capitalised
+    words (digest, place) that mention one.
+
+    A capitalised word right before a known family name is taken for a given name of that person,
+    unless it is a common word. A lone word that equals a word of a name mentions it if it is not a
+    common word, or stands beside another word of a name; so in a text with Dr Will May, `Will May` is
+    replaced, and `Will it rain in May` is not."""
+    order = Window.partitionBy("digest").orderBy("place")
+    seen = single.select("digest", "place", "kind", "gap", F.lower("match").alias("word"))
+    seen = seen.withColumns({"before": F.when((F.lag("kind").over(order) == "word") & (F.col("gap") == " "), F.lag("word").over(order)), "after": F.when((F.lead("kind").over(order) == "word") & (F.lead("gap").over(order) == " "), F.lead("word").over(order))})
+    lone = checkpointed(seen.filter("kind = 'word'").drop("kind", "gap"))
+    known = parts.select("digest", "word").distinct()
+    family = parts.filter("role = 'f'").select("digest", F.col("word").alias("after")).distinct()
+    titles = [t.lower() for g in TITLES.values() for t in g]
+    given = lone.filter(~F.col("word").isin(titles)).join(family, ["digest", "after"]).join(known, ["digest", "word"], "left_anti").select("digest", "word").distinct()
+    asked = checkpointed(known.select("word").unionByName(given.select("word")).distinct())
+    common = checkpointed(_common_words(texts, asked)) if not asked.isEmpty() else asked
+    untitled = given.join(common, "word", "left_anti").select("digest", "word", F.lit("n").alias("gender"), F.lit("g").alias("role"))
+    words = checkpointed(_name_words(parts.unionByName(untitled)))
+    named = words.select("digest", "word")
+    beside = [lone.join(named.withColumnRenamed("word", c), ["digest", c]).select("digest", "place") for c in ("before", "after")]
+    own = lone.join(named, ["digest", "word"])
+    told = own.join(common, "word", "left_anti").select("digest", "place")
+    return words, told.unionByName(own.select("digest", "place").join(beside[0].unionByName(beside[1]), ["digest", "place"], "left_semi")).distinct()
+
+
 def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace personal data in every whole text: doc_id, text, n_entities, and found, an array of
     (kind, surrogate) in the order of the text.
 
     Found are e-mail addresses, telephone, social security, card and IP numbers, names behind a title
-    (with particles), and in the same text every later or earlier mention of a word of such a name.
+    (with particles), and in the same text their other mentions, by the rules of _mentions.
     Every spelling of an address or number gets the same surrogate in all documents, and names are
     replaced word by word: John Smith, Dr Smith, Mr John Smith and Smith stay one person, and a given
     name has one gender. Words keep role, script and capitals, titles and particles stay. Different
@@ -199,8 +239,11 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     named = F.exists("matches", lambda m: type_of(m) == "name")
     having = rows.filter("size(matches) > 0").withColumn("named", named).withColumn("digest", F.sha2("text", 256))
     having = having.withColumn("matches", F.when(F.col("named"), F.regexp_extract_all("text", F.lit(MENTION), F.lit(0))).otherwise(F.col("matches")))
-    texts = having.select("digest", "matches").groupBy("digest").agg(F.first("matches").alias("matches"))
-    single = checkpointed(texts.select("digest", F.posexplode("matches").alias("place", "match")).withColumn("kind", type_of(F.col("match"))))
+    # With each match the last characters before it; they say whether two words stand side by side.
+    gaps = F.slice(F.when(F.col("named"), F.split("text", MENTION, -1)).otherwise(F.array()), F.lit(1), F.size("matches"))
+    paired = F.zip_with("matches", gaps, lambda m, gap: F.struct(m.alias("match"), F.coalesce(F.right(gap, F.lit(3)), F.lit("")).alias("gap")))
+    texts = having.select("digest", paired.alias("matches")).groupBy("digest").agg(F.first("matches").alias("matches"))
+    single = checkpointed(texts.select("digest", F.posexplode("matches").alias("place", "m")).select("digest", "place", "m.*").withColumn("kind", type_of(F.col("match"))))
 
     # Names: the words behind the title, the last of which is the family name.
     is_name = F.col("kind").isin("name", "word")
@@ -209,7 +252,9 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     title = single.filter("kind = 'name'").select("digest", "place", F.regexp_extract("match", r"^\p{L}+", 0).alias("title"))
     parts = pieces.filter("kind = 'name' and word is not null").join(title, ["digest", "place"])
     parts = parts.select("digest", "word", _gender(F.col("title")).alias("gender"), F.when(F.col("at") == F.col("n") - 1, "f").otherwise("g").alias("role"))
-    words = checkpointed(_name_words(parts))
+    words, mentioned = _mentions(single, checkpointed(parts), rows.select("text"))
+    pieces = pieces.join(mentioned.withColumn("mentions", F.lit(True)), ["digest", "place"], "left")
+    pieces = pieces.withColumn("word", F.when((F.col("kind") == "name") | F.col("mentions"), F.col("word"))).drop("mentions")
     plain = single.filter(~is_name).withColumn("value", canonical(F.col("kind"), F.col("match")))
 
     # One surrogate for each value, then back to its places.

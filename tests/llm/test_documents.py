@@ -363,6 +363,76 @@ def test_names_stay_one_person(spark):
     assert [f["kind"] for f in found[3]["found"]] == ["name"] * 3 and found[3]["n_entities"] == 3
 
 
+PROSE = "it will rain in may and they will stay; the brown dog and a young cat, brown bread for the young people; the engineer may come, an engineer will not"
+
+
+def test_common_words_stay_where_they_are_no_names(spark):
+    rows = [
+        (1, "Dr Will May spoke. Will it rain in May? The May report. Later Will May left, and Dr May too."),
+        (2, "Mrs Anna Brown and Mr Tom Young baked. Brown bread for Young people. Anna Brown ate; Anna too."),
+        (3, "John Smith (Mr Smith) came. Yesterday Smith left, said President Smith; Peter Jones stayed."),
+        (4, PROSE),
+        (5, "Yesterday we met; yesterday the president and a president spoke. " + PROSE),
+    ]
+    found = {r["doc_id"]: r["text"] for r in privacy.replace_personal(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    first = re.fullmatch(r"Dr (\w+) (\w+) spoke. Will it rain in May\? The May report. Later (\w+) (\w+) left, and Dr (\w+) too.", found[1])
+    assert first and (first[1], first[2]) == (first[3], first[4]) and first[5] == first[2] and not {"Will", "May"} & set(first.groups())
+    second = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+) (\w+) baked. Brown bread for Young people. (\w+) (\w+) ate; (\w+) too.", found[2])
+    assert second and second[1] == second[5] == second[7] and second[2] == second[6] and not {"Anna", "Brown", "Tom", "Young"} & set(second.groups())
+    third = re.fullmatch(r"(\w+) (\w+) \(Mr (\w+)\) came. Yesterday (\w+) left, said President (\w+); Peter Jones stayed.", found[3])
+    assert third and third[1] != "John" and len(set(third.groups()[1:])) == 1 and third[2] != "Smith"
+    assert found[4] == PROSE and found[5] == rows[4][1]
+
+
+def test_mentions_against_a_plain_reading(spark):
+    """All rules of mentions, in loops over the words of texts, for many small made-up texts."""
+    import random
+
+    rng = random.Random(12)
+    family, given, common = ["Stone", "Hale", "Okoro", "Lund"], ["Ada", "Finn", "Noor"], ["Stone", "The", "Then"]
+    texts = ["a stone and the stones, then the stone"] * 60
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(3, 12)):
+            words += rng.choice([["Mr", rng.choice(given), rng.choice(family)], ["Dr", rng.choice(family)], [rng.choice(family)], [rng.choice(given)], [rng.choice(given), rng.choice(family)], [rng.choice(common)], ["went", "home"], ["slept"]])
+            words.append(rng.choice(["and", "or", "but"]))
+        texts.append(" ".join(words))
+    found = {r["doc_id"]: r["text"] for r in privacy.replace_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    surrogate: dict = {}
+    for k, text in enumerate(texts):
+        words, titled, families = text.split(), set(), set()
+        for i, w in enumerate(words):
+            if w in ("Mr", "Dr"):
+                j = i + 1
+                while j < len(words) and words[j][0].isupper():
+                    j += 1
+                titled |= set(range(i + 1, j))
+                families.add(words[j - 1])
+        names = {words[i] for i in titled}
+        lone = [w[0].isupper() and w not in ("Mr", "Dr") and i not in titled for i, w in enumerate(words)]
+        usual = {"Stone", "The", "Then"}
+        names |= {words[i] for i in range(len(words) - 1) if lone[i] and lone[i + 1] and words[i + 1] in families and words[i] not in usual}
+        out = found[k].split()
+        assert len(out) == len(words)
+        for i, w in enumerate(words):
+            beside = (i > 0 and lone[i - 1] and words[i - 1] in names) or (i + 1 < len(words) and lone[i + 1] and words[i + 1] in names)
+            gone = i in titled or (lone[i] and w in names and (w not in usual or beside))
+            assert (out[i] != w) == gone, (text, found[k], w)
+            if gone:
+                surrogate.setdefault(w, set()).add(out[i])
+    assert set(map(len, surrogate.values())) <= {1, 2}  # a word may be a family name here and a given name there
+    flat = [x for s in surrogate.values() for x in s]
+    assert len(flat) == len(set(flat))
+
+
+def test_numbers_that_run_out_get_longer(spark):
+    """All five-digit numbers with one first digit are taken: surrogates are longer, and none is lost."""
+    values = spark.range(10_000).selectExpr("'phone' AS kind", "lpad(10000 + id, 5, '0') AS value")
+    rows = privacy.assign_surrogates(values, "key").collect()
+    assert len(rows) == len({r["surrogate"] for r in rows}) == 10_000
+    assert not {r["surrogate"] for r in rows} & {r["value"] for r in rows} and min(len(r["surrogate"]) for r in rows) > 5
+
+
 def test_long_texts_do_not_break_the_patterns(spark):
     texts = ["a@" + "b." * 2000 + "c1", "a@" + "bc." * 50_000 + "de", "x@" + "a" * 1_000_000, "1" * 1_000_000, "Mr " + "Ab-" * 20_000, "a." * 500_000, "+1" + " 23" * 300_000, "Mr Smith " * 20_000, "word " * 200_000 + "me@example.org"]
     found = {r["doc_id"]: r["text"] for r in privacy.replace_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
