@@ -46,3 +46,13 @@ def fit_rotation(pairs: DataFrame) -> DataFrame:
     # sum |v - M u|^2 = sum v.v - sum over M * B, as M solves the normal equations.
     fitted = sum((F.col(f"m{i}{j}") * F.col(f"b{i}{j}") for i in range(3) for j in range(3) if (i, j) != (0, 0)), F.col("m00") * F.col("b00"))
     return row.select(*[f"m{i}{j}" for i in range(3) for j in range(3)], (m(0, 0) * mcof(0, 0) + m(0, 1) * mcof(0, 1) + m(0, 2) * mcof(0, 2)).alias("determinant"), F.sqrt(F.greatest(F.lit(0.0), F.col("vv") - fitted) / F.col("n")).alias("rms"))
+
+
+def rotation_residuals(pairs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The pairs with rx, ry, rz (v less the fitted image of u) and residual, its length. `fitted` is the one
+    row of fit_rotation, which is sent to all rows."""
+    m = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    rows = pairs.crossJoin(F.broadcast(fitted.select(*[c for r in m for c in r])))  # one row
+    off = [F.col(f"v{a}") - sum((F.col(m[i][j]) * F.col(f"u{b}") for j, b in enumerate("xyz") if j), F.col(m[i][0]) * F.col("ux")) for i, a in enumerate("xyz")]
+    out = rows.withColumns({f"r{a}": o for a, o in zip("xyz", off, strict=True)}).select(*pairs.columns, "rx", "ry", "rz")
+    return out.withColumn("residual", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")))

@@ -135,16 +135,27 @@ def graticule(raster: DataFrame, extent: tuple[float, float, float, float], heig
     """The raster with lines burnt in at low + (low mod step) + k * step, `stroke` pixels wide."""
     half = stroke // 2
 
-    def lines(low: float, high: float, step: float, size: int, reverse: bool) -> list[int]:
-        values = np.arange(low + low % step, high, step)
-        places = np.searchsorted(np.linspace(low, high, size), values) % size
-        return sorted({int(q) for p in places for q in range((size - 1 - p if reverse else p) - half, (size - 1 - p if reverse else p) - half + stroke)})
+    def on_line(pixel: str, low: float, high: float, step: float, size: int, reverse: bool) -> Column:
+        """Whether one of the pixels whose stroke reaches this one holds a line. Pixel p of the axis holds
+        the values above that of pixel p - 1, up to its own; the first line beyond the former is found
+        by a quotient, so neither axis nor lines are listed."""
+        first, width = low + low % step, (high - low) / (size - 1)
+        value = lambda p: F.lit(float(low)) + p * F.lit(width)
+        hit = F.lit(False)
+        for shift in range(-half, stroke - half):
+            p = F.col(pixel) - shift
+            p = F.lit(size - 1) - p if reverse else p
+            n = F.greatest(F.lit(0.0), F.floor((value(p - 1) - F.lit(first)) / F.lit(float(step))))
+            for more in (0, 1):  # rounding may leave the quotient one short
+                line = F.lit(first) + (n + more) * F.lit(float(step))
+                hit |= (p >= 0) & (p < size) & (line < high) & (line <= value(p)) & ((p == 0) | (line > value(p - 1)))
+        return hit
 
     on = F.lit(False)
     if lat_step > 0:
-        on |= F.col("row").isin(lines(extent[0], extent[1], lat_step, height, True))
+        on |= on_line("row", extent[0], extent[1], lat_step, height, True)
     if lon_step > 0:
-        on |= F.col("col").isin(lines(extent[2], extent[3], lon_step, width, False))
+        on |= on_line("col", extent[2], extent[3], lon_step, width, False)
     return raster.withColumns({b: F.when(on, F.lit(c)).otherwise(F.col(b)) for b, c in zip(_bands(raster), colour, strict=True)})
 
 

@@ -51,6 +51,14 @@ def p1_split_scope(spark, sf_dir):
 P1 = f"SELECT {SCOPE} AS in_scope, count(*) AS n FROM ({planar_sql('lineitem', wide=3.0)}) GROUP BY ALL"
 
 
+def p1_split_scope_down(spark, sf_dir):
+    """The same points against the triangle that points down."""
+    return C.split_scope(planar(spark, sf_dir, "lineitem", wide=3.0), "V").groupBy("in_scope").agg(F.count("*").alias("n"))
+
+
+P1V = f"SELECT y <= {THIRD} AND y > -2.0::double*{THIRD} + abs({num(R.R3)}*x) AS in_scope, count(*) AS n FROM ({planar_sql('lineitem', wide=3.0)}) GROUP BY ALL"
+
+
 def a1_assign_cells(spark, sf_dir):
     cells = A.assign_cells(planar(spark, sf_dir, "orders", ("o_orderkey",)), 12)
     return cells.select("o_orderkey", "digits", "half", "path")
@@ -413,10 +421,10 @@ kids AS (SELECT p.hexagon, k.own, k.hexagon AS canonical, coalesce(n, 0) AS n FR
 SELECT hexagon, count(*) AS halves, count(DISTINCT canonical) AS hexagons, count(DISTINCT CASE WHEN own = canonical THEN canonical END) AS owned, sum(n)::bigint AS n FROM kids GROUP BY ALL"""
 
 
-QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a7_hexagon_children, a7_global_hexagon_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, g10_sketched_cells, w1_adaptive_level, w1_refined_level, w1_global_refined, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, s9_cell_upsert, u1_overlay_levels, u2_changed_cells)}
+QUERIES = {f.__name__: f for f in (a3_global_centroids, a4_global_unravel, w1_global, g3_global, g10_global, j6_global, g1_cell_density, g1_weighted_density, p1_split_scope, p1_split_scope_down, a1_assign_cells, a1_assign_cells_columns, a2_assign_global, a2_assign_places, a3_cell_centroids, a4_unravel, a4_ravel, a7_children, a7_hexagon_children, a7_global_hexagon_children, a8_density_per_area, g2_cell_rollup, g3_cell_cube, g9_quantisation_error, g10_distinct_cells, g10_distinct_cells_approx, g10_sketched_cells, w1_adaptive_level, w1_refined_level, w1_global_refined, w5_top_cells, j4_colocate, j6_canonical_cells, p8_cells_in, s9_cell_store, s9_cell_upsert, u1_overlay_levels, u2_changed_cells)}
 ORACLE_SQL = {
     "a3_global_centroids": A3G, "a4_global_unravel": A4G, "w1_global": W1G, "g3_global": G3G, "g10_global": G10G, "j6_global": J6G, "a7_global_hexagon_children": A7G,
-    "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
+    "g1_cell_density": G1, "g1_weighted_density": G1W, "p1_split_scope": P1, "p1_split_scope_down": P1V, "a1_assign_cells": A1, "a1_assign_cells_columns": A1C, "a2_assign_global": A2, "a2_assign_places": A2P,
     "a3_cell_centroids": A3, "a4_unravel": A4, "a4_ravel": A4R, "a7_children": A7, "a7_hexagon_children": A7H, "a8_density_per_area": A8, "g2_cell_rollup": G2, "g3_cell_cube": G3, "g9_quantisation_error": G9,
     "g10_distinct_cells": G10, "g10_sketched_cells": G10K, "g10_distinct_cells_approx": G10A, "w1_adaptive_level": W1, "w1_refined_level": W1R, "w1_global_refined": W1GR, "w5_top_cells": W5, "j4_colocate": J4, "j6_canonical_cells": J6, "p8_cells_in": P8, "s9_cell_store": S9, "s9_cell_upsert": S9U, "u1_overlay_levels": U1, "u2_changed_cells": U2,
 }

@@ -63,9 +63,12 @@ def p2_rotate_points(spark, sf_dir):
     return moved.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("moved"), 6).alias("moved"))
 
 
-_M = P.rotation(20.0, -35.0, 60.0)
+# Turned about z, then y, then x, each by sine and cosine; the other query's matrix is not used.
 _XYZ = "cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z"
-P2 = f"SELECT c_nationkey, count(*) AS n, round(avg(degrees(acos(greatest(-1.0::double, least(1.0::double, x*({num(_M[0][0])}*x + {num(_M[0][1])}*y + {num(_M[0][2])}*z) + y*({num(_M[1][0])}*x + {num(_M[1][1])}*y + {num(_M[1][2])}*z) + z*({num(_M[2][0])}*x + {num(_M[2][1])}*y + {num(_M[2][2])}*z)))))), 6) AS moved FROM (SELECT c_nationkey, {_XYZ} FROM ({places_sql(extra=('c_nationkey',))})) GROUP BY ALL"
+_Z = f"SELECT *, x*cos(radians(60.0::double)) - y*sin(radians(60.0::double)) AS x1, x*sin(radians(60.0::double)) + y*cos(radians(60.0::double)) AS y1, z AS z1 FROM (SELECT c_nationkey, {_XYZ} FROM ({places_sql(extra=('c_nationkey',))}))"
+_Y = f"SELECT *, x1*cos(radians(-35.0::double)) + z1*sin(radians(-35.0::double)) AS x2, y1 AS y2, z1*cos(radians(-35.0::double)) - x1*sin(radians(-35.0::double)) AS z2 FROM ({_Z})"
+_X = f"SELECT *, x2 AS x3, y2*cos(radians(20.0::double)) - z2*sin(radians(20.0::double)) AS y3, y2*sin(radians(20.0::double)) + z2*cos(radians(20.0::double)) AS z3 FROM ({_Y})"
+P2 = f"SELECT c_nationkey, count(*) AS n, round(avg(degrees(acos(greatest(-1.0::double, least(1.0::double, x*x3 + y*y3 + z*z3))))), 6) AS moved FROM ({_X}) GROUP BY ALL"
 
 
 def _on_sphere(df: DataFrame) -> DataFrame:
@@ -101,24 +104,38 @@ _of_sql = lambda name, key, alias: f"SELECT {key} AS {alias}, {', '.join(e.forma
 J1C = _nearest_sql(_of_sql("supplier", "s_suppkey", "query_id"), _of_sql("customer", "c_custkey", "point_id"), 5, 8)
 
 
+def _pairs(spark, sf_dir):
+    e = lambda k: f"CAST(embedding[{k}] AS DOUBLE)"
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", *[f"{e(k)} AS u{c}" for k, c in enumerate("xyz")], f"{e(1)} + 0.01D*{e(3)} AS vx", f"{e(2)} + 0.01D*{e(4)} AS vy", f"{e(0)} + 0.01D*{e(5)} AS vz")
+
+
 def g7_fit_rotation(spark, sf_dir):
     """A matrix fitted to directions and their noisy images."""
-    e = lambda k: f"CAST(embedding[{k}] AS DOUBLE)"
-    rows = table(spark, sf_dir, "embeddings").selectExpr(*[f"{e(k)} AS u{c}" for k, c in enumerate("xyz")], f"{e(1)} + 0.01D*{e(3)} AS vx", f"{e(2)} + 0.01D*{e(4)} AS vy", f"{e(0)} + 0.01D*{e(5)} AS vz")
-    out = P.fit_rotation(rows)
+    out = P.fit_rotation(_pairs(spark, sf_dir))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-def _g7() -> str:
+def g7_rotation_residuals(spark, sf_dir):
+    """How far each image is from where the fitted matrix puts it."""
+    pairs = _pairs(spark, sf_dir)
+    out = P.rotation_residuals(pairs, P.fit_rotation(pairs))
+    return out.select("vec_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("rx", "ry", "rz", "residual")])
+
+
+def _g7(each: bool = False) -> str:
     e = lambda k: f"embedding[{k + 1}]::double"
-    rows = f"SELECT {', '.join(f'{e(k)} AS u{c}' for k, c in enumerate('xyz'))}, {e(1)} + 0.01::double*{e(3)} AS vx, {e(2)} + 0.01::double*{e(4)} AS vy, {e(0)} + 0.01::double*{e(5)} AS vz FROM embeddings"
+    rows = f"SELECT vec_id, {', '.join(f'{e(k)} AS u{c}' for k, c in enumerate('xyz'))}, {e(1)} + 0.01::double*{e(3)} AS vx, {e(2)} + 0.01::double*{e(4)} AS vy, {e(0)} + 0.01::double*{e(5)} AS vz FROM embeddings"
     sums = ", ".join([f"sum(u{a}*u{b}) AS a{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")] + [f"sum(v{a}*u{b}) AS b{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")])
     cof = lambda m, i, j: f"({m}{(i + 1) % 3}{(j + 1) % 3}*{m}{(i + 2) % 3}{(j + 2) % 3} - {m}{(i + 1) % 3}{(j + 2) % 3}*{m}{(i + 2) % 3}{(j + 1) % 3})"
     det = lambda m: f"({m}00*{cof(m, 0, 0)} + {m}01*{cof(m, 0, 1)} + {m}02*{cof(m, 0, 2)})"
     inv = ", ".join(f"{cof('a', j, i)}/{det('a')} AS i{i}{j}" for i in range(3) for j in range(3))
     fit = ", ".join("+".join(f"b{i}{k}*i{k}{j}" for k in range(3)) + f" AS m{i}{j}" for i in range(3) for j in range(3))
     residual = " + ".join(f"pow(v{c} - (m{i}0*ux + m{i}1*uy + m{i}2*uz), 2)" for i, c in enumerate("xyz"))
-    return f"WITH r AS ({rows}), s AS (SELECT {sums} FROM r), i AS (SELECT *, {inv} FROM s), f AS (SELECT {fit} FROM i) SELECT {', '.join(f'round(any_value(m{i}{j}), 6) AS m{i}{j}' for i in range(3) for j in range(3))}, round(any_value({det('m')}), 6) AS determinant, round(sqrt(avg({residual})), 6) AS rms FROM r, f"
+    fitted = f"WITH r AS ({rows}), s AS (SELECT {sums} FROM r), i AS (SELECT *, {inv} FROM s), f AS (SELECT {fit} FROM i)"
+    off = {c: f"(v{c} - (m{i}0*ux + m{i}1*uy + m{i}2*uz))" for i, c in enumerate("xyz")}
+    if each:
+        return f"{fitted} SELECT vec_id, {', '.join(f'round({o}, 6) + 0 AS r{c}' for c, o in off.items())}, round(sqrt({' + '.join(f'{o}*{o}' for o in off.values())}), 6) AS residual FROM r, f"
+    return f"{fitted} SELECT {', '.join(f'round(any_value(m{i}{j}), 6) AS m{i}{j}' for i in range(3) for j in range(3))}, round(any_value({det('m')}), 6) AS determinant, round(sqrt(avg({residual})), 6) AS rms FROM r, f"
 
 
 # -- meshes --------------------------------------------------------------------------------------------
@@ -493,5 +510,5 @@ def _a6(digits: int = 3) -> str:
     return sql + " SELECT hx, hy, district, label FROM l" + str(digits)
 
 
-QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m1_euler, w3_mesh_edges, j5_indexed_spread, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, g4_colour_tiles, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
-ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "g4_colour_mesh": G4, "g4_colour_tiles": G4, "m1_euler": M1E, "w3_mesh_edges": W3E, "j5_indexed_spread": J5I, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
+QUERIES = {f.__name__: f for f in (s1_read_points, s2_profile_points, s6_grid_to_points, p2_rotate_points, j1_nearest, j1_nearest_city, g7_fit_rotation, g7_rotation_residuals, j5_check_equilateral, j5_mesh_spread, m1_subdivide, m1_euler, w3_mesh_edges, j5_indexed_spread, m2_subdivide_triangles, s4_read_polyhedron, s4_map_grids, g4_colour_mesh, g4_colour_tiles, w3_polygon_edges, m4_warp_octahedron, m4_warp_distortion, m5_slerp_vs_chord, w4_best_fit, m6_cover, m6_canvas_cover, m7_cover6, m8_hex_neighbours, m8_nested_axial, a6_grid_labels, a6_labels_at_level)}
+ORACLE_SQL = {"s1_read_points": _S1, "s2_profile_points": S2, "s6_grid_to_points": S6, "p2_rotate_points": P2, "j1_nearest": J1, "j1_nearest_city": J1C, "g7_fit_rotation": _g7(), "g7_rotation_residuals": _g7(True), "j5_check_equilateral": J5, "j5_mesh_spread": J5M, "m2_subdivide_triangles": M2, "s4_read_polyhedron": S4, "s4_map_grids": S4G, "g4_colour_mesh": G4, "g4_colour_tiles": G4, "m1_euler": M1E, "w3_mesh_edges": W3E, "j5_indexed_spread": J5I, "w3_polygon_edges": W3, "m4_warp_octahedron": _m4(), "m4_warp_distortion": _m4_distortion(), "m5_slerp_vs_chord": M5, "w4_best_fit": W4, "m6_cover": M6, "m6_canvas_cover": M6C, "m7_cover6": M7, "m8_hex_neighbours": M8, "m8_nested_axial": M8N, "a6_grid_labels": _a6(), "a6_labels_at_level": _a6(2)}
