@@ -13,9 +13,9 @@ from .addressing import _half_children, _kernel, _owned, _per_cell, centres
 
 
 def octahedral(x: Column, y: Column, z: Column) -> list[Column]:
-    """Shares of a direction's three octant corners: |x|, |y|, |z| over their sum."""
+    """Shares of a direction's three octant corners: |x|, |y|, |z| over their sum; null for a zero direction."""
     total = F.abs(x) + F.abs(y) + F.abs(z)
-    return [F.abs(c) / total for c in (x, y, z)]
+    return [F.abs(c) / F.when(total > 0, total) for c in (x, y, z)]
 
 
 def assign_global(points: DataFrame, level: int, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
