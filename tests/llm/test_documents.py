@@ -51,9 +51,9 @@ def test_symbols_are_judged_by_the_source(spark):
     """A source that always has symbols keeps its texts; one that never has loses the same texts, and keeps
     texts with a few symbols."""
     plain = lambda k: " ".join(f"w{k:04}x{i}" for i in range(120))
-    many = lambda k: " ".join(f"w{k:04}x{i} #" for i in range(100 + k % 40))
+    many = lambda k: " ".join(f"w{k:04}x{i}" + " #" * (i % (2 + k % 3) > 0) for i in range(120))
     few = lambda k: plain(k) + " 50% & $3 #1"
-    rows = [(k, plain(k), "en", "prose") for k in range(400)] + [(1000 + k, many(k), "en", "code") for k in range(400)]
+    rows = [(10_000 + k, plain(k), "en", "prose") for k in range(2500)] + [(20_000 + k, many(k), "en", "code") for k in range(2500)]
     rows += [(2000 + k, many(5000 + k), "en", "prose") for k in range(5)] + [(3000 + k, many(5000 + k), "en", "code") for k in range(5)] + [(4000 + k, few(6000 + k), "en", "prose") for k in range(5)]
     found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(kept for k, kept in found.items() if 2000 <= k < 3000)
@@ -457,3 +457,22 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, last, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in last.collect()}
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_pipeline_of_odd_rows_and_of_nothing(spark, odd_docs, tmp_path, kind):
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    (docs if kind == "odd" else docs.limit(0)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert not {1, 2, 3} & {r["doc_id"] for r in rows}  # null, empty and blank texts leave
+    by_sequence: dict = {}
+    for r in rows:
+        assert 1 <= r["length"] <= 1024
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by_sequence.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert kind == "odd" or not rows
