@@ -84,7 +84,8 @@ def resize(raster: DataFrame, scale: float, height: int, width: int) -> DataFram
     new_h, new_w = int(scale * height), int(scale * width)
 
     def targets(v: Column, old: int, new: int) -> Column:
-        # Candidates around v * new / old, kept if the copy's source is v.
+        # Candidates around v * new / old, kept if the copy's source is v; products are long.
+        v = v.cast("long")
         low = F.greatest(F.lit(0), F.floor(v * new / old) - 1).cast("int")
         high = F.least(F.lit(new - 1), F.ceil((v + 1) * new / old)).cast("int")
         return F.filter(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda t: F.least(F.lit(old - 1), F.floor(t * (old / new))) == v)
