@@ -340,7 +340,8 @@ SIX = [
 
 
 def district_pixels(hexes: DataFrame, layout: str, height: int, width: int, inverted: bool = False, scatter: bool = False) -> DataFrame:
-    """For hexes (hx, hy): district, k and the row and col of its triangle pixels, clamped."""
+    """For hexes (hx, hy): district, k and the row and col of its triangle pixels, clamped. Rows that name
+    a district themselves get that one only, and keep their other columns."""
     table = NINE if layout == "9" else SIX
     offsets = hexes.sparkSession.createDataFrame([(d, k, x, y) for d, ps in enumerate(table) for k, (x, y) in enumerate(ps)], "district int, k int, dx int, dy int")
     if layout == "9":
@@ -349,8 +350,10 @@ def district_pixels(hexes: DataFrame, layout: str, height: int, width: int, inve
     else:
         tx, ty = F.col("hx") * 6, F.col("hy") * 6
     low = (lambda v, n: _clamp(v, n)) if layout == "9" else (lambda v, n: F.least(F.lit(n - 1), v).cast("int"))
-    placed = hexes.crossJoin(F.broadcast(offsets))
-    return placed.select("hx", "hy", "district", "k", low(ty + F.col("dy"), height).alias("row"), low(tx + F.col("dx"), width).alias("col"))
+    named = "district" in hexes.columns
+    placed = hexes.join(F.broadcast(offsets), "district") if named else hexes.crossJoin(F.broadcast(offsets))
+    kept = [c for c in hexes.columns if c not in ("hx", "hy", "district")] if named else []
+    return placed.select("hx", "hy", "district", "k", *kept, low(ty + F.col("dy"), height).alias("row"), low(tx + F.col("dx"), width).alias("col"))
 
 
 def tri_to_district(raster: DataFrame, hexes: DataFrame, layout: str, height: int, width: int, inverted: bool = False) -> DataFrame:
@@ -361,10 +364,11 @@ def tri_to_district(raster: DataFrame, hexes: DataFrame, layout: str, height: in
 
 def district_to_tri(colours: DataFrame, height: int, width: int) -> DataFrame:
     """Districts (hx, hy, district, bands) to triangle pixels; where several write, the last one in
-    order of hy, hx, district and pixel wins."""
+    order of hy, hx, district and pixel wins.
+
+    Each district gives its own three pixels, without a shuffle; the only one is of pixels."""
     bands = [c for c in colours.columns if c not in ("hx", "hy", "district")]
-    at = district_pixels(colours.select("hx", "hy").distinct(), "9", height, width, scatter=True)
-    rows = at.join(colours, ["hx", "hy", "district"])
+    rows = district_pixels(colours.filter("hx IS NOT NULL AND hy IS NOT NULL"), "9", height, width, scatter=True)
     last = rows.groupBy("row", "col").agg(F.max_by(F.struct(*bands), F.struct("hy", "hx", "district", "k")).alias("v"))
     return last.select("row", "col", *[F.col(f"v.{b}").alias(b) for b in bands])
 

@@ -16,6 +16,8 @@ from .sql import RASTER_SQL, RASTER_WIDTH, num, places, places_sql, raster, rast
 
 W = RASTER_WIDTH
 EXTENT = (-90.0, 90.0, -180.0, 180.0)
+#: Pixels of a task, about, where few rows make many pixels.
+TASK_PIXELS = 500_000
 
 
 def _full(spark: SparkSession, sf_dir: str, width: int = W) -> tuple[DataFrame, int]:
@@ -336,6 +338,8 @@ WHERE img.col = greatest(0, least({width - 1}, hx*{step} + dx)) AND img."row" =
 def g6_district_to_tri(spark, sf_dir):
     image, height = _full(spark, sf_dir)
     hexes = image.select(F.expr("CAST(col div 9 AS INT)").alias("hx"), F.expr("CAST(row div 6 AS INT)").alias("hy")).distinct()
+    # A hex makes 54 rows, so the few bytes of hexes are dealt by the pixels they become.
+    hexes = hexes.repartition(max(spark.sparkContext.defaultParallelism, -(-height * W // TASK_PIXELS)), "hx", "hy")
     colours = hexes.withColumn("district", F.explode(F.sequence(F.lit(0), F.lit(17)))).selectExpr("hx", "hy", "district", "(hx*7 + hy*13 + district) % 256 AS r", "(hx + hy*3 + district*11) % 256 AS g", "(hx*district + hy) % 256 AS b")
     return X.district_to_tri(colours, height, W)
 
