@@ -437,7 +437,7 @@ def m6_canvas_cover(spark, sf_dir):
     """The districts on a canvas with room for a hex for each order."""
     side = math.ceil(table(spark, sf_dir, "orders").count() ** 0.5)
     width, height = M.size_for(side, side, _A)
-    return _district_rows(M.cover(M.canvas_hexes(spark, width, height, _A), width, height, _A))
+    return M.canvas_cover(spark, width, height, _A, 4)
 
 
 def m7_cover6(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ninefold.operators import mesh as M
 from ninefold.operators import raster as X
 from ninefold.plans import raster_queries as Q
 
@@ -29,3 +30,15 @@ def test_tasks_do_not_grow_with_the_raster(spark, sf_dir, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan
     height = -(-spark.read.parquet(f"{sf_dir}/orders.parquet").count() // Q.W)
     assert f", {-(-height * Q.W // 100)})" in plan
+
+
+def test_canvas_is_covered_by_columns_and_rows(spark):
+    for columns, rows, a in ((1, 1, 9.0), (5, 8, 9.0), (12, 7, 2.5)):
+        width, height = M.size_for(columns, rows, a)
+        polygons = M.cover(M.canvas_hexes(spark, width, height, a), width, height, a)
+        whole = {tuple(r) for r in polygons.select("hx", "hy", "district", *[F.round(F.col("polygon")[k][i], 4) + F.lit(0.0) for k in range(4) for i in range(2)]).collect()}
+        out = M.canvas_cover(spark, width, height, a, 4)
+        found = out.collect()
+        assert whole and len(found) == len(whole) and {tuple(r) for r in found} == whole
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "round" not in plan[: plan.index("Join")]  # no corner is rounded for each district of the canvas
