@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import prefix
@@ -38,3 +38,15 @@ def estimates(sketches: DataFrame, ranks: list[float]) -> DataFrame:
     """level, cell, n, distinct and quantiles (an array, by rank) of each row of sketches."""
     quantiles = F.array(*[F.kll_sketch_get_quantile_double("amounts", F.lit(float(r))) for r in ranks])
     return sketches.select("level", "cell", "n", F.hll_sketch_estimate("items").alias("distinct"), quantiles.alias("quantiles"))
+
+
+def first_levels(cells: DataFrame, item: str, level: int, root: bool = False) -> DataFrame:
+    """The rows with first_level: the first level whose cell no row before them, of the same item and in
+    order of paths, lies in (level + 1 if there is none). Paths of one cell follow each other in that
+    order, so a cell of any level has as many different items as rows whose first_level is not beyond it:
+    one sort stands for a distinct of cells and items at each level. Rows without an item have none."""
+    before = F.lag(prefix(level, root=root)).over(Window.partitionBy(item).orderBy(prefix(level, root=root)))
+    rows = cells.withColumn("__before", before)
+    shared = lambda k: (prefix(k, root=root) == prefix(k, "__before", root)).cast("int")
+    depth: Column = sum((F.coalesce(shared(k), F.lit(0)) for k in range(2, level + 1)), F.coalesce(shared(1), F.lit(0)))
+    return rows.withColumn("first_level", F.when(F.col(item).isNotNull(), depth + 1)).drop("__before")

@@ -214,10 +214,11 @@ def g10_sketched_cells(spark, sf_dir):
     path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
     K.sketch_cells(cells, 4, "o_custkey", "o_totalprice").write.parquet(path)
     found = K.estimates(K.merge_up(spark.read.parquet(path), 4, SKETCHED), [0.25, 0.5, 0.9])
-    each = cells.select(F.explode(F.array(*map(F.lit, SKETCHED))).alias("level"), "path", "o_custkey", "o_totalprice").withColumn("cell", F.expr("substring(path, 1, 2 * level)"))
+    firsts = K.first_levels(cells, "o_custkey", 4)
+    each = firsts.select(F.explode(F.array(*map(F.lit, SKETCHED))).alias("level"), "path", "first_level", "o_totalprice").withColumn("cell", F.expr("substring(path, 1, 2 * level)"))
     exact = each.join(found, ["level", "cell"])
     below = [F.avg((F.col("o_totalprice") <= F.col("quantiles")[k]).cast("double")) for k in range(3)]
-    rows = exact.groupBy("level", "cell").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.first("n").alias("n_"), F.first("distinct").alias("distinct"), F.greatest(*[F.abs(b - q) for b, q in zip(below, (0.25, 0.5, 0.9), strict=True)]).alias("off"))
+    rows = exact.groupBy("level", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("first_level") <= F.col("level")).alias("customers"), F.first("n").alias("n_"), F.first("distinct").alias("distinct"), F.greatest(*[F.abs(b - q) for b, q in zip(below, (0.25, 0.5, 0.9), strict=True)]).alias("off"))
     close = (F.col("n") == F.col("n_")) & (F.abs(F.col("distinct") - F.col("customers")) <= 0.08 * F.col("customers")) & (F.col("off") <= 0.04 + 1 / F.col("n"))
     return rows.select("level", "cell", "n", "customers", close.alias("within_bounds"))
 

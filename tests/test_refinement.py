@@ -55,3 +55,14 @@ def test_sketches_merge_to_what_one_pass_gives(cells):
 
 def test_sketches_of_nothing(cells):
     assert K.merge_up(K.sketch_cells(cells.limit(0), 5, "l_orderkey", "l_extendedprice"), 5, [1, 2]).count() == 0
+
+
+def test_items_are_counted_by_first_levels(cells):
+    odd = cells.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 10 > 0, F.col("l_orderkey") % 200))
+    rows = K.first_levels(odd, "l_orderkey", 5)
+    plan = rows.groupBy(C.prefix(5).alias("cell")).agg(F.count_if(F.col("first_level") <= 5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert rows.count() == odd.count()
+    for level in (1, 3, 5):
+        exact = {tuple(r) for r in odd.groupBy(C.prefix(level).alias("cell")).agg(F.count_distinct("l_orderkey")).collect()}
+        assert exact == {tuple(r) for r in rows.groupBy(C.prefix(level).alias("cell")).agg(F.count_if(F.col("first_level") <= level)).collect()}
