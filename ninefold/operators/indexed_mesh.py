@@ -13,6 +13,8 @@ from ninefold.functions.storage import checkpointed
 from .mesh import CHILD_TRIANGLES, MAX_DEPTH, _angle
 
 _XYZ = ("x", "y", "z")
+#: Faces of a partition after a level, about.
+TASK_FACES = 500_000
 
 
 @dataclass
@@ -72,7 +74,8 @@ def subdivide_indexed(mesh: Mesh, depth: int) -> Mesh:
     edge, from its smaller vertex on, so faces on both sides have the same vertices and not only equal ones.
 
     A level is one pass over distinct edges and one over faces, and is checkpointed: its numbers are
-    given out by place, level and kind, so they must not change if an executor is lost."""
+    given out by place, level and kind, so they must not change if an executor is lost. A face becomes
+    nine, so faces are dealt by what they become, and partitions do not grow with the mesh."""
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be from 0 to {MAX_DEPTH}")
     vertices, faces = mesh.vertices, mesh.faces
@@ -95,6 +98,8 @@ def subdivide_indexed(mesh: Mesh, depth: int) -> Mesh:
             rows = rows.join(named, on).withColumns({f"near{k}": F.when(F.col(u) < F.col(v), F.col("__1")).otherwise(F.col("__2")), f"far{k}": F.when(F.col(u) < F.col(v), F.col("__2")).otherwise(F.col("__1"))}).drop("__m", "__l", "__h", "__1", "__2")
         ten = [F.col(c) for c in ("centre", "v0", "near0", "far0", "v1", "near1", "far1", "v2", "near2", "far2")]
         kids = F.array(*[F.struct(F.lit(str(n)).alias("n"), *[ten[c].alias(f"v{m}") for m, c in enumerate(corners)]) for n, corners in enumerate(CHILD_TRIANGLES)])
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-whole.count() * len(CHILD_TRIANGLES) // TASK_FACES))
+        rows = rows.repartition(parts, "map", "name", "path")
         faces = checkpointed(rows.select("map", "name", "path", F.explode(kids).alias("c")).select("map", "name", F.concat("path", "c.n").alias("path"), "c.v0", "c.v1", "c.v2"))
         vertices = checkpointed(vertices.unionByName(placed).unionByName(centres))
     return Mesh(vertices, faces)

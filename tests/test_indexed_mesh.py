@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from ninefold.operators import indexed_mesh as I
 from ninefold.operators import mesh as M
@@ -46,3 +47,10 @@ def test_odd_meshes(spark, solids):
     assert I.counts(I.subdivide_indexed(I.Mesh(solids.vertices, solids.faces.limit(0)), 1)).filter("faces > 0").count() == 0
     with pytest.raises(ValueError, match="depth"):
         I.subdivide_indexed(solids, 99)
+
+
+def test_partitions_do_not_grow_with_the_mesh(solids, monkeypatch):
+    monkeypatch.setattr(I, "TASK_FACES", 100)
+    faces = I.subdivide_indexed(solids, 2).faces
+    sizes = [r["n"] for r in faces.selectExpr("spark_partition_id() AS p").groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 28 * 81 and len(sizes) >= 15 and max(sizes) <= 400
