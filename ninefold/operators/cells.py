@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ninefold.functions import rules as R
 from ninefold.functions.storage import checkpointed
@@ -72,29 +78,74 @@ def adaptive_level(cells: DataFrame, key: str, max_level: int, root: bool = Fals
     return cells.select(key).join(alone, key, "left")
 
 
+def _shared_levels(rows: DataFrame, key: str, level: int, root: bool) -> DataFrame:
+    """The rows (with the path of a cell of the level) without path, with __shared: the deepest level,
+    0 if none, at which a row's cell holds another row.
+
+    In the order of paths that other row stands next to it, so rows are dealt by ranges, sorted and
+    compared with their neighbours. Ranges cut crowded cells too, so no part holds a cell whole. The
+    first and the last row of each part are compared again, across parts."""
+    kept = [f for f in rows.schema if f.name != "path"]
+    names, width = [f.name for f in kept], 2 * level + int(root)
+    schema = T.StructType([*kept, T.StructField("__shared", T.IntegerType()), T.StructField("__edge", T.StringType()), T.StructField("__part", T.IntegerType()), T.StructField("__last", T.BooleanType())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def compared(batch: pa.RecordBatch, before: bytes | None, after: bytes | None) -> pa.RecordBatch:
+            own = batch.column("__path").to_numpy(zero_copy_only=False).astype(f"S{width}")
+            around = np.concatenate([[before or b""], own, [after or b""]]).astype(f"S{width}").view(np.uint8).reshape(-1, width)
+            same = around[1:] == around[:-1]
+            alike = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            shared = np.maximum(np.maximum(alike[1:], alike[:-1]) - int(root), 0) // 2
+            edge = np.full(len(own), None, object)
+            if before is None:
+                edge[0] = own[0].decode()
+            if after is None:
+                edge[-1] = own[-1].decode()
+            last = (np.arange(len(own)) == len(own) - 1) & (after is None)
+            return pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(shared, pa.int32()), pa.array(edge, pa.string()), pa.array(np.full(len(own), part), pa.int32()), pa.array(last)], schema.names)
+
+        held = before = None
+        for batch in filter(len, source):
+            if held is not None:
+                yield compared(held, before, batch.column("__path")[0].as_py().encode())
+                before = held.column("__path")[-1].as_py().encode()
+            held = batch
+        if held is not None:
+            yield compared(held, before, None)
+
+    # All letters of one byte, so that a level has two bytes in every path.
+    placed = checkpointed(rows.withColumn("__path", F.translate("path", "Λ", "A")).drop("path"))
+    done = checkpointed(placed.repartitionByRange("__path", key).sortWithinPartitions("__path", key).mapInArrow(run, schema))
+    in_order = Window.orderBy("__part", "__last")  # two rows a part
+    alike = lambda other: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.lit(level)), lambda k: F.substring("__edge", F.lit(1), 2 * k + int(root)) == F.substring(other, F.lit(1), 2 * k + int(root)))), F.lit(0))
+    edges = done.filter("__edge IS NOT NULL").withColumns({"__before": F.lag("__edge").over(in_order), "__after": F.lead("__edge").over(in_order)})
+    edges = edges.withColumn("__shared", F.greatest("__shared", alike("__before"), alike("__after")))
+    return done.filter("__edge IS NULL").select(*names, "__shared").unionByName(edges.select(*names, "__shared"))
+
+
 def refined_level(points: DataFrame, key: str, address, step: int = 6, max_level: int = R.MAX_LEVEL, root: bool = False) -> DataFrame:
     """adaptive_level without a level to guess: key and level, null where points never part.
 
     address(points, level) gives points their path. All points are addressed to the first `step` levels;
     those that still share a cell then, and no others, are addressed `step` levels deeper, and so on to
     max_level. A point that is alone shares no deeper cell either, so those that are left suffice.
-    Points in one place with others can never part: one of each place goes on, and its own answer counts
-    only if it stands there alone. Rounds are checkpointed. Keys must be unique; points without an
-    address have a null level."""
+    Points in one place with others can never part: one of each place goes on while another place shares
+    its cell, and its own answer counts only if it stands there alone. A round addresses its points once
+    and sorts them once. Rounds are checkpointed. Keys must be unique; points without an address have a
+    null level."""
     kept = checkpointed(points)
     columns = [c for c in kept.columns if c != key]
     places = kept.groupBy(*columns).agg(F.count("*").alias("__n"), F.min(key).alias(key))
-    # Two points stand for a place that holds several, so that they stay together to the last level.
-    left = checkpointed(places.filter("__n > 1").withColumn("__alone", F.lit(False)).unionByName(places.filter("__n = 1").withColumn("__alone", F.lit(True))).drop("__n"))
+    left = places.withColumn("__alone", F.col("__n") == 1).drop("__n")
     out = None
     for last in range(step, max_level + step, step):
         level = min(last, max_level)
-        found = address(left, level).filter("path IS NOT NULL")
-        twice = found.unionByName(found.filter("NOT __alone"))
-        first = adaptive_level(twice, key, level, root, level - (step if last <= max_level else max_level - (last - step)) + 1).filter("level IS NOT NULL")
-        parted = checkpointed(first)
+        found = _shared_levels(address(left, level).filter("path IS NOT NULL").select(*columns, key, "__alone", "path"), key, level, root)
+        parted = found.filter((F.col("__shared") < level) & F.col("__alone")).select(key, (F.col("__shared") + 1).alias("level"))
         out = parted if out is None else out.unionByName(parted)
-        left = checkpointed(left.join(parted.select(key), key, "left_anti"))
+        left = found.filter(F.col("__shared") >= level).drop("__shared")
         if left.filter("__alone").isEmpty():
             break
     return kept.select(key).join(out, key, "left")

@@ -66,3 +66,37 @@ def test_items_are_counted_by_first_levels(cells):
     for level in (1, 3, 5):
         exact = {tuple(r) for r in odd.groupBy(C.prefix(level).alias("cell")).agg(F.count_distinct("l_orderkey")).collect()}
         assert exact == {tuple(r) for r in rows.groupBy(C.prefix(level).alias("cell")).agg(F.count_if(F.col("first_level") <= level)).collect()}
+
+
+def test_neighbours_of_other_partitions_count(spark):
+    """Rows in one row each of many parts, in crowded cells cut by ranges, and many places shared by several."""
+    rows = [(k, 0.1 + (k % 40) * 10.0 ** -(3 + k % 5), 0.05, "021") for k in range(120)] + [(200 + k, 0.2 + k * 1e-8, 0.1, "021") for k in range(60)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, c2 string").repartition(7)
+    whole = C.adaptive_level(A.assign_cells(points, 30), "id", 30).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "150"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(C.refined_level(points, "id", A.assign_cells).collect()) == sorted(whole)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_round_addresses_its_points_once(spark):
+    """Places that hold several points leave with the round in which no other place shares their cell."""
+    points = spark.createDataFrame([(k, 0.1 + 0.02 * (k // 2), 0.05, "021") for k in range(20)] + [(50, 0.2, 0.2, "021"), (51, 0.2 + 1e-9, 0.2, "021")], "id long, x double, y double, c2 string")
+    rows = spark.sparkContext.accumulator(0)
+
+    def address(some, level):
+        def counted(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return A.assign_cells(some.mapInArrow(counted, some.schema), level)
+
+    found = {r["id"]: r["level"] for r in C.refined_level(points, "id", address).collect()}
+    assert all(found[k] is None for k in range(20)) and found[50] == found[51] > 12
+    assert rows.value == 12 + 2 * (-(-found[50] // 6) - 1)
