@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def test_few_points_and_odd_rows(spark):
     assert spatial.nearest(odd, table(spark, points, "point_id")).count() == 0
     assert spatial.nearest(table(spark, queries, "query_id"), table(spark, points, "point_id").filter("false")).count() == 0
     assert spatial.nearest(table(spark, queries, "query_id").filter("false"), table(spark, points, "point_id")).count() == 0
+
+
+def test_leaves_lie_close_together(spark, small):
+    """On even points, few boxes hold a place, as leaves are stretches of a curve without jumps."""
+    points = list(enumerate(on_sphere(random.Random(3), 4000, 48.85, 2.35, 0.01)))
+    tree = spatial.build_tree(table(spark, points, "point_id"), 5)
+    known = spatial._known(table(spark, points[:400], "query_id"), "query_id")
+    assert all(r["n"] >= 1 for r in spatial._own_leaf(known, tree, "query_id").groupBy("query_id").agg(F.count("*").alias("n")).collect())
+    first = spatial._own_leaf(known, tree, "query_id").join(tree.leaves, "leaf").filter(F.exists("points", lambda p: p["id"] == F.col("query_id")))
+    assert first.count() == 400  # each opens the leaf that holds it
+    counts = sorted(r["count"] for r in spatial.candidate_leaves(table(spark, points[:400], "query_id"), tree, 5).filter("near = 0").groupBy("query_id").count().collect())
+    assert len(counts) == 400 and sum(counts) <= 5 * 400 and counts[-1] <= 20
+
+
+def test_the_curve_has_no_jumps():
+    """Places that follow each other on the curve touch, on both halves of the sphere."""
+    side = 64
+    for south in (1, -1):
+        u, v = (a.ravel() for a in np.meshgrid(*[(np.arange(-side, side) + 0.5) / side] * 2))
+        inside = np.abs(u) + np.abs(v) < 1
+        u, v = u[inside], v[inside]
+        w = south * (1 - np.abs(u) - np.abs(v))
+        order = np.argsort(spatial.curve_places(u, v, w))
+        step = np.abs(np.diff(u[order])) + np.abs(np.diff(v[order]))
+        assert np.mean(step < 1.5 / side) > 0.9
+    assert list(spatial.curve_places(*np.array([[0.0, np.nan, np.inf, 1.0]] * 3))[:3]) == [-1, -1, -1]
