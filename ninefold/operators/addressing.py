@@ -63,30 +63,36 @@ def walk(x: np.ndarray, y: np.ndarray, code: np.ndarray, level: int, first_secto
     return digits, codes
 
 
-def _text(digits: np.ndarray, codes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """digits, half and path as strings."""
+_TEXTS = ("digits", "half", "path")
+
+
+def _text(digits: np.ndarray, codes: np.ndarray, wanted: tuple[str, ...] = _TEXTS) -> list[pa.Array]:
+    """digits, half and path, or those that are wanted, as strings."""
     n, level = digits.shape
     letters = np.where(codes // 3 == 0, ord("Λ"), ord("V")).astype(np.uint32)
     path = np.empty((n, 2 * level), np.uint32)
     path[:, 0::2], path[:, 1::2] = digits + 48, letters
     as_text = lambda a: pa.array(np.ascontiguousarray(a.astype(np.uint32)).view(f"<U{a.shape[1]}").reshape(-1), pa.string())
-    return as_text(digits + np.uint32(48)), as_text(letters[:, -1:]), as_text(path)
+    made = {"digits": lambda: digits + np.uint32(48), "half": lambda: letters[:, -1:], "path": lambda: path}
+    return [as_text(made[n]()) for n in wanted]
 
 
-def assign_cells(points: DataFrame, level: int, x: str = "x", y: str = "y", c2: str | Column = "c2") -> DataFrame:
-    """The points with digits, half and path of their cell in one triangle (null where x or y is null).
+def assign_cells(points: DataFrame, level: int, x: str = "x", y: str = "y", c2: str | Column = "c2", only: tuple[str, ...] | None = None) -> DataFrame:
+    """The points with digits, half and path of their cell in one triangle (null where x or y is null);
+    with `only`, these columns and no others come back from Python.
 
     An Arrow kernel over whole batches; it needs no shuffle and reads x, y and c2 only. Columns named
     digits, half or path are replaced."""
     if not 1 <= level <= R.MAX_LEVEL:
         raise ValueError(f"level must be from 1 to {R.MAX_LEVEL}")
     code = F.array_position(F.array(*map(F.lit, R.C2)), F.col(c2) if isinstance(c2, str) else c2).cast("int") - 1
-    return _kernel(points.drop("digits", "half", "path").withColumn("__code", code), level, x, y, None)
+    return _kernel(points.drop("digits", "half", "path").withColumn("__code", code), level, x, y, None, only)
 
 
-def _kernel(points: DataFrame, level: int, x: str, y: str, root: str | None) -> DataFrame:
-    kept = [f for f in points.schema if f.name != "__code"]
-    schema = T.StructType(kept + [T.StructField(n, T.StringType()) for n in ("digits", "half", "path")])
+def _kernel(points: DataFrame, level: int, x: str, y: str, root: str | None, only: tuple[str, ...] | None = None) -> DataFrame:
+    kept = [f for f in points.schema if f.name != "__code" and (only is None or f.name in only)]
+    wanted = tuple(n for n in _TEXTS if only is None or n in only)
+    schema = T.StructType(kept + [T.StructField(n, T.StringType()) for n in wanted])
     names = points.columns
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +101,7 @@ def _kernel(points: DataFrame, level: int, x: str, y: str, root: str | None) ->
             px, py, code = (column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in (x, y, "__code"))
             known = np.isfinite(px) & np.isfinite(py) & ~np.isnan(code) & (code >= 0)
             digits, codes = walk(np.where(known, px, 0.0), np.where(known, py, 0.0), np.where(known, code, 0), level, root is not None)
-            texts = list(_text(digits, codes))
+            texts = _text(digits, codes, wanted)
             if root is not None:  # the root's name stands for the first digit
                 name = column(root)
                 rest = [pa.compute.utf8_slice_codeunits(t, 1) for t in (texts[0], texts[2])]

@@ -262,9 +262,8 @@ W5 = global_sql(level=3) + "SELECT * FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def j4_colocate(spark, sf_dir):
-    a = _cells(spark, sf_dir, 6, "orders", ("o_orderkey",))
-    b = _cells(spark, sf_dir, 6, "events", ("event_id",))
-    return C.colocate(a.drop("x", "y", "c2"), b.drop("x", "y", "c2"), 6)
+    cells = lambda name, key: A.assign_cells(planar(spark, sf_dir, name, (key,)), 6, only=(key, "path"))
+    return C.colocate(cells("orders", "o_orderkey"), cells("events", "event_id"), 6)
 
 
 J4 = _walk(6, "orders", ("o_orderkey",)) + ", b AS (" + walk_sql(planar_sql("events", ("event_id",)), 6, ("event_id",), tag="2") + "SELECT * FROM cells2 WHERE lvl = 6) SELECT c.o_orderkey, b.event_id, c.path AS cell FROM cells c JOIN b USING (path) WHERE c.lvl = 6"

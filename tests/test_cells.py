@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ninefold.operators import addressing as A
 from ninefold.operators import cells as C
 from ninefold.operators import globe as G
+from ninefold.plans import cell_queries
 from ninefold.plans.sql import planar
 
 
@@ -100,3 +101,15 @@ def test_hexagons_of_one_triangle(spark):
     assert {r["mate"] is None for r in whole} == {True, False} and all(r["mate_half"] != r["half"] for r in whole if r["mate"])
     kids = Counter(r["hexagon"] for r in A.hexagon_children(cells).collect())
     assert set(kids.values()) == {9, 18}
+
+
+def test_colocated_cells_bring_back_keys_and_paths_only(spark, sf_dir, monkeypatch):
+    """All that is shuffled for a pair is a key and a path, and no other column comes back from Python."""
+    points = planar(spark, sf_dir, "orders", ("o_orderkey",))
+    whole, part = A.assign_cells(points, 6), A.assign_cells(points, 6, only=("o_orderkey", "path"))
+    assert part.columns == ["o_orderkey", "path"] and sorted(part.collect()) == sorted(whole.select("o_orderkey", "path").collect())
+    made = []
+    kernel = A._kernel
+    monkeypatch.setattr(A, "_kernel", lambda *a: made.append(kernel(*a)) or made[-1])
+    cell_queries.j4_colocate(spark, sf_dir)
+    assert [m.columns for m in made] == [["o_orderkey", "path"], ["event_id", "path"]]
